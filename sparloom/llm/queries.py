@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, mixing, quality, resharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     """One query for each operator; `pipeline` where the repository's top has it."""
-    return {"op7_bpe": bpe.op7_bpe}
+    return {
+        "op1_mixing": mixing.op1_mixing,
+        "op3_resharding": resharding.op3_resharding,
+        "op7_bpe": bpe.op7_bpe,
+        "op8_quality": quality.op8_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
