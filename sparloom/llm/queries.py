@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, resharding
+from . import bpe, mixing, quality, resharding, simhash, sketches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,7 +15,9 @@ def queries() -> dict[str, Query]:
     """One query for each operator; `pipeline` where the repository's top has it."""
     return {
         "op1_mixing": mixing.op1_mixing,
+        "op2_fingerprints": sketches.op2_fingerprints,
         "op3_resharding": resharding.op3_resharding,
+        "op4_simhash": simhash.op4_simhash,
         "op7_bpe": bpe.op7_bpe,
         "op8_quality": quality.op8_quality,
     }
