@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, resharding, simhash, sketches
+from . import bpe, mixing, quality, resharding, simhash, sketches, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "op4_simhash": simhash.op4_simhash,
         "op7_bpe": bpe.op7_bpe,
         "op8_quality": quality.op8_quality,
+        "op9_substrings": substrings.op9_substrings,
     }
 
 
