@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, resharding, simhash, sketches, substrings
+from . import bpe, mixing, quality, resharding, simhash, sketches, substrings, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op2_fingerprints": sketches.op2_fingerprints,
         "op3_resharding": resharding.op3_resharding,
         "op4_simhash": simhash.op4_simhash,
+        "op6_warc": warc.op6_warc,
         "op7_bpe": bpe.op7_bpe,
         "op8_quality": quality.op8_quality,
         "op9_substrings": substrings.op9_substrings,
@@ -25,4 +26,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_warc": warc.SQL}
