@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, resharding, simhash, sketches, substrings, warc
+from . import bpe, mixing, pii, quality, resharding, simhash, sketches, substrings, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op7_bpe": bpe.op7_bpe,
         "op8_quality": quality.op8_quality,
         "op9_substrings": substrings.op9_substrings,
+        "op10_pii": pii.op10_pii,
     }
 
 
