@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, pii, quality, resharding, simhash, sketches, substrings, warc
+from . import bpe, lm, mixing, pii, quality, resharding, simhash, sketches, substrings, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op2_fingerprints": sketches.op2_fingerprints,
         "op3_resharding": resharding.op3_resharding,
         "op4_simhash": simhash.op4_simhash,
+        "op5_cross_entropy": lm.op5_cross_entropy,
         "op6_warc": warc.op6_warc,
         "op7_bpe": bpe.op7_bpe,
         "op8_quality": quality.op8_quality,
