@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from . import registry
+from .plans import costs, graphs, measures, memories, retrieval, star, states, streams, texts, workloads  # noqa: F401  they register queries
+from .registry import Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
