@@ -234,6 +234,28 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", key:
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def coded(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """df with ids array<int> and n_tokens long added and text decoded from the ids.
+
+    Encodes and decodes in one pass; null texts count as empty.
+    """
+    model = df.sparkSession.sparkContext.broadcast(model_json(path))
+    kept = df.drop("ids", "n_tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.of(model.value, pattern)
+        for batch in batches:
+            ids = [codec.encode(t.as_py() or "") for t in batch.column(text)]
+            counts = [len(i) for i in ids]
+            ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+            back = pa.array([codec.decode_bytes(i).decode("utf-8", "replace") for i in ids], pa.string())
+            columns = [back if n == text else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(counts, pa.int64())], [*batch.schema.names, "ids", "n_tokens"])
+
+    return kept.mapInArrow(run, _with(kept, "ids array<int>, n_tokens long"))
+
+
 def vocabulary() -> tuple[str, str]:
     """Path and pattern of the public 50k byte-level vocabulary."""
     import public_tokenizers

@@ -201,13 +201,23 @@ def _judge(held, extra: list[str]):
     return run
 
 
-def judge(docs: DataFrame, keep: list[str], lang: str = "lang", text: str = "text") -> DataFrame:
-    """The columns `keep` of docs, then the counts, distances and verdict of each row."""
+def _judged(docs: DataFrame, keep: list[str], lang: str, text: str) -> DataFrame:
+    """Columns _0, _1, ... for `keep`, then RESULT's."""
     held = docs.sparkSession.sparkContext.broadcast(references(docs, lang, text))
     schema = ", ".join([*[f"`_{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)], RESULT])
-    internal = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(lang).alias("lang"), F.col(text).alias("text"))
-    out = internal.mapInArrow(_judge(held, [f"k{i}" for i in range(len(keep))]), schema)
-    return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], *[x.split()[0] for x in RESULT.split(", ")])
+    internal = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(lang).alias("lang"), F.col(text).alias("text"))
+    return internal.mapInArrow(_judge(held, [f"k{i}" for i in range(len(keep))]), schema)
+
+
+def judge(docs: DataFrame, keep: list[str], lang: str = "lang", text: str = "text") -> DataFrame:
+    """The columns `keep` of docs, then the counts, distances and verdict of each row."""
+    return _judged(docs, keep, lang, text).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], *[x.split()[0] for x in RESULT.split(", ")])
+
+
+def passing(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    names = docs.columns
+    return _judged(docs, names, lang, text).where("kept").select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
