@@ -146,8 +146,8 @@ def arrow_type(spark_type: str) -> pa.DataType:
 
 # ------------------------------------------------------------- distributed ranks
 
-#: Rows that a bucket of a rank is meant to hold.
-BUCKET_ROWS = 20_000
+#: Rows that a bucket of a rank is meant to hold, and buckets of one cell at most.
+BUCKET_ROWS, MOST_BUCKETS = 1_000, 1_000_000
 
 
 def ranked(df: DataFrame, cell: list[str], order: list[str], n_rows: int, name: str = "rank") -> DataFrame:
@@ -158,7 +158,7 @@ def ranked(df: DataFrame, cell: list[str], order: list[str], n_rows: int, name:
     rows of one bucket are sorted together, so a cell may hold any share of all
     rows.  Rows that agree on `order` are alike for the caller.
     """
-    buckets = max(1, n_rows // BUCKET_ROWS)
+    buckets = max(1, min(MOST_BUCKETS, n_rows // BUCKET_ROWS))
     h = F.xxhash64(*order)
     df = df.withColumn("_h", h).withColumn("_b", F.pmod(h, F.lit(buckets)))
     counts = df.groupBy(*cell, "_b").agg(F.count("*").alias("_n"))
