@@ -63,8 +63,8 @@ def window_cells(at: np.ndarray, data: np.ndarray, window: int, gram: int) -> tu
     fresh = np.ones(len(cell), bool)
     fresh[1:] = (cell[1:] != cell[:-1]) | (row[1:] != row[:-1])
     start = np.flatnonzero(fresh)
-    stop = np.append(start[1:], len(cell)) - 1
-    return row[start], cell[start], place[start], place[stop] + 1 if len(stop) else place[start], n
+    stop = np.append(start[1:], len(cell))[: len(start)] - 1
+    return row[start], cell[start], place[start], place[stop] + 1, n
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
