@@ -13,6 +13,6 @@ def spark(tmp_path_factory):
 
     spark = session.local_session(8, 8, "6g")
     spark.sparkContext.setLogLevel("ERROR")
-    spark.conf.set("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))
+    spark.sparkContext.setCheckpointDir("file://" + str(tmp_path_factory.mktemp("shared")))
     session.ship(spark)
     return spark
