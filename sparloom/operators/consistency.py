@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def match_rate(a: Column, b: Column) -> Column:
@@ -21,7 +22,7 @@ def divergence(a: Column, b: Column) -> Column:
     return F.when(at > 0, at - 1)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Insertions, deletions and replacements that turn one array into the other, in Arrow batches."""
     out = []
