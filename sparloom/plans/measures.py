@@ -188,3 +188,33 @@ def token_edit_distance(spark, sf_dir):
     nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     both = rows.withColumn("nxt", nxt).where("nxt is not null")
     return both.select("conv_id", "turn", edit_distance(tokens(F.col("text")), tokens(F.col("nxt"))).alias("distance"))
+
+
+@query(f"""SELECT count(*) AS pairs, count(*) FILTER (WHERE a = b) AS exact, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0 END), 6) AS exact_rate,
+array_to_string(list_sort(list_distinct(list(CASE WHEN a = b THEN 'equal' WHEN len(a) <> len(b) THEN 'length' ELSE 'token' END))), ',') AS causes FROM ({PAIR}) WHERE b IS NOT NULL""")
+def consistency_summary(spark, sf_dir):
+    """Counts, exact rate and the distinct causes of mismatch over all compared pairs."""
+    from ..functions.text import tokens
+
+    rows = table(spark, sf_dir, "conversations")
+    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    both = rows.withColumn("nxt", nxt).where("nxt is not null").select(tokens(F.col("text")).alias("a"), tokens(F.col("nxt")).alias("b"))
+    same = F.col("a") == F.col("b")
+    cause = F.when(same, "equal").when(F.size("a") != F.size("b"), "length").otherwise("token")
+    return both.agg(F.count("*").alias("pairs"), F.count_if(same).alias("exact"), r6(F.avg(same.cast("int"))).alias("exact_rate"), F.array_join(F.array_sort(F.collect_set(cause)), ",").alias("causes"))
+
+
+@query("SELECT name, stat, value FROM (SELECT event_type AS name, count(*)::DOUBLE AS n, round(sum(value), 4) AS total, round(min(value), 6) AS least, round(max(value), 6) AS most FROM events GROUP BY 1) UNPIVOT (value FOR stat IN (n, total, least, most))")
+def metric_rows(spark, sf_dir):
+    """Summaries in long form: one row a name and statistic."""
+    wide = events(spark, sf_dir).groupBy(F.col("event_type").alias("name")).agg(F.count("*").cast("double").alias("n"), F.round(F.sum("value"), 4).alias("total"), r6(F.min("value")).alias("least"), r6(F.max("value")).alias("most"))
+    return wide.unpivot(["name"], ["n", "total", "least", "most"], "stat", "value")
+
+
+@query("SELECT baseline, workload, n, usable, round(mean, 6) AS mean_value, CASE WHEN ref > 0 THEN round(mean / ref, 6) END AS over_ref FROM (SELECT *, max(mean) FILTER (WHERE baseline = 'view') OVER (PARTITION BY workload) AS ref FROM (SELECT event_type AS baseline, user_id % 16 AS workload, count(*) AS n, count(*) FILTER (WHERE value > 10) AS usable, avg(value) FILTER (WHERE value > 10) AS mean FROM events GROUP BY 1, 2))")
+def experiment_summary(spark, sf_dir):
+    """Means over usable rows by baseline and workload, beside the reference baseline."""
+    ok = F.col("value") > 10
+    rows = events(spark, sf_dir).groupBy(F.col("event_type").alias("baseline"), (F.col("user_id") % 16).alias("workload")).agg(F.count("*").alias("n"), F.count_if(ok).alias("usable"), F.avg(F.when(ok, F.col("value"))).alias("mean"))
+    ref = F.max(F.when(F.col("baseline") == "view", F.col("mean"))).over(Window.partitionBy("workload"))
+    return rows.withColumn("ref", ref).select("baseline", "workload", "n", "usable", r6("mean").alias("mean_value"), F.when(F.col("ref") > 0, r6(F.col("mean") / F.col("ref"))).alias("over_ref"))
