@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 #: Pieces whose ids a worker keeps; beyond it the table is begun anew.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 150_000
 
 
 def byte_alphabet() -> list[str]:

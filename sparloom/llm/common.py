@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 #: Text bytes that one step of an Arrow batch holds at once (one longer text: alone).
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))

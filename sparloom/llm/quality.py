@@ -148,7 +148,7 @@ def _dup_lines(text: bytes) -> int:
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
 
 
-def _judge(held, extra: list[str]):
+def _judge(held, extra: list[str], lang_at: str, text_at: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         references = held.value
         hashed = {}
@@ -160,9 +160,9 @@ def _judge(held, extra: list[str]):
             order = np.argsort(h)
             hashed[name] = h[order], order
         for batch in batches:
-            for step in steps(batch, "text"):
-                at, data = utf8(step.column("text"))
-                lang, names = _lang_ids(step.column("lang"))
+            for step in steps(batch, text_at):
+                at, data = utf8(step.column(text_at))
+                lang, names = _lang_ids(step.column(lang_at))
                 n = len(lang)
                 kind = _CLASS[data]
                 lead = kind >= 0
@@ -205,8 +205,9 @@ def _judged(docs: DataFrame, keep: list[str], lang: str, text: str) -> DataFrame
     """Columns _0, _1, ... for `keep`, then RESULT's."""
     held = docs.sparkSession.sparkContext.broadcast(references(docs, lang, text))
     schema = ", ".join([*[f"`_{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)], RESULT])
-    internal = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(lang).alias("lang"), F.col(text).alias("text"))
-    return internal.mapInArrow(_judge(held, [f"k{i}" for i in range(len(keep))]), schema)
+    every = [*keep, *[c for c in (lang, text) if c not in keep]]  # a kept text is sent once
+    internal = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(every)])
+    return internal.mapInArrow(_judge(held, [f"k{i}" for i in range(len(keep))], f"k{every.index(lang)}", f"k{every.index(text)}"), schema)
 
 
 def judge(docs: DataFrame, keep: list[str], lang: str = "lang", text: str = "text") -> DataFrame:
