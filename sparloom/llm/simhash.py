@@ -252,30 +252,61 @@ def alike(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> float:
     return len(np.intersect1d(np.intersect1d(a, b, True), union, True)) / len(union)
 
 
+def _shared(sets: list[np.ndarray], rows: slice) -> np.ndarray:
+    """How many hashes each set of `rows` shares with each set, from products of incidence blocks."""
+    value = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(value, return_inverse=True, return_counts=True)
+    often = times > 1  # other hashes are shared with none
+    place = np.cumsum(often) - 1
+    use = often[column]
+    owner, column = owner[use], place[column[use]]
+    width = max(1, (4 << 20) // len(sets))
+    out = np.zeros((len(range(*rows.indices(len(sets)))), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for first in range(0, int(often.sum()), width):
+        i, j = np.searchsorted(column, (first, first + width))
+        block = np.zeros((len(sets), width), np.float32)
+        block[owner[i:j], column[i:j] - first] = 1
+        out += block[rows] @ block.T
+    return out
+
+
+def _linked(sets: list[np.ndarray], size: np.ndarray, fp: np.ndarray, similarity: float) -> np.ndarray:
+    """Roots of a shard's texts: links have fingerprints within WIDE_RADIUS and shingle sets of the similarity.
+
+    Shared counts of whole blocks of pairs come first.  Sets held in full are then
+    decided by their counts; of larger ones, only pairs whose counts allow the
+    similarity, and whose components differ, are looked at one by one.
+    """
+    forest = Forest(len(sets))
+    held = np.array([len(x) for x in sets])
+    full = size <= CONFIRM
+    for first in range(0, len(sets), 512):
+        rows = slice(first, min(first + 512, len(sets)))
+        both = _shared(sets, rows)
+        near = np.bitwise_count(fp[rows][:, None] ^ fp[None, :]) <= WIDE_RADIUS
+        near &= np.minimum(size[rows][:, None], size[None, :]) >= similarity * np.maximum(size[rows][:, None], size[None, :])
+        near &= np.arange(len(sets))[None, :] < np.arange(rows.start, rows.stop)[:, None]
+        exact = near & full[rows][:, None] & full[None, :]
+        i, j = np.nonzero(exact & (both >= similarity * (size[rows][:, None] + size[None, :] - both) - 1e-3))
+        forest.join(i + first, j)
+        i, j = np.nonzero(near & ~exact & (both >= similarity * np.minimum(held[rows][:, None], held[None, :]) - 1e-3))
+        for a, b in zip((i + first).tolist(), j.tolist(), strict=True):
+            if forest.root[a] != forest.root[b] and alike(sets[a], size[a], sets[b], size[b]) >= similarity:
+                forest.join(np.array([a]), np.array([b]))
+    return forest.root
+
+
 def _confirmed(similarity: float):
     """Streams rows sorted by shard and hands out forest edges of confirmed links."""
 
     def shard_edges(rows: list[tuple]) -> list[tuple[str, str]]:
-        fp = np.array([r[1] for r in rows], np.int64).view(np.uint64)
-        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        root = list(range(len(rows)))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        out = []
-        for i in range(1, len(rows)):
-            near = np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= WIDE_RADIUS)
-            for j in near.tolist():
-                a, b = top(i), top(j)
-                n_a, n_b = rows[i][3], rows[j][3]
-                if a != b and min(n_a, n_b) >= similarity * max(n_a, n_b) and alike(sets[i], n_a, sets[j], n_b) >= similarity:
-                    root[max(a, b)] = min(a, b)
-                    out.append((rows[i][0], rows[j][0]))
-        return out
+        if len(rows) < 2:
+            return []
+        root = _linked([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[3] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).view(np.uint64), similarity)
+        return [(rows[i][0], rows[r][0]) for i, r in enumerate(root.tolist()) if r != i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
