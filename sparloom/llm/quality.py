@@ -222,4 +222,37 @@ def passing(docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFram
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    judged = judge(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+def _count(characters: str) -> str:
+    return f"length(regexp_replace(text, '[^{characters}]', '', 'g'))"
+
+
+#: The classes of CLASSES as sets of characters; `other` is what remains.
+_SETS = {"lower": r"a-z\x{80}-\x{10FFFF}", "upper": "A-Z", "digit": "0-9", "newline": r"\n", "blank": r" \t", "symbol": "#*$%&|<>", "mark": r".,;:!?''\"()\-"}
+_DISTANCE = """sqrt(greatest(0, (sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)) / 2))"""
+SQL = f"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, lang, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d),
+totals AS (SELECT lang, sum(len(w)) AS n FROM d GROUP BY lang),
+common AS (SELECT lang, x, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS r FROM (SELECT lang, x, count(*) AS n FROM words WHERE length(x) <= {SHORT} GROUP BY lang, x)) WHERE r <= {COMMON}),
+word_ref AS (SELECT lang, x, common.n / totals.n AS q FROM common JOIN totals USING (lang) UNION ALL SELECT lang, NULL, 1 - coalesce(sum(common.n), 0) / any_value(totals.n) FROM totals LEFT JOIN common USING (lang) GROUP BY lang),
+own AS (SELECT doc_id, c.x, count(*) AS n FROM words JOIN common c ON c.lang = words.lang AND c.x = words.x GROUP BY doc_id, c.x),
+own_all AS (SELECT doc_id, x, n FROM own UNION ALL SELECT d.doc_id, NULL, len(w) - coalesce(s, 0) FROM d LEFT JOIN (SELECT doc_id, sum(n) AS s FROM own GROUP BY doc_id) USING (doc_id)),
+word_d AS (SELECT doc_id, {_DISTANCE} AS v FROM (SELECT d.doc_id, coalesce(o.n, 0) / len(w) AS p, q FROM d JOIN word_ref r USING (lang) LEFT JOIN own_all o ON o.doc_id = d.doc_id AND o.x IS NOT DISTINCT FROM r.x WHERE len(w) > 0) GROUP BY doc_id),
+counted AS (SELECT doc_id, lang, {", ".join(f"{_count(v)} AS {k}" for k, v in _SETS.items())}, length(text) AS len FROM d),
+long AS (UNPIVOT (SELECT doc_id, lang, {", ".join(f"{k}::DOUBLE AS {k}" for k in _SETS)}, (len - {" - ".join(_SETS)})::DOUBLE AS other FROM counted) ON {", ".join(CLASSES)} INTO NAME class VALUE n),
+class_ref AS (SELECT lang, class, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM long GROUP BY lang, class),
+class_d AS (SELECT doc_id, {_DISTANCE} AS v FROM (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p, q FROM long JOIN class_ref USING (lang, class)) GROUP BY doc_id HAVING sum(p) > 0),
+lines AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM (SELECT doc_id, i, w[i : i + 2] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3))),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM tri, (SELECT unnest(range(3)) AS k) WHERE n > 1 GROUP BY doc_id),
+base AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, {_count(_SETS["symbol"])}::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+ FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN repeated r USING (doc_id)),
+judged AS (SELECT b.* EXCLUDE (lang), n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+ CASE WHEN t.n >= {MIN_REFERENCE} THEN coalesce(c.v, 0) ELSE 0 END AS class_distance, CASE WHEN t.n >= {MIN_REFERENCE} THEN coalesce(v.v, 0) ELSE 0 END AS word_distance
+ FROM base b LEFT JOIN totals t USING (lang) LEFT JOIN class_d c USING (doc_id) LEFT JOIN word_d v USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND class_distance <= {CLASS_LIMIT} AND word_distance <= {WORD_LIMIT} AS kept, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM judged
+"""

@@ -28,4 +28,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.SQL}
+    return {"op6_warc": warc.SQL, "op8_quality": quality.SQL, "op9_substrings": substrings.SQL}

@@ -32,3 +32,12 @@ def test_stages_keep_the_columns(spark):
         df = documents(spark)
         assert stage(spark, df, "").columns == df.columns, name
         assert stage(spark, empty(spark), "").count() == 0
+
+
+def test_queries_equal_their_sql(spark):
+    from sparloom.llm import queries
+
+    from ..compare import differences
+
+    for name, sql in queries.oracle_sql().items():
+        assert differences(spark, name, queries.queries()[name], sql, "/root/testdata/sf0.001") is None
