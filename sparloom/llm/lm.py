@@ -104,23 +104,21 @@ class Models:
         self.word = np.zeros((2, n_words), np.float32)
         self.pair = np.zeros((2, n_pairs), np.float32)
 
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray, row: np.ndarray, good: np.ndarray) -> np.ndarray:
-        """Bits of each word under target (row 0) and background (row 1), matched in size.
+    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """Bits of each word: under the target with and without its document's own counts, and under the background without.
 
-        A document's own counts are taken out of the models that it was counted in.
+        Background counts are scaled to the target's size.
         """
-        own_word, own_pair = _own(row, word, word), _own(row, pair, pair)
-        own_before = _own(row, word, before)
+        own_word, own_pair, own_before = _own(row, word, word), _own(row, pair, pair), _own(row, word, before)
         total = self.word.sum(axis=1, dtype=np.float64)
-        size = np.bincount(row, minlength=len(good))[row]
-        out = np.empty((2, len(word)))
-        for m in (0, 1):
-            counted = np.ones(len(row)) if m else good[row].astype(float)
+        size = np.bincount(row, minlength=rows)[row]
+        out = np.empty((3, len(word)))
+        for i, (m, counted) in enumerate(((0, 0), (0, 1), (1, 1))):
             scale = total[0] / total[1] if m and total[0] and total[1] else 1.0
             left = lambda table, at, own: np.maximum(table[m, at] - counted * own, 0) * scale  # noqa: B023, E731
             n = np.maximum(total[m] - counted * size, 0) * scale
             alone = (left(self.word, word, own_word) + 1) / (n + self.n_words)
-            out[m] = -np.log2((left(self.pair, pair, own_pair) + BACKOFF * alone) / (left(self.word, before, own_before) + BACKOFF))
+            out[i] = -np.log2((left(self.pair, pair, own_pair) + BACKOFF * alone) / (left(self.word, before, own_before) + BACKOFF))
         return out
 
 
@@ -150,8 +148,12 @@ def train(docs: DataFrame, good: str, text: str = "text", n_words: int = WORD_CE
     return out
 
 
-def score(docs: DataFrame, models: Models, good: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_words, target_bits, background_bits (a word) and score of each row."""
+def score(docs: DataFrame, models: Models, good: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_words, target_bits, background_bits (a word) and score of each row.
+
+    good: distinct keys (key) counted in the target.  Both forms of the target
+    loss are made in one pass over texts; only numbers meet the keys.
+    """
     held = docs.sparkSession.sparkContext.broadcast(models)  # size checked by Models
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,22 +162,24 @@ def score(docs: DataFrame, models: Models, good: str, key: str = "doc_id", text:
                 word, before, pair, first = cells(*utf8(step.column("text")), held.value.n_words, held.value.n_pairs)
                 n = np.diff(first)
                 row = np.repeat(np.arange(len(n)), n)
-                counted = np.asarray(step.column("good").to_pylist(), bool)
-                sums = [np.concatenate(([0.0], np.cumsum(x))) for x in held.value.losses(word, before, pair, row, counted)]
+                sums = [np.concatenate(([0.0], np.cumsum(x))) for x in held.value.losses(word, before, pair, row, len(n))]
                 with np.errstate(invalid="ignore"):
-                    target, background = ((s[first[1:]] - s[first[:-1]]) / n for s in sums)
+                    means = [(s[first[1:]] - s[first[:-1]]) / n for s in sums]
                 none = n == 0
-                columns = [pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in (target, background, background - target))]
-                yield pa.RecordBatch.from_arrays([step.column("key"), *columns], ["key", "n_words", "target_bits", "background_bits", "score"])
+                yield pa.RecordBatch.from_arrays([step.column("key"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in means)], ["key", "n_words", "outside", "inside", "background_bits"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.col(good), F.lit(False)).alias("good"))
-    return rows.mapInArrow(run, f"key {kind}, n_words long, target_bits double, background_bits double, score double").withColumnRenamed("key", key)
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    made = rows.mapInArrow(run, f"key {kind}, n_words long, outside double, inside double, background_bits double")
+    joined = made.join(good.select(F.col(key).alias("_k"), F.lit(True).alias("_in")).hint("merge"), F.col("key") == F.col("_k"), "left")
+    target = F.when(F.col("_in"), F.col("inside")).otherwise(F.col("outside"))
+    return joined.select(F.col("key").alias(key), "n_words", target.alias("target_bits"), "background_bits", (F.col("background_bits") - target).alias("score"))
 
 
 def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled of good quality and not toxic; background: all documents."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    docs = docs.join(labels, "doc_id", "left")
-    return score(docs, train(docs, "good"), "good")
+    good = labels.where("good").select("doc_id")
+    marked = docs.join(good.withColumn("good", F.lit(True)).hint("merge"), "doc_id", "left")  # one plan at every size
+    return score(docs, train(marked, "good"), good)
