@@ -28,7 +28,6 @@ repeated rows and equal ids are separate rows; an empty table stays empty.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, read_table
+from .common import WORD, components, materialize, read_table
 
 #: Fingerprints from which vantage points are chosen, the lowest by hash.
 SAMPLE = 8_192
@@ -223,20 +222,25 @@ WIDE_RADIUS = 20
 HOT_SHARD = 20_000
 
 
+def _text_id(text: F.Column) -> F.Column:
+    """MD5 of the text with A-Z as a-z; the same of all texts without words."""
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(text.rlike(WORD), F.md5(lowered)).otherwise("")
+
+
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tid, fp, keys, low, n = [], [], [], [], []
+            fp, keys, low, n = [], [], [], []
             for value in batch.column(1):
                 text = value.as_py() or ""
                 digests = _shingle_digests(text, k)
                 h = np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
-                tid.append(hashlib.md5(text.encode().lower()).hexdigest() if h.size else "")
                 fp.append(_signed(fingerprint_of(digests)))
                 keys.append(h[:SHARD_KEYS].view(np.int64))
                 low.append(h[:CONFIRM].tobytes())
                 n.append(len(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tid, pa.string()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary()), pa.array(n, pa.int32())], ["key", "tid", "fp", "keys", "low", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary()), pa.array(n, pa.int32())], ["key", "tid", "fp", "keys", "low", "n"])
 
     return run
 
@@ -325,12 +329,13 @@ def _confirmed(similarity: float):
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, tid, keeper): each row's text id and the smallest key of its near-duplicate group."""
+    """(key, tid, keeper, keeper_tid): each row's text id, and key and text id of the first row of its near-duplicate group."""
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(_signatures(k), f"key {kind}, tid string, fp long, keys array<long>, low binary, n int")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _text_id(F.col(text)).alias("tid")).mapInArrow(_signatures(k), f"key {kind}, tid string, fp long, keys array<long>, low binary, n int")
     rows = materialize(rows, "near")
-    least = materialize(rows.groupBy("tid").agg(F.min("key").alias("least")), "near-texts")
-    one = rows.join(least, (rows["tid"] == least["tid"]) & rows["key"].eqNullSafe(least["least"])).select(rows["tid"], "fp", "keys", "low", "n").where("n > 0").dropDuplicates(["tid"])
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tid"))
+    least = materialize(rows.groupBy("tid").agg(first.alias("least")), "near-texts")
+    one = rows.where("n > 0").select("tid", "fp", "keys", "low", "n").dropDuplicates(["tid"])
     one = materialize(one, "near-one")
     sharded = one.select("tid", "keys", F.explode("keys").alias("k1"))
     many = sharded.groupBy("k1").agg(F.count("*").alias("c")).where("c > 1")
@@ -344,12 +349,14 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     kept = told.groupBy("root").agg(F.min("least").alias("keeper"))
     named = told.join(kept, "root").select(F.col("node").alias("tid"), "keeper")
     all_named = least.join(named, "tid", "left").select("tid", F.coalesce("keeper", "least").alias("keeper"))
-    return rows.select("key", "tid").join(all_named, "tid").select(F.col("key").alias(key), "tid", "keeper")
+    all_named = all_named.select("tid", F.col("keeper.key").alias("keeper"), F.col("keeper.tid").alias("keeper_tid"))
+    return rows.select("key", "tid").join(all_named, "tid").select(F.col("key").alias(key), "tid", "keeper", "keeper_tid")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each near-duplicate group: that with the smallest key."""
+    """One row of each near-duplicate group: that with the smallest (key, text id), null keys last."""
     told = near_groups(docs, key, text, k, similarity)
-    keepers = told.where(F.col(key).eqNullSafe(F.col("keeper"))).select(F.col(key).alias("_keeper")).distinct()
-    kept = docs.join(keepers, docs[key].eqNullSafe(keepers["_keeper"]), "left_semi")
-    return kept.dropDuplicates([key])
+    kept = told.where(F.col(key).eqNullSafe(F.col("keeper")) & (F.col("tid") == F.col("keeper_tid"))).select(F.col(key).alias("_key"), F.col("tid").alias("_keeper")).distinct()
+    named = docs.withColumn("_tid", _text_id(F.col(text)))
+    mine = named.join(kept, named[key].eqNullSafe(kept["_key"]) & (named["_tid"] == kept["_keeper"]), "left_semi")
+    return mine.dropDuplicates([key, "_tid"]).drop("_tid")

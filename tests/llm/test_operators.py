@@ -226,6 +226,13 @@ def test_near_groups(spark, docs, own):
     assert simhash.deduplicated(empty(spark)).count() == 0
 
 
+def test_near_dedup_keeps_texts_of_null_and_equal_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, a.upper()), (7, c), (7, d), (8, c), (3, e), (3, d), (9, b)]
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"].lower()) for r in got) == [(0, a), (3, d), (3, e), (7, c), (9, b)]
+
+
 # ------------------------------------------------------------------ 5 language models
 
 
