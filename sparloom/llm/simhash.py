@@ -18,8 +18,8 @@ Wide radius.  At a Jaccard likeness of 0.8 the fingerprints of five-word
 shingles differ in up to 18 bits, and no triangle bound prunes at that radius:
 nearly all distances lie within 32 +- 12.  near_groups() therefore shards by
 shared low shingle hashes instead (two texts of likeness 0.8 share one of their
-four lowest with probability over 0.998), searches each shard by fingerprint
-distance, and confirms every link by the likeness of the shingles themselves.
+four lowest with probability over 0.998), drops pairs of fingerprints too far apart,
+and decides every link by the two whole shingle sets.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other
 in components(); near_groups() groups texts without words with each other only;
@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WORD, components, materialize, read_table
 
@@ -215,11 +216,13 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------- groups by shingle likeness (wide radius)
 
-#: Lowest shingle hashes by which a text is sharded; lowest hashes that confirm a link.
-SHARD_KEYS, CONFIRM = 4, 256
+#: Lowest shingle hashes by which candidates meet.
+SHARD_KEYS = 4
 WIDE_RADIUS = 20
-#: Texts of one shard key beyond which the shard is split by a second key.
-HOT_SHARD = 20_000
+#: Bits of a text's parity map; words of 64 bits.
+MAP_BITS = 1024
+#: Texts of a key beyond which they are first linked along the key, and beyond which they are compared in blocks.
+STARS, BLOCK = 32, 2_048
 
 
 def _text_id(text: F.Column) -> F.Column:
@@ -228,122 +231,153 @@ def _text_id(text: F.Column) -> F.Column:
     return F.when(text.rlike(WORD), F.md5(lowered)).otherwise("")
 
 
+def _shingles(text: str | None, k: int) -> np.ndarray:
+    """Distinct shingle hashes, ascending."""
+    return np.unique(np.frombuffer(_shingle_digests(text, k), ">u8").astype(np.uint64))
+
+
+def _needed(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles of a set of n that any set of the similarity shares at least."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+
+
+def _parity(h: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of hashes fall on i.  Maps of two sets differ in no more bits than the sets in hashes."""
+    return np.packbits(np.bincount((h % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1).tobytes()
+
+
+def _keys(h: np.ndarray) -> np.ndarray:
+    return h[:SHARD_KEYS]
+
+
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, keys, low, n = [], [], [], []
+            fp, keys, bits, n = [], [], [], []
             for value in batch.column(1):
-                text = value.as_py() or ""
-                digests = _shingle_digests(text, k)
+                digests = _shingle_digests(value.as_py(), k)
                 h = np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
                 fp.append(_signed(fingerprint_of(digests)))
-                keys.append(h[:SHARD_KEYS].view(np.int64))
-                low.append(h[:CONFIRM].tobytes())
+                keys.append(_keys(h).view(np.int64))
+                bits.append(_parity(h))
                 n.append(len(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(low, pa.binary()), pa.array(n, pa.int32())], ["key", "tid", "fp", "keys", "low", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(n, pa.int32())], ["key", "tid", "fp", "keys", "bits", "n"])
 
     return run
 
 
-def alike(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> float:
-    """Jaccard likeness of two shingle sets from their CONFIRM lowest hashes (exact for smaller sets)."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    union = np.union1d(a, b)
-    if n_a > CONFIRM or n_b > CONFIRM:
-        edge = min(a[-1] if n_a > CONFIRM else union[-1], b[-1] if n_b > CONFIRM else union[-1])
-        union = union[union <= edge]
-    return len(np.intersect1d(np.intersect1d(a, b, True), union, True)) / len(union)
-
-
-def _shared(sets: list[np.ndarray], rows: slice) -> np.ndarray:
-    """How many hashes each set of `rows` shares with each set, from products of incidence blocks."""
-    value = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, times = np.unique(value, return_inverse=True, return_counts=True)
-    often = times > 1  # other hashes are shared with none
-    place = np.cumsum(often) - 1
-    use = often[column]
-    owner, column = owner[use], place[column[use]]
-    width = max(1, (4 << 20) // len(sets))
-    out = np.zeros((len(range(*rows.indices(len(sets)))), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for first in range(0, int(often.sum()), width):
-        i, j = np.searchsorted(column, (first, first + width))
-        block = np.zeros((len(sets), width), np.float32)
-        block[owner[i:j], column[i:j] - first] = 1
-        out += block[rows] @ block.T
-    return out
-
-
-def _linked(sets: list[np.ndarray], size: np.ndarray, fp: np.ndarray, similarity: float) -> np.ndarray:
-    """Roots of a shard's texts: links have fingerprints within WIDE_RADIUS and shingle sets of the similarity.
-
-    Shared counts of whole blocks of pairs come first.  Sets held in full are then
-    decided by their counts; of larger ones, only pairs whose counts allow the
-    similarity, and whose components differ, are looked at one by one.
+def _pairs(similarity: float):
+    """Streams rows sorted by shard and size, and hands out pairs of one shard that may have the similarity.
+
+    Pairs of one component, of too different sizes, or whose parity maps differ in
+    more bits than sets of the similarity can, go; nothing else does.
     """
-    forest = Forest(len(sets))
-    held = np.array([len(x) for x in sets])
-    full = size <= CONFIRM
-    for first in range(0, len(sets), 512):
-        rows = slice(first, min(first + 512, len(sets)))
-        both = _shared(sets, rows)
-        near = np.bitwise_count(fp[rows][:, None] ^ fp[None, :]) <= WIDE_RADIUS
-        near &= np.minimum(size[rows][:, None], size[None, :]) >= similarity * np.maximum(size[rows][:, None], size[None, :])
-        near &= np.arange(len(sets))[None, :] < np.arange(rows.start, rows.stop)[:, None]
-        exact = near & full[rows][:, None] & full[None, :]
-        i, j = np.nonzero(exact & (both >= similarity * (size[rows][:, None] + size[None, :] - both) - 1e-3))
-        forest.join(i + first, j)
-        i, j = np.nonzero(near & ~exact & (both >= similarity * np.minimum(held[rows][:, None], held[None, :]) - 1e-3))
-        for a, b in zip((i + first).tolist(), j.tolist(), strict=True):
-            if forest.root[a] != forest.root[b] and alike(sets[a], size[a], sets[b], size[b]) >= similarity:
-                forest.join(np.array([a]), np.array([b]))
-    return forest.root
-
-
-def _confirmed(similarity: float):
-    """Streams rows sorted by shard and hands out forest edges of confirmed links."""
-
-    def shard_edges(rows: list[tuple]) -> list[tuple[str, str]]:
-        if len(rows) < 2:
-            return []
-        root = _linked([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[3] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).view(np.uint64), similarity)
-        return [(rows[i][0], rows[r][0]) for i, r in enumerate(root.tolist()) if r != i]
+    most = (1 - similarity) / (1 + similarity)
+
+    def found(t: np.ndarray, root: np.ndarray, n: np.ndarray, fp: np.ndarray, bits: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+        out, i, d = [], np.arange(len(t)), 1
+        while len(i):
+            i = i[i + d < len(t)]
+            i = i[shard[i] == shard[i + d]]
+            i = i[n[i] >= _needed(n[i + d], similarity)]  # later ones are larger still
+            j = i + d
+            x = i[(root[i] != root[j]) & (t[i] != t[j])]
+            x = x[np.bitwise_count(fp[x] ^ fp[x + d]) <= WIDE_RADIUS]
+            x = x[np.bitwise_count(bits[x] ^ bits[x + d]).sum(axis=1) <= most * (n[x] + n[x + d]) + 1e-6]
+            out.append(np.stack((np.minimum(t[x], t[x + d]), np.maximum(t[x], t[x + d]))))
+            d += 1
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        held = None
         for batch in batches:
-            edges = []
-            for shard, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if shard != at:
-                    edges += shard_edges(held)
-                    at, held = shard, []
-                held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.string()) for i in (0, 1)], ["a", "b"])
-        edges = shard_edges(held)
-        yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.string()) for i in (0, 1)], ["a", "b"])
+            shard, t, root, n, fp = (np.asarray(batch.column(c)) for c in ("shard", "t", "root", "n", "fp"))
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, MAP_BITS // 64)
+            now = [t, root, n.astype(np.int64), fp, bits, shard]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if len(held[-1]):
+                whole = int(np.flatnonzero(held[-1] != held[-1][-1])[-1]) + 1 if (held[-1] != held[-1][-1]).any() else 0
+                yield found(*(x[:whole] for x in held))
+                held = [x[whole:] for x in held]
+        if held is not None:
+            yield found(*held)
 
     return run
 
 
+def _decided(similarity: float):
+    """Of pairs with both whole shingle sets: the linked ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = np.sort(np.concatenate((x, y)))
+                shared = int((both[1:] == both[:-1]).sum())
+                keep.append(shared / max(1, len(both) - shared) >= similarity)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+
+    return run
+
+
+def _links(texts: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Pairs (a, b: hashes of text ids) as links (a, b: text ids), decided by whole shingle sets of their texts (tid, text)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_shingles(x.as_py(), k).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["tid", "set"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    mine = texts.withColumn("t", F.xxhash64("tid")).join(asked, "t", "left_semi").dropDuplicates(["tid"]).select("tid", "text")
+    whole = materialize(mine.mapInArrow(sets, "tid string, set binary"), "near-sets").withColumn("t", F.xxhash64("tid"))
+    one, two = (whole.select(F.col("t").alias(f"t{x}"), F.col("tid").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    full = pairs.select(F.col("a").alias("ta"), F.col("b").alias("tb")).join(one, "ta").join(two, "tb").select("a", "b", "set_a", "set_b")
+    return full.mapInArrow(_decided(similarity), "a string, b string")
+
+
+def _candidates(one: DataFrame, shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components (t, root) that share a key; keys of many texts are compared block against block."""
+    joined = shared.join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
+    blocks = F.ceil(F.col("c") / F.lit(BLOCK))
+    mine = F.pmod("t", blocks)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    dealt = joined.withColumn("other", other).withColumn("mine", mine)
+    shard = F.when(F.col("c") > BLOCK, F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("h"))
+    rows = dealt.select(shard.alias("shard"), "t", "root").join(one.select(F.xxhash64("tid").alias("t"), "n", "fp", "bits"), "t")
+    return rows.repartition("shard").sortWithinPartitions("shard", "n", "t").mapInArrow(_pairs(similarity), "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, tid, keeper, keeper_tid): each row's text id, and key and text id of the first row of its near-duplicate group."""
+    """(key, tid, keeper, keeper_tid): each row's text id, and key and text id of the first row of its near-duplicate group.
+
+    Texts that share a key are candidates.  Those of keys of many texts are first
+    linked along the key, so that a large group of near-copies is one component
+    before its pairs are looked at; then all pairs of different components are.
+    """
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _text_id(F.col(text)).alias("tid")).mapInArrow(_signatures(k), f"key {kind}, tid string, fp long, keys array<long>, low binary, n int")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _text_id(F.col(text)).alias("tid"))
+    rows = texts.mapInArrow(_signatures(k), f"key {kind}, tid string, fp long, keys array<long>, bits binary, n int")
     rows = materialize(rows, "near")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tid"))
     least = materialize(rows.groupBy("tid").agg(first.alias("least")), "near-texts")
-    one = rows.where("n > 0").select("tid", "fp", "keys", "low", "n").dropDuplicates(["tid"])
+    one = rows.where("n > 0").select("tid", "fp", "keys", "bits", "n").dropDuplicates(["tid"])
     one = materialize(one, "near-one")
-    sharded = one.select("tid", "keys", F.explode("keys").alias("k1"))
-    many = sharded.groupBy("k1").agg(F.count("*").alias("c")).where("c > 1")
-    sharded = sharded.join(many, "k1")
-    second = F.explode_outer(F.when(F.col("c") > HOT_SHARD, F.filter("keys", lambda x: x != F.col("k1"))))
-    sharded = sharded.select("tid", "k1", second.alias("k2")).select("tid", F.xxhash64("k1", "k2").alias("shard"))
-    full = sharded.join(one.select("tid", "fp", "low", "n"), "tid").select("shard", "tid", "fp", "low", "n")
-    edges = full.repartition("shard").sortWithinPartitions("shard", "tid").mapInArrow(_confirmed(similarity), "a string, b string")
+    texts = texts.where("tid <> ''").select("tid", "text")
+    by_key = Window.partitionBy("h")
+    shared = one.select(F.xxhash64("tid").alias("t"), "n", F.explode("keys").alias("h")).withColumn("c", F.count("*").over(by_key)).where("c > 1")
+    shared = materialize(shared, "near-keys")
+    alike = F.floor(F.log("n") / np.log(1.1))
+    lead = F.array(F.min("t").over(Window.partitionBy("h", alike)), F.lag("t").over(by_key.orderBy("n", "t")))
+    stars = shared.where(F.col("c") > STARS).select("t", lead.alias("lead")).select("t", F.explode("lead").alias("o")).where("t <> o")
+    stars = materialize(stars.select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b")).distinct(), "near-stars")
+    edges = materialize(_links(texts, stars, k, similarity), "near-first")
+    found = components(edges, "near-first-links")
+    roots = found.select(F.xxhash64("node").alias("t"), F.xxhash64("root").alias("root"))
+    pairs = materialize(_candidates(one, shared.select("t", "h", "c"), roots, similarity), "near-pairs")
+    edges = edges.union(_links(texts, pairs, k, similarity))
     found = components(edges, "near-links")
     told = found.join(least, found["node"] == least["tid"]).select("node", "root", "least")
     kept = told.groupBy("root").agg(F.min("least").alias("keeper"))

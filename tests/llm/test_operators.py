@@ -233,6 +233,21 @@ def test_near_dedup_keeps_texts_of_null_and_equal_ids(spark):
     assert sorted((r["doc_id"] or 0, r["text"].lower()) for r in got) == [(0, a), (3, d), (3, e), (7, c), (9, b)]
 
 
+def chained(rng, n, kept):
+    """Two texts of n and kept distinct words, the second a prefix: likeness (kept - 4) / (n - 4) of five-word shingles."""
+    x = [f"{i}-{rng.integers(1 << 40)}" for i in range(n)]
+    return " ".join(x), " ".join(x[:kept])
+
+
+def test_near_groups_decides_long_texts_by_whole_sets(spark):
+    rng, rows = np.random.default_rng(4), []
+    for i in range(40):  # 2,000 shingles: likeness 0.8 and 0.7995
+        rows += [(4 * i + j, x) for j, x in enumerate((*chained(rng, 2004, 1604), *chained(rng, 2004, 1603)))]
+    got = {r["doc_id"]: r["keeper"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [i for i in range(40) if got[4 * i + 1] == 4 * i]
+    assert all(got[4 * i + 3] == 4 * i + 3 for i in range(40)) and len(linked) >= 30
+
+
 # ------------------------------------------------------------------ 5 language models
 
 
