@@ -18,8 +18,8 @@ Wide radius.  At a Jaccard likeness of 0.8 the fingerprints of five-word
 shingles differ in up to 18 bits, and no triangle bound prunes at that radius:
 nearly all distances lie within 32 +- 12.  near_groups() therefore shards by
 shared low shingle hashes instead (two texts of likeness 0.8 share one of their
-four lowest with probability over 0.998), drops pairs of fingerprints too far apart,
-and decides every link by the two whole shingle sets.
+four lowest with probability over 0.998) and decides every link by the two whole
+shingle sets; fingerprints, which count repeats, take no part.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other
 in components(); near_groups() groups texts without words with each other only;
@@ -218,7 +218,6 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Lowest shingle hashes by which candidates meet.
 SHARD_KEYS = 4
-WIDE_RADIUS = 20
 #: Bits of a text's parity map; words of 64 bits.
 MAP_BITS = 1024
 #: Texts of a key beyond which they are first linked along the key, and beyond which they are compared in blocks.
@@ -253,15 +252,13 @@ def _keys(h: np.ndarray) -> np.ndarray:
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, keys, bits, n = [], [], [], []
+            keys, bits, n = [], [], []
             for value in batch.column(1):
-                digests = _shingle_digests(value.as_py(), k)
-                h = np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
-                fp.append(_signed(fingerprint_of(digests)))
+                h = _shingles(value.as_py(), k)
                 keys.append(_keys(h).view(np.int64))
                 bits.append(_parity(h))
                 n.append(len(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(n, pa.int32())], ["key", "tid", "fp", "keys", "bits", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(n, pa.int32())], ["key", "tid", "keys", "bits", "n"])
 
     return run
 
@@ -274,7 +271,7 @@ def _pairs(similarity: float):
     """
     most = (1 - similarity) / (1 + similarity)
 
-    def found(t: np.ndarray, root: np.ndarray, n: np.ndarray, fp: np.ndarray, bits: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
+    def found(t: np.ndarray, root: np.ndarray, n: np.ndarray, bits: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
         out, i, d = [], np.arange(len(t)), 1
         while len(i):
             i = i[i + d < len(t)]
@@ -282,7 +279,6 @@ def _pairs(similarity: float):
             i = i[n[i] >= _needed(n[i + d], similarity)]  # later ones are larger still
             j = i + d
             x = i[(root[i] != root[j]) & (t[i] != t[j])]
-            x = x[np.bitwise_count(fp[x] ^ fp[x + d]) <= WIDE_RADIUS]
             x = x[np.bitwise_count(bits[x] ^ bits[x + d]).sum(axis=1) <= most * (n[x] + n[x + d]) + 1e-6]
             out.append(np.stack((np.minimum(t[x], t[x + d]), np.maximum(t[x], t[x + d]))))
             d += 1
@@ -292,9 +288,9 @@ def _pairs(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            shard, t, root, n, fp = (np.asarray(batch.column(c)) for c in ("shard", "t", "root", "n", "fp"))
+            shard, t, root, n = (np.asarray(batch.column(c)) for c in ("shard", "t", "root", "n"))
             bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, MAP_BITS // 64)
-            now = [t, root, n.astype(np.int64), fp, bits, shard]
+            now = [t, root, n.astype(np.int64), bits, shard]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             if len(held[-1]):
                 whole = int(np.flatnonzero(held[-1] != held[-1][-1])[-1]) + 1 if (held[-1] != held[-1][-1]).any() else 0
@@ -346,7 +342,7 @@ def _candidates(one: DataFrame, shared: DataFrame, roots: DataFrame, similarity:
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     dealt = joined.withColumn("other", other).withColumn("mine", mine)
     shard = F.when(F.col("c") > BLOCK, F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("h"))
-    rows = dealt.select(shard.alias("shard"), "t", "root").join(one.select(F.xxhash64("tid").alias("t"), "n", "fp", "bits"), "t")
+    rows = dealt.select(shard.alias("shard"), "t", "root").join(one.select(F.xxhash64("tid").alias("t"), "n", "bits"), "t")
     return rows.repartition("shard").sortWithinPartitions("shard", "n", "t").mapInArrow(_pairs(similarity), "a long, b long").distinct()
 
 
@@ -359,11 +355,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _text_id(F.col(text)).alias("tid"))
-    rows = texts.mapInArrow(_signatures(k), f"key {kind}, tid string, fp long, keys array<long>, bits binary, n int")
+    rows = texts.mapInArrow(_signatures(k), f"key {kind}, tid string, keys array<long>, bits binary, n int")
     rows = materialize(rows, "near")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tid"))
     least = materialize(rows.groupBy("tid").agg(first.alias("least")), "near-texts")
-    one = rows.where("n > 0").select("tid", "fp", "keys", "bits", "n").dropDuplicates(["tid"])
+    one = rows.where("n > 0").select("tid", "keys", "bits", "n").dropDuplicates(["tid"])
     one = materialize(one, "near-one")
     texts = texts.where("tid <> ''").select("tid", "text")
     by_key = Window.partitionBy("h")

@@ -248,6 +248,15 @@ def test_near_groups_decides_long_texts_by_whole_sets(spark):
     assert all(got[4 * i + 3] == 4 * i + 3 for i in range(40)) and len(linked) >= 30
 
 
+def test_near_groups_links_texts_with_a_repeated_line(spark):
+    rng, rows = np.random.default_rng(5), []
+    for i in range(40):  # likeness over 0.9, the line's repeats turn the fingerprint
+        x, line = (" ".join(f"{j}-{rng.integers(1 << 40)}" for j in range(n)) for n in (204, 10))
+        rows += [(2 * i, x), (2 * i + 1, x + f" {line}" * 18)]
+    got = {r["doc_id"]: r["keeper"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(40)) >= 39
+
+
 # ------------------------------------------------------------------ 5 language models
 
 
