@@ -16,10 +16,11 @@ the tree (24 bytes a shard, MAX_DEPTH bounds it) reaches the driver.
 
 Wide radius.  At a Jaccard likeness of 0.8 the fingerprints of five-word
 shingles differ in up to 18 bits, and no triangle bound prunes at that radius:
-nearly all distances lie within 32 +- 12.  near_groups() therefore shards by
-shared low shingle hashes instead (two texts of likeness 0.8 share one of their
-four lowest with probability over 0.998) and decides every link by the two whole
-shingle sets; fingerprints, which count repeats, take no part.
+nearly all distances lie within 32 +- 12.  near_groups() therefore uses an exact
+prefix filter: of n shingles in a shared order, common ones last, the first
+n - ceil(0.8 n) + 1 are a text's keys, and two texts of likeness 0.8 share a key.
+Every link is decided by the two whole shingle sets; fingerprints, which count
+repeats, take no part.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other
 in components(); near_groups() groups texts without words with each other only;
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, components, materialize, read_table
+from .common import WORD, components, materialize, read_table, steps
 
 #: Fingerprints from which vantage points are chosen, the lowest by hash.
 SAMPLE = 8_192
@@ -216,10 +217,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------- groups by shingle likeness (wide radius)
 
-#: Lowest shingle hashes by which candidates meet.
-SHARD_KEYS = 4
-#: Bits of a text's parity map; words of 64 bits.
-MAP_BITS = 1024
+#: One of so many texts tells which shingles are common: those of so many sampled texts, the most common so many.
+SAMPLED, OFTEN, MOST_COMMON = 16, 16, 200_000
+#: Bits of a text's parity maps: of that which goes with each key, and of that which goes with pairs.
+MAP_BITS, WIDE_BITS = 256, 1_024
 #: Texts of a key beyond which they are first linked along the key, and beyond which they are compared in blocks.
 STARS, BLOCK = 32, 2_048
 
@@ -240,25 +241,43 @@ def _needed(n: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(similarity * n - 1e-9).astype(np.int64)
 
 
-def _parity(h: np.ndarray) -> bytes:
+def _parity(h: np.ndarray, size: int) -> bytes:
     """Bit i: whether an odd number of hashes fall on i.  Maps of two sets differ in no more bits than the sets in hashes."""
-    return np.packbits(np.bincount((h % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1).tobytes()
+    return np.packbits(np.bincount((h % np.uint64(size)).astype(np.int64), minlength=size) & 1).tobytes()
 
 
-def _keys(h: np.ndarray) -> np.ndarray:
-    return h[:SHARD_KEYS]
+def _common(texts: DataFrame, k: int) -> np.ndarray:
+    """Common shingles, ascending, from a bounded sample; they only order keys and change no link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_shingles(x.as_py(), k) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64))], ["h"])
+
+    some = texts.where(F.pmod(F.xxhash64("tid"), F.lit(SAMPLED)) == 0).dropDuplicates(["tid"]).select("text")
+    often = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN)
+    return np.sort(np.array([x[0] for x in often.orderBy(F.desc("c"), "h").limit(MOST_COMMON).collect()], np.int64).view(np.uint64))
 
 
-def _signatures(k: int):
+def _keys(h: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, common ones last: so many that two sets of the similarity share one of theirs."""
+    if len(common) and len(h):
+        seen = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] == h
+        h = np.concatenate((h[~seen], h[seen]))
+    return h[: len(h) - int(_needed(len(h), similarity)) + 1]
+
+
+def _signatures(k: int, common, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bits, n = [], [], []
+            keys, bits, wide, n = [], [], [], []
             for value in batch.column(1):
                 h = _shingles(value.as_py(), k)
-                keys.append(_keys(h).view(np.int64))
-                bits.append(_parity(h))
+                keys.append(_keys(h, common.value, similarity).view(np.int64))
+                bits.append(_parity(h, MAP_BITS))
+                wide.append(_parity(h, WIDE_BITS))
                 n.append(len(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(n, pa.int32())], ["key", "tid", "keys", "bits", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(n, pa.int32())], ["key", "tid", "keys", "bits", "wide", "n"])
 
     return run
 
@@ -280,10 +299,13 @@ def _pairs(similarity: float):
             j = i + d
             x = i[(root[i] != root[j]) & (t[i] != t[j])]
             x = x[np.bitwise_count(bits[x] ^ bits[x + d]).sum(axis=1) <= most * (n[x] + n[x + d]) + 1e-6]
-            out.append(np.stack((np.minimum(t[x], t[x + d]), np.maximum(t[x], t[x + d]))))
+            y = x + d
+            swap = t[x] > t[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            out.append(np.stack((t[x], t[y], n[x], n[y])))
             d += 1
-        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        pairs, keys = np.unique(np.concatenate(out, axis=1), axis=1, return_counts=True) if out else (np.zeros((4, 0), np.int64),) * 2
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in pairs), pa.array(keys if out else pairs[0], pa.int64())], ["a", "b", "n_a", "n_b", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -302,20 +324,19 @@ def _pairs(similarity: float):
     return run
 
 
-def _decided(similarity: float):
-    """Of pairs with both whole shingle sets: the linked ones."""
+def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) without those whose sizes or wide maps (t, n, wide) rule the similarity out."""
+    most = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate((x, y)))
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(shared / max(1, len(both) - shared) >= similarity)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+            n = [np.asarray(batch.column(c)).astype(np.int64) for c in ("n_a", "n_b")]
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64) for c in ("wide_a", "wide_b"))
+            keep = (np.minimum(*n) >= _needed(np.maximum(*n), similarity)) & (np.bitwise_count(x ^ y).sum(axis=1) <= most * (n[0] + n[1]) + 1e-6)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return run
+    one, two = (maps.select(F.col("t").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(run, "a long, b long")
 
 
 def _links(texts: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -323,18 +344,20 @@ def _links(texts: DataFrame, pairs: DataFrame, k: int, similarity: float) -> Dat
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_shingles(x.as_py(), k).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["tid", "set"])
+            for step in steps(batch, "text"):
+                made = [_shingles(x.as_py(), k).view(np.int64) for x in step.column("text")]
+                yield pa.RecordBatch.from_arrays([step.column("tid"), pa.array(made, pa.list_(pa.int64()))], ["tid", "set"])
 
     asked = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    mine = texts.withColumn("t", F.xxhash64("tid")).join(asked, "t", "left_semi").dropDuplicates(["tid"]).select("tid", "text")
-    whole = materialize(mine.mapInArrow(sets, "tid string, set binary"), "near-sets").withColumn("t", F.xxhash64("tid"))
+    mine = texts.withColumn("t", F.xxhash64("tid")).join(asked, "t", "left_semi").dropDuplicates(["t", "tid"]).select("tid", "text")
+    whole = materialize(mine.mapInArrow(sets, "tid string, set array<long>"), "near-sets").withColumn("t", F.xxhash64("tid"))
     one, two = (whole.select(F.col("t").alias(f"t{x}"), F.col("tid").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     full = pairs.select(F.col("a").alias("ta"), F.col("b").alias("tb")).join(one, "ta").join(two, "tb").select("a", "b", "set_a", "set_b")
-    return full.mapInArrow(_decided(similarity), "a string, b string")
+    both = F.size(F.array_intersect("set_a", "set_b"))  # native: whole sets of a batch of pairs are never held together
+    return full.where(both / (F.size("set_a") + F.size("set_b") - both) >= similarity).select("a", "b")
 
 
-def _candidates(one: DataFrame, shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+def _candidates(maps: DataFrame, shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of different components (t, root) that share a key; keys of many texts are compared block against block."""
     joined = shared.join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
     blocks = F.ceil(F.col("c") / F.lit(BLOCK))
@@ -342,8 +365,11 @@ def _candidates(one: DataFrame, shared: DataFrame, roots: DataFrame, similarity:
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     dealt = joined.withColumn("other", other).withColumn("mine", mine)
     shard = F.when(F.col("c") > BLOCK, F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("h"))
-    rows = dealt.select(shard.alias("shard"), "t", "root").join(one.select(F.xxhash64("tid").alias("t"), "n", "bits"), "t")
-    return rows.repartition("shard").sortWithinPartitions("shard", "n", "t").mapInArrow(_pairs(similarity), "a long, b long").distinct()
+    rows = dealt.select(shard.alias("shard"), "t", "root").join(maps, "t")
+    made = rows.repartition("shard").sortWithinPartitions("shard", "n", "t").mapInArrow(_pairs(similarity), "a long, b long, n_a long, n_b long, keys long")
+    made = made.groupBy("a", "b", "n_a", "n_b").agg(F.sum("keys").alias("keys"))
+    behind = F.ceil(similarity * F.greatest("n_a", "n_b") - 1e-9) - 1  # shingles behind the keys; those before them are among the keys
+    return made.where(F.col("keys") + behind >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b").distinct()
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -355,24 +381,27 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     """
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _text_id(F.col(text)).alias("tid"))
-    rows = texts.mapInArrow(_signatures(k), f"key {kind}, tid string, keys array<long>, bits binary, n int")
+    common = docs.sparkSession.sparkContext.broadcast(_common(texts.where("tid <> ''"), k))  # MOST_COMMON hashes
+    rows = texts.mapInArrow(_signatures(k, common, similarity), f"key {kind}, tid string, keys array<long>, bits binary, wide binary, n int")
     rows = materialize(rows, "near")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tid"))
     least = materialize(rows.groupBy("tid").agg(first.alias("least")), "near-texts")
-    one = rows.where("n > 0").select("tid", "keys", "bits", "n").dropDuplicates(["tid"])
-    one = materialize(one, "near-one")
+    some = rows.where("n > 0").withColumn("t", F.xxhash64("tid"))
     texts = texts.where("tid <> ''").select("tid", "text")
     by_key = Window.partitionBy("h")
-    shared = one.select(F.xxhash64("tid").alias("t"), "n", F.explode("keys").alias("h")).withColumn("c", F.count("*").over(by_key)).where("c > 1")
+    shared = some.select("tid", "t", "n", "keys").dropDuplicates(["tid"]).select("t", "n", F.explode("keys").alias("h")).withColumn("c", F.count("*").over(by_key)).where("c > 1")
     shared = materialize(shared, "near-keys")
     alike = F.floor(F.log("n") / np.log(1.1))
     lead = F.array(F.min("t").over(Window.partitionBy("h", alike)), F.lag("t").over(by_key.orderBy("n", "t")))
     stars = shared.where(F.col("c") > STARS).select("t", lead.alias("lead")).select("t", F.explode("lead").alias("o")).where("t <> o")
-    stars = materialize(stars.select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b")).distinct(), "near-stars")
+    stars = stars.select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b")).distinct()
+    maps = some.select("t", "n", "wide").dropDuplicates(["t"])
+    stars = materialize(_possible(stars, maps, similarity), "near-stars")
     edges = materialize(_links(texts, stars, k, similarity), "near-first")
     found = components(edges, "near-first-links")
     roots = found.select(F.xxhash64("node").alias("t"), F.xxhash64("root").alias("root"))
-    pairs = materialize(_candidates(one, shared.select("t", "h", "c"), roots, similarity), "near-pairs")
+    pairs = _candidates(some.select("t", "n", "bits").dropDuplicates(["t"]), shared.select("t", "h", "c"), roots, similarity)
+    pairs = materialize(_possible(pairs, maps, similarity), "near-pairs")
     edges = edges.union(_links(texts, pairs, k, similarity))
     found = components(edges, "near-links")
     told = found.join(least, found["node"] == least["tid"]).select("node", "root", "least")

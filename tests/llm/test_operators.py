@@ -257,6 +257,37 @@ def test_near_groups_links_texts_with_a_repeated_line(spark):
     assert sum(got[2 * i + 1] == 2 * i for i in range(40)) >= 39
 
 
+def test_near_groups_links_pairs_without_a_common_lowest_hash(spark):
+    rng = np.random.default_rng(6)
+    while True:  # likeness 0.8, and none of the four lowest hashes is shared
+        pair = chained(rng, 104, 84)
+        low = [set(np.unique(np.frombuffer(simhash._shingle_digests(x, 5), ">u8"))[:4].tolist()) for x in pair]
+        if not low[0] & low[1]:
+            break
+    got = simhash.near_groups(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")).collect()
+    assert {r["keeper"] for r in got} == {0}
+
+
+def test_near_groups_of_common_passages_equal_all_pairs(spark, monkeypatch):
+    for name, value in {"SAMPLED": 1, "OFTEN": 3, "STARS": 2, "BLOCK": 4}.items():
+        monkeypatch.setattr(simhash, name, value)
+    rng = np.random.default_rng(7)
+    passages = [[f"p{i}-{j}" for j in range(60)] for i in range(3)]
+    texts = []
+    for _ in range(150):
+        x = passages[rng.integers(3)] + [f"o{rng.integers(1 << 40)}" for _ in range(rng.integers(2, 20))]
+        texts += [x, x[: len(x) - rng.integers(0, 14)]][: rng.integers(1, 3)]
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in texts]
+    told = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and told[i] != told[j]:
+                told = [min(told[i], told[j]) if r in (told[i], told[j]) else r for r in told]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["keeper"] for r in simhash.near_groups(df).collect()}
+    assert [got[i] for i in range(len(texts))] == told and 10 < len(set(told)) < len(texts)
+
+
 # ------------------------------------------------------------------ 5 language models
 
 
