@@ -40,9 +40,27 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def cut(df):
-    """df without its lineage, by a reliable checkpoint in the folder that the session names."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    A session on one machine without either gets a temporary folder; a cluster must name one.
+    """
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        found = context._jsc.sc().getCheckpointDir()
+        if found.isDefined():
+            path = found.get()
+        elif context.master.startswith("local"):
+            path = "file://" + tempfile.mkdtemp(prefix="sparloom-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparloom-"))
+        context.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
+def cut(df):
+    """df without its lineage, by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
