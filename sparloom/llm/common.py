@@ -4,8 +4,8 @@ distributed ranks, and connected components.
 
 from __future__ import annotations
 
-import os
-import tempfile
+import functools
+import operator
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import session
+
 #: A word is a run of characters that are not blank, tab, newline, VT, FF or CR.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = np.zeros(256, bool)
@@ -28,17 +30,8 @@ _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Where the session has none (tests on one machine), a folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="sparloom-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    """The folder that driver and executors share (session.shared_folder)."""
+    return session.shared_folder(spark)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -46,7 +39,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path  # for discard()
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the folders of materialized frames that nothing reads any more.
+
+    The driver's collector is asked to run, so that executors drop the shuffle
+    files of finished steps as well.
+    """
+    for df in frames:
+        if path := getattr(df, "_folder", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+            df._folder = None
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,16 +106,17 @@ def words(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return begin, end, np.searchsorted(begin, at)
 
 
-_powers: dict[str, np.ndarray] = {}
+#: Bytes over which prefix sums are held at once, whatever the text's length.
+_SPAN = 1 << 18
+
 
+def _powers(base: np.uint64) -> np.ndarray:
+    full = np.full(_SPAN + 1, base, np.uint64)
+    full[0] = 1
+    return np.cumprod(full, dtype=np.uint64)
 
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    held = _powers.get(str(base))
-    if held is None or len(held) < n:
-        full = np.full(max(n, 1 << 16), base, np.uint64)
-        full[0] = 1
-        held = _powers[str(base)] = np.cumprod(full, dtype=np.uint64)
-    return held[:n]
+
+_UP, _DOWN = _powers(_BASE), _powers(_BASE_INV)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -119,12 +131,42 @@ def mix(h: np.ndarray) -> np.ndarray:
 _letter = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
-def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word's bytes, from prefix sums over the whole step."""
+def _sums(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial of each word's bytes; data has _SPAN bytes at most."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_letter[data] * _power(_BASE, len(data)), out=sums[1:])
-    spread = (sums[end] - sums[begin]) * _power(_BASE_INV, len(data) + 1)[begin]
-    return mix(spread + (end - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    np.cumsum(_letter[data] * _UP[: len(data)], out=sums[1:])
+    return (sums[end] - sums[begin]) * _DOWN[begin]
+
+
+def _long_sum(data: np.ndarray) -> np.uint64:
+    """The same of one word of any length, piece by piece."""
+    total, scale = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for i in range(0, len(data), _SPAN):
+        piece = data[i : i + _SPAN]
+        total = total + scale * _sums(piece, np.array([0]), np.array([len(piece)]))
+        scale = scale * _UP[_SPAN : _SPAN + 1]
+    return total[0]
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word's bytes, from prefix sums over spans of bounded size."""
+    out = np.empty(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):
+        at = begin[i]
+        j = int(np.searchsorted(end, at + _SPAN, "right"))
+        if j > i:
+            out[i:j] = _sums(data[at : end[j - 1]], begin[i:j] - at, end[i:j] - at)
+        else:
+            j = i + 1
+            out[i] = _long_sum(data[at : end[i]])
+        i = j
+    return mix(out + (end - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z."""
+    return data + ((data >= 0x41) & (data <= 0x5A)).astype(np.uint8) * np.uint8(32)
 
 
 def run_hashes(h: np.ndarray, k: int) -> np.ndarray:
@@ -146,33 +188,36 @@ def arrow_type(spark_type: str) -> pa.DataType:
 
 # ------------------------------------------------------------- distributed ranks
 
-#: Rows that a bucket of a rank is meant to hold, and buckets of one cell at most.
-BUCKET_ROWS, MOST_BUCKETS = 1_000, 1_000_000
+#: Rows that a bucket of a large cell is meant to hold, the rows from which a cell is
+#: large, and the most large cells that are broadcast (more: a join).
+BUCKET_ROWS, LARGE_CELL, MOST_LARGE = 1_000, 20_000, 200_000
 
 
-def ranked(df: DataFrame, cell: list[str], order: list[str], n_rows: int, name: str = "rank") -> DataFrame:
+def ranked(df: DataFrame, cell: list[str], order: list[str], name: str = "rank") -> DataFrame:
     """Adds `name`: each row's place, from 0, among the rows of its cell.
 
-    Rows go by the hash of `order`, then by `order`.  A cell's rows are first
+    Rows go by the hash of `order`, then by `order`.  Rows of a large cell are
     spread over hash buckets, buckets are counted with map-side sums, and only
     rows of one bucket are sorted together, so a cell may hold any share of all
     rows.  Rows that agree on `order` are alike for the caller.
     """
-    buckets = max(1, min(MOST_BUCKETS, n_rows // BUCKET_ROWS))
+    kept = df.columns
+    large = materialize(df.groupBy(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(cell)]).agg(F.count("*").alias("_n")).where(F.col("_n") > LARGE_CELL), "rank-large")
+    few = large.count() <= MOST_LARGE
+    same = [F.col(c).eqNullSafe(F.col(f"_l{i}")) for i, c in enumerate(cell)]
+    df = df.join(F.broadcast(large) if few else large, functools.reduce(operator.and_, same), "left")
     h = F.xxhash64(*order)
-    df = df.withColumn("_h", h).withColumn("_b", F.pmod(h, F.lit(buckets)))
-    counts = df.groupBy(*cell, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*cell).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    buckets = F.coalesce(F.ceil(F.col("_n") / BUCKET_ROWS), F.lit(1))
+    df = df.select(*kept, h.alias("_h"), F.pmod(h, buckets).alias("_b"), F.col("_n").isNotNull().alias("_large"))
+    counts = df.where("_large").groupBy(*cell, "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*cell).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row for BUCKET_ROWS rows
+    counts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     counts = counts.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate([*cell, "_b"])], "_start")
-    same = [F.col(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate([*cell, "_b"])]
+    on = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate([*cell, "_b"])])
     within = Window.partitionBy(*cell, "_b").orderBy("_h", *order)
     placed = df.withColumn("_w", F.row_number().over(within) - 1)
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
     joined = placed.join(counts, on, "left")
-    return joined.withColumn(name, (F.col("_start") + F.col("_w")).cast("long")).drop("_h", "_b", "_w", "_start", *[f"_c{i}" for i in range(len(cell) + 1)])
+    return joined.select(*kept, (F.coalesce("_start", F.lit(0)) + F.col("_w")).cast("long").alias(name))
 
 
 # ---------------------------------------------------------- connected components
@@ -191,13 +236,15 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     seen = None
     for _ in range(rounds):
         both = current.select("a", "b").union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        smaller = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(smaller, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stepped = small.union(smaller.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        current = materialize(stepped.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
+        # written, so that the joins below read plain exchanges, which Spark can split where a node has many edges
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-least")
+        large = materialize(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), f"{name}-large")
+        smaller = materialize(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-small")
+        small = large.join(smaller, "a").where("b <> m").select(F.col("m").alias("b"), F.col("b").alias("a"))
+        stepped = small.select("a", "b").union(smaller.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        last, current = current, materialize(stepped.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), name)
         sums = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(last, least, large, smaller)
         if seen == tuple(sums):
             break
         seen = tuple(sums)

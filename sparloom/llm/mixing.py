@@ -156,7 +156,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     rated = balance(cells, {"m0": goals}, cap)
     rounded = materialize(rated.groupBy("m0").applyInPandas(_rounded(cap), "m0 string, size long, n long, rate double, base long, more long"), "mixing-copies")
     told = _small(docs.sparkSession, [(m, sizes[m], goals[m]) for m in sizes], "m0 string, source_size long, target double")
-    placed = ranked(tall, ["m0", "size"], ["_id"], tall.count(), "_place")
+    placed = ranked(tall, ["m0", "size"], ["_id"], "_place")
     copies = F.col("base") + F.when(F.col("_place") < F.col("more"), 1).otherwise(0)
     return placed.join(rounded, ["m0", "size"]).join(told, "m0").select(F.col("_id").alias(key), "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 

@@ -109,14 +109,13 @@ def reshard(rows: DataFrame, shards: int, cost: np.ndarray | None = None, order:
     Shards get near equal bytes with the fewest bytes moved.
     """
     spark = rows.sparkSession
-    n_rows = rows.count()
     cells = rows.groupBy("old_shard", "size").agg(F.count("*").alias("_n"))
     larger = Window.partitionBy("old_shard").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
     cells = materialize(cells.withColumn("_before", F.coalesce(F.sum(F.col("_n") * F.col("size")).over(larger), F.lit(0))), "reshard-cells")
     old = {r[0]: int(r[1]) for r in cells.groupBy("old_shard").agg(F.sum(F.col("_n") * F.col("size"))).collect()}
     blocks = transfers(old, even_capacities(sum(old.values()), shards), cost)
     told = F.broadcast(spark.createDataFrame(blocks, "old_shard int, shard int, _from long, _to long"))  # old + new - 1 blocks at most
-    placed = ranked(rows, ["old_shard", "size"], list(order), n_rows, "_place").join(cells, ["old_shard", "size"])
+    placed = ranked(rows, ["old_shard", "size"], list(order), "_place").join(cells, ["old_shard", "size"])
     middle = F.col("_before") + F.col("_place") * F.col("size") + F.col("size") / 2
     placed = placed.withColumn("_middle", middle)
     inside = (F.col("_middle") >= F.col("_from")) & (F.col("_middle") < F.col("_to"))
@@ -125,7 +124,7 @@ def reshard(rows: DataFrame, shards: int, cost: np.ndarray | None = None, order:
 
 def slots(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds slot: gapless from 0 in each shard."""
-    return ranked(rows, ["shard"], order, rows.count(), "slot")
+    return ranked(rows, ["shard"], order, "slot")
 
 
 def sized(docs: DataFrame, old_shard, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,8 +19,9 @@ shingles differ in up to 18 bits, and no triangle bound prunes at that radius:
 nearly all distances lie within 32 +- 12.  near_groups() therefore uses an exact
 prefix filter: of n shingles in a shared order, common ones last, the first
 n - ceil(0.8 n) + 1 are a text's keys, and two texts of likeness 0.8 share a key.
-Every link is decided by the two whole shingle sets; fingerprints, which count
-repeats, take no part.
+Every link is decided by the two whole shingle sets (64-bit hashes); fingerprints,
+which count repeats, take no part.  Texts are not shuffled for it: only keys, and
+the sets of texts in a candidate pair, are.
 
 Defined cases: null and empty texts have fingerprint 0 and link like any other
 in components(); near_groups() groups texts without words with each other only;
@@ -29,6 +30,7 @@ repeated rows and equal ids are separate rows; an empty table stays empty.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,14 +39,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WORD, components, materialize, read_table, steps
+from .common import WORD, components, discard, lowered, materialize, read_table, steps, utf8
+from .sketches import shingles
 
-#: Fingerprints from which vantage points are chosen, the lowest by hash.
-SAMPLE = 8_192
-#: Fingerprints that a shard is meant to hold, and levels of the shared tree.
-SHARD, MIN_DEPTH, MAX_DEPTH = 8_192, 3, 16
+#: Fingerprints from which vantage points are chosen, the lowest by hash: so many for each shard, within these bounds.
+SAMPLE_A_SHARD, SAMPLE, MOST_SAMPLE = 128, 8_192, 1 << 20
+#: Fingerprints that a shard is meant to hold (a local tree searches it), and levels of the shared tree.
+SHARD, MIN_DEPTH, MAX_DEPTH = 1 << 19, 3, 16
+#: Of so many sampled points of a node, that with the fewest others near its median becomes its vantage point.
+TRIED = 16
 LEAF = 256
 
 
@@ -82,8 +86,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [_signed(fingerprint_of(_shingle_digests(t.as_py(), k))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64())], ["key", "fp"])
+            for step in steps(batch, "text"):
+                fp = [_signed(fingerprint_of(_shingle_digests(t.as_py(), k))) for t in step.column("text")]
+                yield pa.RecordBatch.from_arrays([step.column("key"), pa.array(fp, pa.int64())], ["key", "fp"])
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, fp long")
 
@@ -94,7 +99,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
 class Tree:
     """A balanced tree kept by levels: vantage point and median distance of each node."""
 
-    def __init__(self, sample: np.ndarray, depth: int) -> None:
+    def __init__(self, sample: np.ndarray, depth: int, radius: int = 2) -> None:
         self.depth = depth
         self.point = np.zeros(1 << depth, np.uint64)
         self.median = np.full(1 << depth, -1, np.int64)
@@ -102,9 +107,12 @@ class Tree:
         for node in range(1, 1 << depth):
             mine = groups.pop(node, sample[:0])
             if len(mine):
-                self.point[node] = mine[len(mine) // 2]
-                d = np.bitwise_count(mine ^ self.point[node])
-                self.median[node] = int(np.median(d))
+                tried = mine[np.linspace(0, len(mine) - 1, min(TRIED, len(mine))).astype(np.int64)]
+                apart = np.bitwise_count(tried[:, None] ^ mine[None, :]).astype(np.int64)
+                middle = np.median(apart, axis=1).astype(np.int64)
+                edge = (np.abs(apart - middle[:, None]) < radius).sum(axis=1) + (apart <= middle[:, None]).all(axis=1) * len(mine)
+                best = int(np.argmin(edge))  # few points visit both sides
+                self.point[node], self.median[node], d = tried[best], middle[best], apart[best]
                 inner = d <= self.median[node]
                 groups[2 * node], groups[2 * node + 1] = mine[inner], mine[~inner]
 
@@ -180,9 +188,10 @@ def search(fp: np.ndarray, home: np.ndarray, radius: int) -> Forest:
 
 def links(distinct: DataFrame, radius: int, n: int) -> DataFrame:
     """Edges (a, b) of a spanning forest of all links of distinct fingerprints (fp)."""
-    sample = np.array([r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     depth = int(np.clip(np.ceil(np.log2(max(n, 1) / SHARD)), MIN_DEPTH, MAX_DEPTH))
-    tree = distinct.sparkSession.sparkContext.broadcast(Tree(sample, depth))
+    wanted = int(np.clip(SAMPLE_A_SHARD << depth, SAMPLE, MOST_SAMPLE))
+    sample = np.array([r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(wanted).collect()], np.int64).view(np.uint64)
+    tree = distinct.sparkSession.sparkContext.broadcast(Tree(sample, depth, radius))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +216,9 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3,
     told = found.join(groups, found["node"] == groups["fp"]).select("node", "root", "least")
     least = told.groupBy("root").agg(F.min("least").alias("component"))
     named = told.join(least, "root").select(F.col("node").alias("fp"), "component")
-    all_named = groups.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # written, so that a fingerprint of many rows meets its name in a join that Spark can split
+    all_named = materialize(groups.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "simhash-named")
+    discard(groups)
     return rows.join(all_named, "fp").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -223,6 +234,10 @@ SAMPLED, OFTEN, MOST_COMMON = 16, 16, 200_000
 MAP_BITS, WIDE_BITS = 256, 1_024
 #: Texts of a key beyond which they are first linked along the key, and beyond which they are compared in blocks.
 STARS, BLOCK = 32, 2_048
+#: Texts of each key and size class with which the others are compared first.
+LEADERS = 3
+#: Bits of the filter by which tasks know texts of candidate pairs, at most; texts let through by mistake are dropped later.
+MOST_FILTER_BITS = 1 << 29
 
 
 def _text_id(text: F.Column) -> F.Column:
@@ -231,9 +246,16 @@ def _text_id(text: F.Column) -> F.Column:
     return F.when(text.rlike(WORD), F.md5(lowered)).otherwise("")
 
 
-def _shingles(text: str | None, k: int) -> np.ndarray:
-    """Distinct shingle hashes, ascending."""
-    return np.unique(np.frombuffer(_shingle_digests(text, k), ">u8").astype(np.uint64))
+def _shingles(column: pa.Array, k: int) -> list[np.ndarray]:
+    """Distinct shingle hashes of each row, ascending."""
+    at, data = utf8(column)
+    value, first = shingles(at, lowered(data), k)
+    return [np.unique(value[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def _hash_lists(made: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum([len(h) for h in made]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*made, np.zeros(0, np.uint64)]).view(np.int64)))
 
 
 def _needed(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -251,8 +273,8 @@ def _common(texts: DataFrame, k: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_shingles(x.as_py(), k) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64) if made else np.zeros(0, np.int64))], ["h"])
+            for step in steps(batch, "text"):
+                yield pa.RecordBatch.from_arrays([_hash_lists(_shingles(step.column("text"), k)).flatten()], ["h"])
 
     some = texts.where(F.pmod(F.xxhash64("tid"), F.lit(SAMPLED)) == 0).dropDuplicates(["tid"]).select("text")
     often = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN)
@@ -270,14 +292,11 @@ def _keys(h: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
 def _signatures(k: int, common, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bits, wide, n = [], [], [], []
-            for value in batch.column(1):
-                h = _shingles(value.as_py(), k)
-                keys.append(_keys(h, common.value, similarity).view(np.int64))
-                bits.append(_parity(h, MAP_BITS))
-                wide.append(_parity(h, WIDE_BITS))
-                n.append(len(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(n, pa.int32())], ["key", "tid", "keys", "bits", "wide", "n"])
+            for step in steps(batch, "text"):
+                made = _shingles(step.column("text"), k)
+                keys = _hash_lists([_keys(h, common.value, similarity) for h in made])
+                bits, wide = ([_parity(h, size) for h in made] for size in (MAP_BITS, WIDE_BITS))
+                yield pa.RecordBatch.from_arrays([step.column("key"), step.column("tid"), keys, pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array([len(h) for h in made], pa.int32())], ["key", "tid", "keys", "bits", "wide", "n"])
 
     return run
 
@@ -339,31 +358,79 @@ def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(run, "a long, b long")
 
 
+def _filter(asked: DataFrame) -> np.ndarray:
+    """A bitmap over the low bits of asked ids (t): tasks send their bits by slices, equal slices are joined by OR."""
+    bits = 1 << int(np.clip(np.ceil(np.log2(16 * max(1, asked.count()))), 16, np.log2(MOST_FILTER_BITS)))
+    slices = max(1, bits >> 20)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
+        for batch in batches:
+            seen[np.asarray(batch.column(0)).astype(np.int64) & (bits - 1)] = True
+        for i, piece in enumerate(np.split(seen, slices)):
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(np.packbits(piece).tobytes(), 1)], pa.binary())], ["slice", "body"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, body in zip(batch.column("slice").to_pylist(), batch.column("body"), strict=True):
+                piece = np.frombuffer(zlib.decompress(body.as_py()), np.uint8)
+                held[i] = held[i] | piece if i in held else piece
+        for i, piece in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], ["slice", "body"])
+
+    out = np.zeros((slices, bits // slices // 8), np.uint8)
+    for i, body in asked.select("t").mapInArrow(own, "slice int, body binary").repartition("slice").mapInArrow(joined, "slice int, body binary").toLocalIterator():
+        out[i] = np.frombuffer(zlib.decompress(body), np.uint8)
+    return out.ravel()
+
+
 def _links(texts: DataFrame, pairs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Pairs (a, b: hashes of text ids) as links (a, b: text ids), decided by whole shingle sets of their texts (tid, text)."""
+    """Pairs (a, b: hashes of text ids) as links (a, b: text ids), decided by whole shingle sets of their texts (t, tid, text)."""
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "near-asked")
+    known = texts.sparkSession.sparkContext.broadcast(_filter(asked))  # MOST_FILTER_BITS / 8 bytes at most
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = 8 * len(known.value) - 1
         for batch in batches:
-            for step in steps(batch, "text"):
-                made = [_shingles(x.as_py(), k).view(np.int64) for x in step.column("text")]
-                yield pa.RecordBatch.from_arrays([step.column("tid"), pa.array(made, pa.list_(pa.int64()))], ["tid", "set"])
+            low = np.asarray(batch.column("t")).astype(np.int64) & mask
+            kept = batch.filter(pa.array((known.value[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1 == 1))
+            for step in steps(kept, "text"):
+                yield pa.RecordBatch.from_arrays([step.column("t"), step.column("tid"), _hash_lists(_shingles(step.column("text"), k))], ["t", "tid", "set"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
-    mine = texts.withColumn("t", F.xxhash64("tid")).join(asked, "t", "left_semi").dropDuplicates(["t", "tid"]).select("tid", "text")
-    whole = materialize(mine.mapInArrow(sets, "tid string, set array<long>"), "near-sets").withColumn("t", F.xxhash64("tid"))
+    made = texts.select("t", "tid", "text").mapInArrow(sets, "t long, tid string, set array<long>")
+    whole = materialize(made.join(asked, "t", "left_semi").dropDuplicates(["t", "tid"]), "near-sets")
     one, two = (whole.select(F.col("t").alias(f"t{x}"), F.col("tid").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     full = pairs.select(F.col("a").alias("ta"), F.col("b").alias("tb")).join(one, "ta").join(two, "tb").select("a", "b", "set_a", "set_b")
     both = F.size(F.array_intersect("set_a", "set_b"))  # native: whole sets of a batch of pairs are never held together
-    return full.where(both / (F.size("set_a") + F.size("set_b") - both) >= similarity).select("a", "b")
+    out = materialize(full.where(both / (F.size("set_a") + F.size("set_b") - both) >= similarity).select("a", "b"), "near-links")
+    discard(asked, whole)
+    return out
+
+
+def _stars(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each text of a common key (h, t, n, c) with the leaders of the key's texts of its size."""
+    size = F.floor(F.log("n") / np.log(1.1)).alias("size")
+    hot = shared.where(F.col("c") > STARS).select("h", "t", size)
+    lead = [F.min_by("t", F.xxhash64("t", F.lit(i))) for i in range(LEADERS)]
+    leaders = materialize(hot.groupBy("h", "size").agg(F.array_distinct(F.array(*lead)).alias("leaders")), "near-leaders")
+    pairs = hot.join(leaders, ["h", "size"]).select("t", F.explode("leaders").alias("o")).where("t <> o")
+    return pairs.select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b")).distinct()
 
 
 def _candidates(maps: DataFrame, shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different components (t, root) that share a key; keys of many texts are compared block against block."""
-    joined = shared.join(roots, "t", "left").withColumn("root", F.coalesce("root", "t"))
+    """Pairs (a, b) of different components (t, root) that share a key (h, t, n, c).
+
+    Keys whose texts are one component already go, however many texts they have;
+    other keys of many texts are compared block against block.
+    """
+    rooted = materialize(shared.join(roots, "t", "left").select("h", "t", "c", F.coalesce("root", "t").alias("root")), "near-rooted")
+    open_ = materialize(rooted.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("h"), "near-open")
     blocks = F.ceil(F.col("c") / F.lit(BLOCK))
     mine = F.pmod("t", blocks)
     other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    dealt = joined.withColumn("other", other).withColumn("mine", mine)
+    dealt = rooted.join(open_, "h").withColumn("other", other).withColumn("mine", mine)
     shard = F.when(F.col("c") > BLOCK, F.xxhash64("h", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.col("h"))
     rows = dealt.select(shard.alias("shard"), "t", "root").join(maps, "t")
     made = rows.repartition("shard").sortWithinPartitions("shard", "n", "t").mapInArrow(_pairs(similarity), "a long, b long, n_a long, n_b long, keys long")
@@ -372,50 +439,55 @@ def _candidates(maps: DataFrame, shared: DataFrame, roots: DataFrame, similarity
     return made.where(F.col("keys") + behind >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b").distinct()
 
 
-def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, tid, keeper, keeper_tid): each row's text id, and key and text id of the first row of its near-duplicate group.
-
-    Texts that share a key are candidates.  Those of keys of many texts are first
-    linked along the key, so that a large group of near-copies is one component
-    before its pairs are looked at; then all pairs of different components are.
-    """
+def _groups(docs: DataFrame, key: str, text: str, k: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(key, tid) of each row, and (tid, keeper: key and tid of the first row of the group) of each text."""
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), _text_id(F.col(text)).alias("tid"))
     common = docs.sparkSession.sparkContext.broadcast(_common(texts.where("tid <> ''"), k))  # MOST_COMMON hashes
-    rows = texts.mapInArrow(_signatures(k, common, similarity), f"key {kind}, tid string, keys array<long>, bits binary, wide binary, n int")
-    rows = materialize(rows, "near")
+    rows = materialize(texts.mapInArrow(_signatures(k, common, similarity), f"key {kind}, tid string, keys array<long>, bits binary, wide binary, n int"), "near")
+    ids = materialize(rows.select("key", "tid"), "near-ids")
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "tid"))
-    least = materialize(rows.groupBy("tid").agg(first.alias("least")), "near-texts")
-    some = rows.where("n > 0").withColumn("t", F.xxhash64("tid"))
-    texts = texts.where("tid <> ''").select("tid", "text")
-    by_key = Window.partitionBy("h")
-    shared = some.select("tid", "t", "n", "keys").dropDuplicates(["tid"]).select("t", "n", F.explode("keys").alias("h")).withColumn("c", F.count("*").over(by_key)).where("c > 1")
-    shared = materialize(shared, "near-keys")
-    alike = F.floor(F.log("n") / np.log(1.1))
-    lead = F.array(F.min("t").over(Window.partitionBy("h", alike)), F.lag("t").over(by_key.orderBy("n", "t")))
-    stars = shared.where(F.col("c") > STARS).select("t", lead.alias("lead")).select("t", F.explode("lead").alias("o")).where("t <> o")
-    stars = stars.select(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b")).distinct()
-    maps = some.select("t", "n", "wide").dropDuplicates(["t"])
-    stars = materialize(_possible(stars, maps, similarity), "near-stars")
-    edges = materialize(_links(texts, stars, k, similarity), "near-first")
+    least = materialize(ids.groupBy("tid").agg(first.alias("least")), "near-texts")
+    some = materialize(rows.where("n > 0").drop("key").dropDuplicates(["tid"]).withColumn("t", F.xxhash64("tid")), "near-distinct")
+    discard(rows)
+    texts = texts.where("tid <> ''").select(F.xxhash64("tid").alias("t"), "tid", "text")
+    keyed = some.select("t", "n", F.explode("keys").alias("h"))
+    often = materialize(keyed.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "near-often")
+    shared = materialize(keyed.join(often, "h").select("h", "t", "n", "c"), "near-keys")
+    narrow = materialize(some.select("t", "n", "bits", "wide").dropDuplicates(["t"]), "near-maps")
+    discard(often, some)
+    stars = materialize(_possible(_stars(shared), narrow.drop("bits"), similarity), "near-stars")
+    edges = _links(texts, stars, k, similarity)
     found = components(edges, "near-first-links")
-    roots = found.select(F.xxhash64("node").alias("t"), F.xxhash64("root").alias("root"))
-    pairs = _candidates(some.select("t", "n", "bits").dropDuplicates(["t"]), shared.select("t", "h", "c"), roots, similarity)
-    pairs = materialize(_possible(pairs, maps, similarity), "near-pairs")
-    edges = edges.union(_links(texts, pairs, k, similarity))
-    found = components(edges, "near-links")
+    roots = materialize(found.select(F.xxhash64("node").alias("t"), F.xxhash64("root").alias("root")), "near-roots")
+    pairs = materialize(_candidates(narrow.drop("wide"), shared, roots, similarity), "near-candidates")
+    discard(shared, stars)
+    pairs = materialize(_possible(pairs, narrow.drop("bits"), similarity), "near-pairs")
+    found = components(edges.union(_links(texts, pairs, k, similarity)), "near-groups")
     told = found.join(least, found["node"] == least["tid"]).select("node", "root", "least")
     kept = told.groupBy("root").agg(F.min("least").alias("keeper"))
     named = told.join(kept, "root").select(F.col("node").alias("tid"), "keeper")
-    all_named = least.join(named, "tid", "left").select("tid", F.coalesce("keeper", "least").alias("keeper"))
-    all_named = all_named.select("tid", F.col("keeper.key").alias("keeper"), F.col("keeper.tid").alias("keeper_tid"))
-    return rows.select("key", "tid").join(all_named, "tid").select(F.col("key").alias(key), "tid", "keeper", "keeper_tid")
+    named = materialize(least.join(named, "tid", "left").select("tid", F.coalesce("keeper", "least").alias("keeper")), "near-named")
+    discard(least, narrow, roots, pairs, edges)
+    return ids, named
+
+
+def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(key, tid, keeper, keeper_tid): each row's text id, and key and text id of the first row of its near-duplicate group.
+
+    Texts that share a key are candidates.  Those of keys of many texts are first
+    linked along the key, so that a large group of near-copies is one component
+    before its pairs are looked at; then all pairs of different components are.
+    """
+    ids, named = _groups(docs, key, text, k, similarity)
+    return ids.join(named, "tid").select(F.col("key").alias(key), "tid", F.col("keeper.key").alias("keeper"), F.col("keeper.tid").alias("keeper_tid"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each near-duplicate group: that with the smallest (key, text id), null keys last."""
-    told = near_groups(docs, key, text, k, similarity)
-    kept = told.where(F.col(key).eqNullSafe(F.col("keeper")) & (F.col("tid") == F.col("keeper_tid"))).select(F.col(key).alias("_key"), F.col("tid").alias("_keeper")).distinct()
-    named = docs.withColumn("_tid", _text_id(F.col(text)))
-    mine = named.join(kept, named[key].eqNullSafe(kept["_key"]) & (named["_tid"] == kept["_keeper"]), "left_semi")
+    ids, named = _groups(docs, key, text, k, similarity)
+    kept = materialize(named.select(F.col("keeper.key").alias("_key"), F.col("keeper.tid").alias("_keeper")).distinct(), "near-kept")
+    discard(ids, named)
+    tid = _text_id(docs[text])
+    mine = docs.withColumn("_tid", tid).join(kept, docs[key].eqNullSafe(kept["_key"]) & (tid == kept["_keeper"]), "left_semi")
     return mine.dropDuplicates([key, "_tid"]).drop("_tid")

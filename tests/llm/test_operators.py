@@ -4,6 +4,7 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -261,7 +262,7 @@ def test_near_groups_links_pairs_without_a_common_lowest_hash(spark):
     rng = np.random.default_rng(6)
     while True:  # likeness 0.8, and none of the four lowest hashes is shared
         pair = chained(rng, 104, 84)
-        low = [set(np.unique(np.frombuffer(simhash._shingle_digests(x, 5), ">u8"))[:4].tolist()) for x in pair]
+        low = [set(h[:4].tolist()) for h in simhash._shingles(pa.array(pair), 5)]
         if not low[0] & low[1]:
             break
     got = simhash.near_groups(spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")).collect()
@@ -288,6 +289,24 @@ def test_near_groups_of_common_passages_equal_all_pairs(spark, monkeypatch):
     assert [got[i] for i in range(len(texts))] == told and 10 < len(set(told)) < len(texts)
 
 
+@pytest.mark.parametrize("n", [60, 1000, 5000])
+def test_near_groups_recall_against_all_pairs(spark, n):
+    rng, texts = np.random.default_rng(n), []
+    for _ in range(30):
+        x = [f"w{rng.integers(1 << 30)}" for _ in range(n)]
+        y = list(x)
+        for i in rng.choice(n, max(1, n // 60), replace=False):
+            y[i] = f"v{rng.integers(1 << 30)}"
+        texts += [x, y]
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in texts]
+    told = {(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["keeper"] for r in simhash.near_groups(df).collect()}
+    found = {(i, j) for i, j in told if got[i] == got[j]}
+    print(f"{n} words: {len(found)} of {len(told)} pairs")
+    assert found == told and len(told) >= 10 and len(set(got.values())) == len(texts) - len(told)
+
+
 # ------------------------------------------------------------------ 5 language models
 
 
@@ -499,9 +518,10 @@ def test_trees_hold_out(spark):
 
 def test_ranks_are_dense_in_hot_cells(spark, monkeypatch):
     monkeypatch.setattr(common, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(common, "LARGE_CELL", 100)
     df = spark.range(2000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('c', id % 40) END AS cell")
     got = collections.defaultdict(list)
-    for r in common.ranked(df, ["cell"], ["id"], 2000).collect():
+    for r in common.ranked(df, ["cell"], ["id"]).collect():
         got[r["cell"]].append(r["rank"])
     assert all(sorted(v) == list(range(len(v))) for v in got.values())
 
@@ -513,8 +533,15 @@ def test_components_of_chains(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_word_hashes_tell_words_apart():
+def test_word_hashes_tell_words_apart(monkeypatch):
     at, data = sketches._packed(["aa b\taa", "", "b ", "aab"])
     begin, end, first = common.words(at, data)
     h = common.word_hashes(data, begin, end)
+    rng = np.random.default_rng(3)
+    long = "".join(rng.choice(list("ab "), 5000)) + "z" * 1000 + " " + "z" * 999 + "y end"
+    at2, data2 = sketches._packed([long])
+    place = common.words(at2, data2)[:2]
+    whole = common.word_hashes(data2, *place)
+    monkeypatch.setattr(common, "_SPAN", 64)  # the same hashes from spans of any size, words beyond a span too
+    assert (common.word_hashes(data2, *place) == whole).all()
     assert first.tolist() == [0, 3, 3, 4, 5] and h[0] == h[2] and h[1] == h[3] and len(set(h.tolist())) == 3
