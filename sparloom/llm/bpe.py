@@ -5,6 +5,12 @@ trained.  The `tokenizers` library does the merging, with a model built from the
 ranks; a text is cut by the vocabulary's pattern first and each piece encoded
 separately, so a worker keeps the ids of pieces that it has met (a bounded
 table) and hands only new pieces to the library.
+
+Defined cases: a null text counts as empty, an empty one has no ids and decodes
+as empty; null keys stay null; repeated rows are coded each; columns named as
+results are replaced; an empty table stays empty.  Batches are handled in steps
+of about 1 MB of text, so memory does not grow with a batch; one longer text is
+a step of its own.
 """
 
 from __future__ import annotations
@@ -21,6 +27,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .common import read_table, steps
 
 #: Pieces whose ids a worker keeps; beyond it the table is begun anew.
 KEPT_PIECES = 150_000
@@ -109,16 +118,17 @@ class Codec:
     def cut(self, text: str) -> list[str]:
         return self.latin(text) if self.latin and not BEYOND.search(text) else self.find(text)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str], decimals: bool) -> None:
         """Ids of new pieces by the library, each after byte-to-character mapping."""
         alphabet, shown, tokenize = self.alphabet, self.shown, self.model.tokenize
         if len(self.ids) > KEPT_PIECES:
             self.ids, self.decimals = {}, {}
         for piece in pieces:
-            if piece not in self.ids:
+            if piece not in self.ids or decimals and piece not in self.decimals:
                 got = [t.id for t in tokenize("".join([alphabet[b] for b in piece.encode()]))]
                 self.ids[piece] = array("i", got).tobytes()
-                self.decimals[piece] = " ".join([shown[i] for i in got])
+                if decimals:
+                    self.decimals[piece] = " ".join([shown[i] for i in got])
 
     def _joined(self, text: str, shown: bool) -> tuple[bytes, str]:
         pieces = self.cut(text)
@@ -127,7 +137,7 @@ class Codec:
                 packed = b"".join(map(self.ids.__getitem__, pieces))
                 return packed, " ".join(map(self.decimals.__getitem__, pieces)) if shown else ""
             except KeyError:
-                self._learn(list(set(pieces)))  # all, for the table may begin anew
+                self._learn(list(set(pieces)), shown)  # all, for the table may begin anew
         raise AssertionError("a piece is missing after it was learned")
 
     def encode(self, text: str) -> np.ndarray:
@@ -173,7 +183,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(model.value, pattern)
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(steps(b, text) for b in batches):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             ids = [codec.encode(t) for t in texts]
             columns = [pa.array(ids, pa.list_(pa.int32()))]
@@ -222,16 +232,17 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, sha = Codec.of(model.value, pattern), hashlib.sha256
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(steps(b, "text") for b in batches):
             n, seen, back = [], [], []
-            for value in batch.column(1):
+            for value in batch.column("text"):
                 ids, shown = codec.encode_shown(value.as_py() or "")
                 n.append(len(ids))
                 seen.append(sha(shown.encode()).hexdigest())
                 back.append(sha(codec.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(seen, pa.string()), pa.array(back, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n, pa.int64()), pa.array(seen, pa.string()), pa.array(back, pa.string())], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    made = df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return made.withColumnRenamed("key", key)
 
 
 def coded(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -244,7 +255,7 @@ def coded(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(model.value, pattern)
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(steps(b, text) for b in batches):
             ids = [codec.encode(t.as_py() or "") for t in batch.column(text)]
             counts = [len(i) for i in ids]
             ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
@@ -264,7 +275,5 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import read_table
-
     path, pattern = vocabulary()
     return round_trip(read_table(spark, sf_dir, "documents"), path, pattern)

@@ -20,7 +20,9 @@ short documents and carry the rounding error on, so a source ends within about
 one short document of its target.  Which documents of a cell get the odd copy
 follows from hashes of their ids, so reruns agree.
 
-Defined cases: a null source is one source, last in order; a null text has size
+Targets that no rates can meet (margins that contradict each other) raise an error.
+
+Defined cases: a null id is a value like any other; a null source is one source, last in order; a null text has size
 0; documents without words take no part (0 copies); repeated rows count each;
 an empty table gives an empty result; columns named as results are replaced.
 """
@@ -31,12 +33,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, n_words, ranked, read_table
 
-#: Margin values (sources, languages) that a recipe may name; they are held by the driver.
-MAX_MARGIN_VALUES = 100_000
-STEPS, TOLERANCE = 40, 1e-6
+#: Margin values (sources, languages) that a recipe may name: of a single margin, whose curvature is
+#: a diagonal, and of several together, whose curvature is a dense matrix on the driver (32 MB).
+MAX_MARGIN_VALUES, MAX_JOINT_VALUES = 100_000, 2_000
+#: Newton steps within which the targets must be met, and the relative gap that counts as met.
+STEPS, TOLERANCE, ACCEPTED = 60, 1e-6, 1e-3
 
 
 def water_fill(weights: list[float], limits: list[float], total: float) -> list[float]:
@@ -88,6 +93,8 @@ def balance(cells: DataFrame, targets: dict[str, dict[str, float]], cap: float =
             fixed[m, v] = np.inf
         elif goal <= 0:
             fixed[m, v] = -np.inf
+    if len(index) > (MAX_MARGIN_VALUES if len(margins) == 1 else MAX_JOINT_VALUES):
+        raise ValueError(f"{len(index)} margin values; {MAX_MARGIN_VALUES} of one margin or {MAX_JOINT_VALUES} of several at most")
     goals = np.array([targets[m].get(v, 0.0) for m, v in index])
     free = np.array([k not in fixed for k in index], bool)
     share = np.clip([g / max(cap * full[m][v], 1e-9) for g, (m, v) in zip(goals, index, strict=True)], 1e-9, 1 - 1e-9)
@@ -103,23 +110,31 @@ def balance(cells: DataFrame, targets: dict[str, dict[str, float]], cap: float =
         rate = F.when(eta > 400, F.lit(cap)).when(eta < -400, F.lit(0.0)).otherwise(tilt)
         return out.withColumn("rate", rate).drop(*[f"_l_{m}" for m in margins])
 
+    gap, least = np.inf, TOLERANCE * max(1.0, goals.max(initial=0.0))
     for _ in range(STEPS if free.any() else 0):
         words = F.col("n") * F.col("size")
         sums = with_rate().groupBy(*margins).agg(
             F.sum(words * F.col("rate")).alias("g"),
             F.sum(words * z * F.col("rate") * (1 - F.col("rate") / cap)).alias("h"),
         ).collect()
-        gradient, curvature = goals.copy(), np.zeros((len(index), len(index)))
+        gradient, diagonal = goals.copy(), np.zeros(len(index))
+        curvature = np.zeros((len(index), len(index))) if len(margins) > 1 else None
         for *values, g, h in sums:
             at = [index[m, v] for m, v in zip(margins, values, strict=True)]
             gradient[at] -= g
-            curvature[np.ix_(at, at)] += h
-        gradient = gradient[free]
-        gap = float(np.abs(gradient).max())
-        if gap <= TOLERANCE * max(1.0, goals.max()):
+            diagonal[at] += h
+            if curvature is not None:
+                curvature[np.ix_(at, at)] += h
+        gap = float(np.abs(gradient[free]).max())
+        if gap <= least:
             break
-        inner = curvature[np.ix_(free, free)] + 1e-9 * np.eye(int(free.sum()))
-        lam[free] += np.clip(np.linalg.lstsq(inner, gradient, rcond=None)[0], -3, 3)
+        if curvature is None:
+            step = gradient[free] / np.maximum(diagonal[free], 1e-9)
+        else:
+            step = np.linalg.lstsq(curvature[np.ix_(free, free)] + 1e-9 * np.eye(int(free.sum())), gradient[free], rcond=None)[0]
+        lam[free] += np.clip(step, -3, 3)
+    if free.any() and gap > max(least, ACCEPTED * goals.max(initial=0.0)):
+        raise ValueError(f"no rates meet the targets: {gap:.6g} words apart after {STEPS} Newton steps")
     return with_rate()
 
 
@@ -140,36 +155,49 @@ def _rounded(cap: float):
     return run
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def _margin(source) -> F.Column:
+    return F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, _keep: bool = False) -> DataFrame:
     """key, size, source_size, target, rate, copies and taken (copies * size) of each row.
 
     Sources' weights cycle over them in code-point order; together they share
     `share` times all words, none above cap times its own.
     """
-    tall = docs.select(F.col(key).alias("_id"), F.when(F.col(source).isNull(), "").otherwise(F.concat(F.lit("="), source)).alias("m0"), n_words(F.col(text)).alias("size"))
+    tall = docs.select(F.col(key).alias("_id"), _margin(F.col(source)).alias("m0"), n_words(F.col(text)).alias("size"))
     tall = materialize(tall, "mixing")  # texts are read once
     cells = materialize(tall.groupBy("m0", "size").agg(F.count("*").alias("n")), "mixing-cells")
     sizes = {m: int(s) for m, s in cells.groupBy("m0").agg(F.sum(F.col("n") * F.col("size"))).collect()}
     if not sizes:
-        return tall.select(F.col("_id").alias(key), "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"))
+        return tall.select(F.col("_id").alias(key), "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"), *([F.col("m0").alias("_m")] if _keep else []))
     goals = recipe(sizes, cycle, share, cap)
     rated = balance(cells, {"m0": goals}, cap)
     rounded = materialize(rated.groupBy("m0").applyInPandas(_rounded(cap), "m0 string, size long, n long, rate double, base long, more long"), "mixing-copies")
     told = _small(docs.sparkSession, [(m, sizes[m], goals[m]) for m in sizes], "m0 string, source_size long, target double")
     placed = ranked(tall, ["m0", "size"], ["_id"], "_place")
     copies = F.col("base") + F.when(F.col("_place") < F.col("more"), 1).otherwise(0)
-    return placed.join(rounded, ["m0", "size"]).join(told, "m0").select(F.col("_id").alias(key), "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return placed.join(rounded, ["m0", "size"]).join(told, "m0").select(F.col("_id").alias(key), "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *([F.col("m0").alias("_m")] if _keep else []))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix itself: the rows of docs, each as often as it is taken.
 
-    Rows that share id and size share their copies evenly, rounded up.
+    Rows that share id, source and size take part in the group's copies in turn:
+    together exactly as many as mix() says, and none over one more than another.
     """
-    taken = mix(docs, key, text, **how).groupBy(F.col(key).alias("_k"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    joined = docs.join(taken.where("_copies > 0"), docs[key].eqNullSafe(taken["_k"]) & (n_words(docs[text]) == taken["_size"]))
-    times = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(0), times)).alias("_again")).drop("_again")
+    names = docs.columns
+    taken = mix(docs, key, text, source, _keep=True, **how)
+    taken = taken.groupBy(F.col(key).alias("_k"), F.col("_m").alias("_m"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    taken = materialize(taken.where("_copies > 0"), "mixed")
+    size, rest = n_words(docs[text]), F.col("_copies") % F.col("_rows")
+    joined = docs.join(taken, docs[key].eqNullSafe(taken["_k"]) & _margin(docs[source]).eqNullSafe(taken["_m"]) & (size == taken["_size"]))
+    times, cells = F.floor(F.col("_copies") / F.col("_rows")), [docs[c] for c in names]
+    both = joined.where(rest == 0).select(*cells, times.cast("int").alias("_times"))
+    if not taken.where(rest > 0).isEmpty():  # alike rows that share an odd number of copies; mostly there are none
+        turn = F.row_number().over(Window.partitionBy("_k", "_m", "_size").orderBy(F.xxhash64(docs[text]))) - 1
+        both = both.union(joined.where(rest > 0).select(*cells, (times + F.when(turn < rest, 1).otherwise(0)).cast("int").alias("_times")))
+    return both.where("_times > 0").select(*names, F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_again")).drop("_again")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,7 +68,37 @@ def test_mixed_repeats_rows(spark, docs):
     got = mixing.mixed(docs)
     assert got.columns == docs.columns
     assert collections.Counter(r["doc_id"] for r in got.collect()) == {k: v for k, v in told.items() if v}
-    assert mixing.mixed(documents(spark)).count() >= got.count()
+    alike = spark.createDataFrame([(None if i % 2 else 1, f"a b {i} d e", "s") for i in range(37)] + [(100 + i, "x y z", "t") for i in range(40)], "doc_id long, text string, source string")
+    told = collections.Counter()
+    for r in mixing.mix(alike).collect():
+        told[r["doc_id"]] += r["copies"]
+    assert collections.Counter(r["doc_id"] for r in mixing.mixed(alike).collect()) == told and told[None] % 18 and told[1] % 19
+    assert max(collections.Counter(r["text"] for r in mixing.mixed(alike).where("source = 's'").collect()).values()) <= 2
+
+
+def test_rates_are_the_point_of_least_entropy(spark):
+    """Against a plain solver of the same convex problem: projected gradient ascent of the dual by bisection."""
+    rng = np.random.default_rng(8)
+    sizes = {m: rng.integers(1, 400, 30) for m in ("=a", "=b")}
+    goals = {m: 0.6 * float(s.sum()) for m, s in sizes.items()}
+    cells = spark.createDataFrame([(m, int(x), 1) for m, s in sizes.items() for x in s], "m0 string, size long, n long")
+    got = collections.defaultdict(list)
+    for r in mixing.balance(cells, {"m0": goals}).collect():
+        got[r["m0"]].append((r["size"], r["rate"]))
+    for m, pairs in got.items():
+        x = np.array([p[0] for p in pairs], float)
+        z, low, high = np.log2(1 + x) / 10, -50.0, 50.0
+        while high - low > 1e-12:
+            mid = (low + high) / 2
+            low, high = (mid, high) if (x * 2 / (1 + np.exp(-z * mid))).sum() < goals[m] else (low, mid)
+        assert np.allclose([p[1] for p in pairs], 2 / (1 + np.exp(-z * low)), atol=1e-4)
+    with pytest.raises(ValueError, match="no rates"):
+        both = spark.createDataFrame([("=x", "=u", 10, 5)], "m0 string, m1 string, size long, n long")
+        mixing.balance(both, {"m0": {"=x": 20.0}, "m1": {"=u": 70.0}}).collect()
+
+
+def test_mix_of_empty_and_clashing_tables(spark, docs):
+    assert mixing.mixed(documents(spark)).count() >= mixing.mixed(docs).count()
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
 
 
