@@ -26,9 +26,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
+#: Rows and bytes of an Arrow batch, so that neither side holds many long texts at once.
+ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once an application, wherever they run."""
+    """Sends this package to the executors once an application, wherever they run, and bounds Arrow batches."""
     app = spark.sparkContext.applicationId
+    for name, value in ARROW_BATCHES.items():
+        spark.conf.set(name, value)
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
