@@ -230,7 +230,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: One of so many texts tells which shingles are common: those of so many sampled texts, the most common so many.
 SAMPLED, OFTEN, MOST_COMMON = 16, 16, 200_000
-#: Bits of a text's parity maps: of that which goes with each key, and of that which goes with pairs.
+#: Bits of a text's parity map that goes with each key, and at least of that which goes with pairs (a power of two, its shingles or more).
 MAP_BITS, WIDE_BITS = 256, 1_024
 #: Texts of a key beyond which they are first linked along the key, and beyond which they are compared in blocks.
 STARS, BLOCK = 32, 2_048
@@ -295,7 +295,8 @@ def _signatures(k: int, common, similarity: float):
             for step in steps(batch, "text"):
                 made = _shingles(step.column("text"), k)
                 keys = _hash_lists([_keys(h, common.value, similarity) for h in made])
-                bits, wide = ([_parity(h, size) for h in made] for size in (MAP_BITS, WIDE_BITS))
+                bits = [_parity(h, MAP_BITS) for h in made]
+                wide = [_parity(h, max(WIDE_BITS, 1 << (len(h) - 1).bit_length())) if len(h) else b"" for h in made]
                 yield pa.RecordBatch.from_arrays([step.column("key"), step.column("tid"), keys, pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array([len(h) for h in made], pa.int32())], ["key", "tid", "keys", "bits", "wide", "n"])
 
     return run
@@ -347,12 +348,19 @@ def _possible(pairs: DataFrame, maps: DataFrame, similarity: float) -> DataFrame
     """Pairs (a, b) without those whose sizes or wide maps (t, n, wide) rule the similarity out."""
     most = (1 - similarity) / (1 + similarity)
 
+    def differ(x: bytes, y: bytes) -> int:
+        """Bits in which two maps differ, the larger folded onto the smaller: no more than the sets differ in hashes."""
+        x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+        if len(y) > len(x):
+            y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+        return int(np.bitwise_count(x ^ y).sum())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [np.asarray(batch.column(c)).astype(np.int64) for c in ("n_a", "n_b")]
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, WIDE_BITS // 64) for c in ("wide_a", "wide_b"))
-            keep = (np.minimum(*n) >= _needed(np.maximum(*n), similarity)) & (np.bitwise_count(x ^ y).sum(axis=1) <= most * (n[0] + n[1]) + 1e-6)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            keep = np.minimum(*n) >= _needed(np.maximum(*n), similarity)
+            apart = np.array([differ(x.as_py(), y.as_py()) for x, y in zip(batch.column("wide_a"), batch.column("wide_b"), strict=True)])
+            yield batch.select(["a", "b"]).filter(pa.array(keep & (apart <= most * (n[0] + n[1]) + 1e-6)))
 
     one, two = (maps.select(F.col("t").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab")
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInArrow(run, "a long, b long")
