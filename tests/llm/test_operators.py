@@ -496,6 +496,36 @@ def test_repeated_passages(spark, docs, own):
     assert substrings.without_repeats(empty(spark)).count() == 0
 
 
+def test_count_min_never_undercounts(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "LOAD", 1)  # a crowded table
+    monkeypatch.setattr(substrings, "SLICE", 64)
+    rng = np.random.default_rng(9)
+    keys = rng.integers(-(1 << 63), (1 << 63) - 1, 400)
+    lists = [[int(keys[j]) for j in rng.integers(0, 400, rng.integers(0, 30))] for _ in range(60)]
+    times = collections.Counter(k for x in lists for k in x)
+    sketch = substrings.Sketch(sum(times.values()))
+    told = {r["counter"] for r in sketch.repeated(spark.createDataFrame([(x,) for x in lists], "cells array<long>").repartition(7)).collect()}
+    both = np.stack(sketch.counters(np.array(list(times), np.int64)))
+    shown = spark.createDataFrame([(int(k),) for k in times], "cell long").select(*[c.alias(f"c{i}") for i, c in enumerate(sketch.columns("cell"))]).collect()
+    assert [tuple(r) for r in shown] == [tuple(int(x) for x in both[:, i]) for i in range(len(times))]
+    estimated = {k for i, k in enumerate(times) if all(int(x) in told for x in both[:, i])}
+    assert {k for k, n in times.items() if n > 1} <= estimated
+    exact = collections.Counter(int(x) for k, n in times.items() for x in np.concatenate(sketch.counters(np.array([k], np.int64))) for _ in range(n))
+    assert told == {c for c, n in exact.items() if n > 1}
+
+
+def test_repeats_of_a_hot_passage_and_null_ids(spark):
+    r = np.random.default_rng(2)
+    word = lambda n: [f"w{r.integers(1 << 30)}" for _ in range(n)]
+    passage = word(60)
+    rows = [(i if i > 2 else None, " ".join(word(30) + passage + word(int(r.integers(0, 30))))) for i in range(200)]
+    got = substrings.without_repeats(spark.createDataFrame(rows, "doc_id int, text string"))
+    removed = [x["n_removed"] for x in got.where("doc_id is not null").collect()]
+    assert removed == [60] * 197 and [x["n_removed"] for x in got.where("doc_id is null").collect()] == [0] * 3
+    with pytest.raises(TypeError):
+        substrings.without_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 # ------------------------------------------------------------------ 10 personal data
 
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
