@@ -72,12 +72,12 @@ def n_words(text) -> F.Column:
 # ---------------------------------------------------------------- Arrow batches
 
 
-def steps(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have STEP_BYTES at most, or one row."""
+def steps(batch: pa.RecordBatch, column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have `limit` bytes at most, or one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
     first, held = 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > STEP_BYTES:
+        if held and held + n > limit:
             yield batch.slice(first, i - first)
             first, held = i, 0
         held += int(n)

@@ -2,29 +2,36 @@
 
 The target model is counted over the documents that a label calls good, the
 background model over all documents, scaled to the target's size, so both are
-matched.  Both share one vocabulary: words are hashed into WORD_CELLS cells and
-word pairs into PAIR_CELLS cells, every word of every document is counted, and
-the tables have the same size at any input.  A model gives
+matched.  Both share one vocabulary: all words of all documents.  A model gives
 
     P(w | v) = (c(v w) + BACKOFF * P(w)) / (c(v) + BACKOFF),
-    P(w)     = (c(w) + 1) / (N + WORD_CELLS),
+    P(w)     = (c(w) + 1) / (N + V),
 
 and a document's score is the mean over its words of log P_target - log
 P_background, in bits: higher is closer to the target.  The first word of a
 document follows an empty word.  A document is scored without its own counts, so
 that those in the target are not favoured for having been counted.
 
-Counting: each task adds up the cells of its documents and hands out its counts
-in compressed slices; slices are merged by salted keys first, then whole.
-The merged tables (8 bytes a cell, checked against MOST_BYTES) go to all workers.
-
-Defined cases: null and empty texts have no words and score null; documents
-without label count for the background only; an empty target, or table, leaves
-uniform models and scores 0; repeated rows count each.
+Counting.  Counts are exact, of every word and word pair (64-bit hashes) of every
+document; they stay distributed and grow with the input, and only two totals and
+the size of the vocabulary reach the driver.  Documents are cut into batches of
+BATCH_BYTES of text, written once as token numbers.  A batch sends its n-grams,
+each once with its counts, to slices of the hash range; a slice adds up what all
+batches sent and answers each batch with the totals of its own n-grams; batches
+meet their answers and score their documents.  So texts are read once and never
+shuffled, a frequent n-gram is one entry a batch, and tasks hold one slice or
+batch at a time.
+
+Defined cases: null and empty texts have no words and score null; null ids carry
+no label; documents without label count for the background only; an empty target
+leaves a uniform target model; a label of several rows is good if one row of the
+given keys says so; repeated rows count each; an empty table stays empty; other
+columns of the input take no part.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -33,153 +40,184 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, read_table, steps, utf8, word_hashes, words
+from .common import discard, materialize, mix, read_table, steps, utf8, word_hashes, words
 
-WORD_CELLS, PAIR_CELLS = 1 << 20, 1 << 22
 BACKOFF = 8.0
-MOST_BYTES = 256 << 20
-#: Slices of the tables that are merged apart, and salts of a slice in the first merge.
-SLICES, SALTS = 64, 16
+#: Text bytes of a batch, and n-grams that all batches together send to a slice (about), and slices at least.
+BATCH_BYTES, SLICE_GRAMS, LEAST_SLICES = 4 << 20, 1 << 20, 16
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
-def cells(at: np.ndarray, data: np.ndarray, n_words: int, n_pairs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Cell of each word, of the word before it, and of the pair; each row's first word."""
-    begin, end, first = words(at, data)
-    h = word_hashes(data, begin, end)
-    before = np.concatenate(([_EMPTY], h[:-1])) if len(h) else h
-    starts = first[:-1][np.diff(first) > 0]
-    before[starts] = _EMPTY
-    pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + h)
-    small = lambda x, n: (x % np.uint64(n)).astype(np.int64)
-    return small(h, n_words), small(before, n_words), small(pair, n_pairs), first
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch of texts: keys, words of each, vocabulary (ascending hashes) and packed token numbers."""
+    for batch in batches:
+        for step in steps(batch, "text", BATCH_BYTES):
+            begin, end, first = words(*(held := utf8(step.column("text"))))
+            vocabulary, token = np.unique(word_hashes(held[1], begin, end), return_inverse=True)
+            n = np.diff(first).astype(np.int32)
+            cell = lambda x, kind: pa.array([x], kind)
+            keys = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), step.column("key"))
+            yield pa.RecordBatch.from_arrays([cell(uuid.uuid4().int >> 65, pa.int64()), keys, cell(n, pa.list_(pa.int32())), cell(vocabulary.tobytes(), pa.binary()), cell(zlib.compress(token.astype(np.int32).tobytes(), 1), pa.binary())], ["batch", "keys", "n", "vocabulary", "tokens"])
+
+
+class Batch:
+    """One batch's tokens and n-grams; `grams` ascend, words have an even hash and pairs an odd one."""
+
+    def __init__(self, n, vocabulary: bytes, tokens: bytes, good) -> None:
+        self.n = np.asarray(n, np.int64)
+        names = np.frombuffer(vocabulary, np.uint64)
+        token = np.frombuffer(zlib.decompress(tokens), np.int32)
+        self.row = np.repeat(np.arange(len(self.n)), self.n)
+        marked = np.zeros(len(self.n), bool)
+        marked[np.asarray(good if good is not None else [], np.int64)] = True
+        self.good = marked
+        h = names[token]
+        before = np.concatenate(([_EMPTY], h[:-1])) if len(h) else h
+        starts = (np.cumsum(self.n) - self.n)[self.n > 0]
+        before[starts] = _EMPTY
+        word = mix(np.append(names, _EMPTY)) & ~np.uint64(1)
+        pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + h) | np.uint64(1)
+        self.grams, at = np.unique(np.concatenate((word, pair)), return_inverse=True)
+        #: Of each token: the place of its word, of the word before it, and of the pair.
+        self.word, self.pair = at[token], at[len(word) :]
+        self.before = np.concatenate(([at[len(names)]], self.word[:-1])) if len(h) else self.word
+        self.before[starts] = at[len(names)]
+        self.starts = starts
+
+    def counts(self, mask: np.ndarray) -> np.ndarray:
+        """Occurrences of each n-gram among masked tokens; the empty word counts once a document."""
+        size, first = len(self.grams), np.zeros(len(mask), bool)
+        first[self.starts] = True
+        return np.bincount(self.word[mask], minlength=size) + np.bincount(self.pair[mask], minlength=size) + np.bincount(self.before[mask & first], minlength=size)
+
+    def losses(self, all_: np.ndarray, good: np.ndarray, totals: tuple[int, int], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each token under target and background, both without the token's own document."""
+        own = [_own(self.row, have, ask) for have, ask in ((self.word, self.word), (self.word, self.before), (self.pair, self.pair))]
+        own[1] = own[1] + np.isin(np.arange(len(self.row)), self.starts)  # the empty word stands once in each document
+        length, in_target = self.n[self.row], self.good[self.row]
+        out = []
+        for table, total, counted, scale in ((good, totals[1], in_target, 1.0), (all_, totals[0], np.ones(len(self.row), bool), totals[1] / totals[0] if totals[0] and totals[1] else 1.0)):
+            left = [(table[at] - counted * mine) * scale for at, mine in zip((self.word, self.before, self.pair), own, strict=True)]
+            alone = (left[0] + 1) / ((total - counted * length) * scale + size)
+            out.append(-np.log2((left[2] + BACKOFF * alone) / (left[1] + BACKOFF)))
+        return out[0], out[1]
 
 
-def _count(n_words: int, n_pairs: int):
-    """Of one task: a row for each slice of its counts (target, all), words' cells before pairs'."""
+def _own(row: np.ndarray, have: np.ndarray, ask: np.ndarray) -> np.ndarray:
+    """How often each `ask` is among the `have` of the same row."""
+    if not len(row):
+        return np.zeros(0)
+    wide = np.int64(1 << 32)
+    cell, times = np.unique(row * wide + have, return_counts=True)
+    key = row * wide + ask
+    at = np.minimum(np.searchsorted(cell, key), len(cell) - 1)
+    return np.where(cell[at] == key, times[at], 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, n_words + n_pairs), np.int64)
-        for batch in batches:
-            for step in steps(batch, "text"):
-                word, before, pair, first = cells(*utf8(step.column("text")), n_words, n_pairs)
-                good = np.repeat(np.asarray(step.column("good").to_pylist(), bool), np.diff(first))
-                for row, mask in ((0, good), (1, slice(None))):
-                    total[row, :n_words] += np.bincount(word[mask], minlength=n_words)
-                    total[row, n_words:] += np.bincount(pair[mask], minlength=n_pairs)
-        for i, piece in enumerate(np.array_split(total, SLICES, axis=1)):
-            if piece.any():
-                yield _piece(i, piece)
 
-    return run
+def _packed(*counts: np.ndarray) -> bytes:
+    return zlib.compress(np.concatenate(counts).astype(np.uint64).tobytes(), 1)
 
 
-def _piece(i: int, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(np.ascontiguousarray(counts).tobytes(), 1)], pa.binary())], ["slice", "counts"])
+def _unpacked(body: bytes) -> np.ndarray:
+    """Two rows: counts in all and in good documents."""
+    return np.frombuffer(zlib.decompress(body), np.uint64).astype(np.int64).reshape(2, -1)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of slices: the sum of each slice, held one at a time."""
-    at, held = None, None
-    for batch in batches:
-        for i, packed in zip(batch.column("slice").to_pylist(), batch.column("counts"), strict=True):
-            counts = np.frombuffer(zlib.decompress(packed.as_py()), np.int64)
-            if i == at:
-                held = held + counts
-            else:
-                if at is not None:
-                    yield _piece(at, held)
-                at, held = i, counts
-    if at is not None:
-        yield _piece(at, held)
+def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[dict, Batch]]:
+    for i in range(batch.num_rows):
+        said = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+        yield said, Batch(said["n"], said["vocabulary"], said["tokens"], said["good"])
 
 
-class Models:
-    """Merged counts of both models, as 32-bit floats."""
+def _asks(bits: int):
+    """Of each batch: its n-grams of each slice (their upper bits) and their counts."""
 
-    def __init__(self, n_words: int, n_pairs: int) -> None:
-        if 16 * (n_words + n_pairs) > MOST_BYTES:
-            raise ValueError(f"tables of {n_words} and {n_pairs} cells exceed {MOST_BYTES} bytes")
-        self.n_words, self.n_pairs = n_words, n_pairs
-        self.word = np.zeros((2, n_words), np.float32)
-        self.pair = np.zeros((2, n_pairs), np.float32)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for said, held in _decoded(rows):
+                counts = held.counts(np.ones(len(held.row), bool)), held.counts(held.good[held.row])
+                number = (held.grams >> np.uint64(64 - bits)).astype(np.int64)
+                cuts = np.searchsorted(number, np.arange((1 << bits) + 1))
+                spans = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([i for i, _, _ in spans], pa.int32()),
+                    pa.array([said["batch"]] * len(spans), pa.int64()),
+                    pa.array([held.grams[a:b].tobytes() for _, a, b in spans], pa.binary()),
+                    pa.array([_packed(counts[0][a:b], counts[1][a:b]) for _, a, b in spans], pa.binary()),
+                ], ["slice", "batch", "grams", "counts"])
 
-    def losses(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-        """Bits of each word: under the target with and without its document's own counts, and under the background without.
+    return run
 
-        Background counts are scaled to the target's size.
-        """
-        own_word, own_pair, own_before = _own(row, word, word), _own(row, pair, pair), _own(row, word, before)
-        total = self.word.sum(axis=1, dtype=np.float64)
-        size = np.bincount(row, minlength=rows)[row]
-        out = np.empty((3, len(word)))
-        for i, (m, counted) in enumerate(((0, 0), (0, 1), (1, 1))):
-            scale = total[0] / total[1] if m and total[0] and total[1] else 1.0
-            left = lambda table, at, own: np.maximum(table[m, at] - counted * own, 0) * scale  # noqa: B023, E731
-            n = np.maximum(total[m] - counted * size, 0) * scale
-            alone = (left(self.word, word, own_word) + 1) / (n + self.n_words)
-            out[i] = -np.log2((left(self.pair, pair, own_pair) + BACKOFF * alone) / (left(self.word, before, own_before) + BACKOFF))
-        return out
 
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of slices: the totals of each row's n-grams over its slice; `words` on a slice's first row."""
 
-def _own(row: np.ndarray, have: np.ndarray, ask: np.ndarray) -> np.ndarray:
-    """How often each `ask` cell is among the `have` cells of the same row."""
-    if not len(row):
-        return np.zeros(0)
-    wide = np.int64(1 << 32)
-    cell, times = np.unique(row * wide + have, return_counts=True)
-    key = row * wide + ask
-    at = np.minimum(np.searchsorted(cell, key), len(cell) - 1)
-    return np.where(cell[at] == key, times[at], 0)
+    def told(at: int, ids: list[int], grams: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        found, place = np.unique(np.concatenate(grams), return_inverse=True)
+        total = np.stack([np.bincount(place, weights=c, minlength=len(found)) for c in np.concatenate(counts, axis=1)])
+        ends = np.cumsum([len(g) for g in grams])
+        bodies = [_packed(*total[:, place[b - len(g) : b]]) for b, g in zip(ends, grams, strict=True)]
+        n_words = [int((found & np.uint64(1) == 0).sum()), *[0] * (len(ids) - 1)]
+        return pa.RecordBatch.from_arrays([pa.array([at] * len(ids), pa.int32()), pa.array(ids, pa.int64()), pa.array(bodies, pa.binary()), pa.array(n_words, pa.int64())], ["slice", "batch", "counts", "words"])
 
+    at, ids, grams, counts = None, [], [], []
+    for rows in batches:
+        for number, batch, gram, count in zip(*(rows.column(c) for c in ("slice", "batch", "grams", "counts")), strict=True):
+            if number.as_py() != at:
+                if at is not None:
+                    yield told(at, ids, grams, counts)
+                at, ids, grams, counts = number.as_py(), [], [], []
+            ids.append(batch.as_py())
+            grams.append(np.frombuffer(gram.as_py(), np.uint64))
+            counts.append(_unpacked(count.as_py()))
+    if at is not None:
+        yield told(at, ids, grams, counts)
 
-def train(docs: DataFrame, good: str, text: str = "text", n_words: int = WORD_CELLS, n_pairs: int = PAIR_CELLS) -> Models:
-    """Counts both models over all of docs; `good` is a boolean column."""
-    own = docs.select(F.col(text).alias("text"), F.coalesce(F.col(good), F.lit(False)).alias("good"))
-    pieces = own.mapInArrow(_count(n_words, n_pairs), "slice int, counts binary")
-    for salt in (F.pmod(F.xxhash64("counts"), F.lit(SALTS)), F.lit(0)):
-        pieces = pieces.withColumn("salt", salt).repartition("slice", "salt").sortWithinPartitions("slice", "salt").select("slice", "counts").mapInArrow(_merge, "slice int, counts binary")
-    total = np.zeros((2, n_words + n_pairs), np.int64)
-    at = np.cumsum([0, *(x.shape[1] for x in np.array_split(total, SLICES, axis=1))])
-    for i, packed in pieces.toLocalIterator():  # SLICES rows, together the size of the tables
-        total[:, at[i] : at[i + 1]] += np.frombuffer(zlib.decompress(packed), np.int64).reshape(2, -1)
-    out = Models(n_words, n_pairs)
-    out.word[:], out.pair[:] = total[:, :n_words], total[:, n_words:]
-    return out
 
+def _scores(totals: tuple[int, int], size: int, kind: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for said, held in _decoded(rows):
+                answers = [_unpacked(x["counts"]) for x in said["answers"] or []]  # in order of slices, hence of grams
+                all_, good = np.concatenate(answers, axis=1) if answers else np.zeros((2, len(held.grams)), np.int64)
+                first = np.concatenate(([0], np.cumsum(held.n)))
+                with np.errstate(invalid="ignore"):
+                    sums = [np.concatenate(([0.0], np.cumsum(x))) for x in held.losses(all_, good, totals, size)]
+                    means = [(s[first[1:]] - s[first[:-1]]) / held.n for s in sums]
+                columns = [pa.array(said["keys"], kind), pa.array(held.n, pa.int64()), *(pa.array(x, pa.float64(), mask=held.n == 0) for x in means)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n_words", "target_bits", "background_bits"])
+
+    return run
 
-def score(docs: DataFrame, models: Models, good: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+
+def score(docs: DataFrame, good: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, target_bits, background_bits (a word) and score of each row.
 
-    good: distinct keys (key) counted in the target.  Both forms of the target
-    loss are made in one pass over texts; only numbers meet the keys.
+    good: keys (a column named key) of the documents that the target model counts.
     """
-    held = docs.sparkSession.sparkContext.broadcast(models)  # size checked by Models
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for step in steps(batch, "text"):
-                word, before, pair, first = cells(*utf8(step.column("text")), held.value.n_words, held.value.n_pairs)
-                n = np.diff(first)
-                row = np.repeat(np.arange(len(n)), n)
-                sums = [np.concatenate(([0.0], np.cumsum(x))) for x in held.value.losses(word, before, pair, row, len(n))]
-                with np.errstate(invalid="ignore"):
-                    means = [(s[first[1:]] - s[first[:-1]]) / n for s in sums]
-                none = n == 0
-                yield pa.RecordBatch.from_arrays([step.column("key"), pa.array(n, pa.int64()), *(pa.array(x, pa.float64(), mask=none) for x in means)], ["key", "n_words", "outside", "inside", "background_bits"])
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = docs.schema[key].dataType.simpleString()
+    kind = docs.schema[key].dataType
+    shown = kind.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    made = rows.mapInArrow(run, f"key {kind}, n_words long, outside double, inside double, background_bits double")
-    joined = made.join(good.select(F.col(key).alias("_k"), F.lit(True).alias("_in")).hint("merge"), F.col("key") == F.col("_k"), "left")
-    target = F.when(F.col("_in"), F.col("inside")).otherwise(F.col("outside"))
-    return joined.select(F.col("key").alias(key), "n_words", target.alias("target_bits"), "background_bits", (F.col("background_bits") - target).alias("score"))
+    held = materialize(rows.mapInArrow(_batches, f"batch long, keys array<{shown}>, n array<int>, vocabulary binary, tokens binary"), "lm-batches")
+    each = held.select("batch", F.posexplode(F.arrays_zip("keys", "n")).alias("at", "d")).select("batch", "at", F.col("d.keys").alias("key"), F.col("d.n").alias("n"))
+    marked = materialize(each.join(good.select(F.col(key).alias("key")).distinct(), "key", "left_semi"), "lm-good")
+    totals = tuple(int(f.agg(F.sum("n")).first()[0] or 0) for f in (each, marked))
+    held = held.join(marked.groupBy("batch").agg(F.collect_list("at").alias("good")), "batch", "left")
+    bits = int(np.ceil(np.log2(max(LEAST_SLICES, 2 * totals[0] / SLICE_GRAMS))))
+    asked = held.mapInArrow(_asks(bits), "slice int, batch long, grams binary, counts binary")
+    answers = asked.repartition("slice").sortWithinPartitions("slice").mapInArrow(_answers, "slice int, batch long, counts binary, words long")
+    answers = materialize(answers, "lm-answers")
+    size = max(1, int(answers.agg(F.sum("words")).first()[0] or 0) - 1)  # without the empty word
+    mine = answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("slice", "counts"))).alias("answers"))
+    made = held.join(mine, "batch", "left").mapInArrow(_scores(totals, size, to_arrow_type(kind)), f"key {shown}, n_words long, target_bits double, background_bits double")
+    out = materialize(made, "lm-scores")
+    discard(held, marked, answers)
+    return out.select(F.col("key").alias(key), "n_words", "target_bits", "background_bits", (F.col("background_bits") - F.col("target_bits")).alias("score"))
 
 
 def op5_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled of good quality and not toxic; background: all documents."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read_table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
-    good = labels.where("good").select("doc_id")
-    marked = docs.join(good.withColumn("good", F.lit(True)).hint("merge"), "doc_id", "left")  # one plan at every size
-    return score(docs, train(marked, "good"), good)
+    return score(read_table(spark, sf_dir, "documents"), labels.where("good").select("doc_id"))
