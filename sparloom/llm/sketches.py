@@ -14,8 +14,10 @@ Defined cases: a null text counts as empty; a text without words has an empty
 fingerprint; one of fewer than five words has one shingle, all its words; where
 no hash is below the threshold, the smallest one stands in, so that likeness is
 defined (merging drops such stand-ins once a hash below it is there).  Two empty
-fingerprints have likeness 1, an empty one and another 0.  Rows with equal ids
-follow each other by the hash of their texts, rows without id come first.  An empty table stays empty.
+fingerprints have likeness 1, an empty one and another 0.  Rows go by id, rows
+without id first, rows of equal ids by the hash of their texts; ids may be of any
+type that has an order.  Rows of equal id and text follow each other.  An empty
+table stays empty; other columns of the input take no part.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import mix, read_table, run_hashes, steps, utf8, word_hashes, words
+from .common import discard, materialize, mix, read_table, run_hashes, steps, utf8, word_hashes, words
 
 FIVE = 5
 SCALE = 8
@@ -107,34 +109,40 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint")
     return kept.mapInArrow(run, StructType([*kept.schema.fields, *StructType.fromDDL(f"`{name}` string").fields]))
 
 
+def _block(bounds: Column, n: int, place: Column) -> Column:
+    """How many of n ascending bounds are at most place, less one: a binary search, in whole places of any type."""
+    def step(at: Column, power: Column) -> Column:
+        up = at + power
+        return F.when((up <= n) & (F.get(bounds, F.least(up, F.lit(n)) - 1) <= place), up).otherwise(at)
+
+    powers = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    return F.aggregate(powers, F.lit(0), step) - 1
+
+
 def in_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (block, halo, key, text), a partition's blocks in order of ids.
+    """Rows (block, halo, key, text), a partition's blocks in order of places.
 
-    Blocks are ranges of ids; the first row of each also ends the block before
-    it (halo 1), the first of all ends the last block, so each row's follower is
-    beside it.  Texts are shuffled once.  Block bounds are at most MAX_BLOCKS ids.
+    A place is (id, hash of the text).  Blocks are ranges of places; the first
+    rows of each also end the block before it (halo 1), those of all the last
+    block, so each row's follower is beside it.  Texts are shuffled once.  Block
+    bounds are at most MAX_BLOCKS places.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    ids = docs.select(F.col(key).alias("key")).where("key is not null")
-    blocks = max(1, min(MAX_BLOCKS, ids.count() // BLOCK_ROWS))
-    ranges = ids.repartitionByRange(blocks, "key").groupBy(F.spark_partition_id()).agg(F.min("key"))
-    bounds = sorted(r[1] for r in ranges.collect())
-    bounds = bounds or [0]  # no row, or no id
+    spark = docs.sparkSession
     value = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("key"), value.alias("text"))
-    if len(bounds) > 1:
-        splits = [-float("inf"), *map(float, bounds[1:]), float("inf")]
-        rows = Bucketizer(splits=splits, inputCol="_as", outputCol="_block").transform(rows.withColumn("_as", F.coalesce("key", F.lit(bounds[0])).cast("double"))).withColumn("block", F.col("_block").cast("int"))
-    else:
-        rows = rows.withColumn("block", F.lit(0))
-    first = F.array([F.lit(b).cast("long") for b in bounds])
-    last = len(bounds) - 1
+    rows = docs.select(F.col(key).alias("key"), value.alias("text"), F.struct(F.col(key).alias("key"), F.xxhash64(value).alias("h")).alias("place"))
+    places = materialize(rows.select("place"), "sketch-places")  # narrow; texts are read here and where they are shuffled
+    blocks = max(1, min(MAX_BLOCKS, places.count() // BLOCK_ROWS))
+    first = places.repartitionByRange(blocks, "place").groupBy(F.spark_partition_id()).agg(F.min("place").alias("place"))
+    bounds = materialize(first.select("place"), "sketch-bounds")
+    n = bounds.count()
+    told = F.broadcast(bounds.agg(F.array_sort(F.collect_list("place")).alias("bounds")))  # one row of MAX_BLOCKS places
+    discard(places)
+    rows = rows.crossJoin(told).withColumn("block", _block(F.col("bounds"), max(n, 1), F.col("place")))
     own = F.struct(F.col("block"), F.lit(0).alias("halo"))
-    before = F.struct(F.when(F.col("block") == 0, last).otherwise(F.col("block") - 1).alias("block"), F.lit(1).alias("halo"))
-    places = F.when(F.col("key") == F.get(first, F.col("block")), F.array(own, before)).otherwise(F.array(own))
-    rows = rows.select("key", "text", F.explode(places).alias("p")).select("p.block", "p.halo", "key", "text")
-    return rows.repartition(len(bounds), "block").sortWithinPartitions("block", "halo", "key", F.xxhash64("text"))
+    before = F.struct(F.when(F.col("block") == 0, max(n, 1) - 1).otherwise(F.col("block") - 1).alias("block"), F.lit(1).alias("halo"))
+    where = F.when(F.col("place") == F.get("bounds", F.col("block")), F.array(own, before)).otherwise(F.array(own))
+    rows = rows.select("key", "text", "place", F.explode(where).alias("p")).select("p.block", "p.halo", "key", "text", "place")
+    return rows.repartition(max(n, 1), "block").sortWithinPartitions("block", "halo", "place").drop("place")
 
 
 def edited(text: str, following: str) -> str:
@@ -146,6 +154,10 @@ def edited(text: str, following: str) -> str:
 def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text's fingerprint beside that of its edited form and of the next text."""
 
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(docs.schema[key].dataType)
+
     def block(rows: list[tuple[int, int, str]]) -> pa.RecordBatch | None:
         """Of consecutive rows (halo, key, text): all but the last, which only follows."""
         mine = [i for i in range(len(rows) - 1) if rows[i][0] == 0]
@@ -155,7 +167,7 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         changed = [edited(texts[i], texts[i + 1]) for i in mine]
         own, other = sketches(*_packed(texts)), sketches(*_packed(changed))
         columns = [
-            pa.array([rows[i][1] for i in mine], pa.int64()),
+            pa.array([rows[i][1] for i in mine], kind),
             pa.array([len(texts[i]) for i in mine], pa.int64()),
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
             pa.array([shown(own[i]) for i in mine], pa.string()),
@@ -182,7 +194,7 @@ def compared(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         if (out := block(held)) is not None:
             yield out
 
-    schema = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = f"key {docs.schema[key].dataType.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_blocks(docs, key, text).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 

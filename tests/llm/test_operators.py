@@ -105,24 +105,62 @@ def test_mix_of_empty_and_clashing_tables(spark, docs):
 # ------------------------------------------------------------------ 2 sketches
 
 
+def _told(rows):
+    """op2's columns by a plain program: rows (id, text) in order; sketches only as sets of their hex digits."""
+    out = []
+    for i, (k, text) in enumerate(rows):
+        follow, n = rows[(i + 1) % len(rows)][1], len(text) // 4
+        changed = text[: len(text) - n] + follow[:n]
+        out.append((k, len(text), sha(changed), changed, follow))
+    return out
+
+
+def _likeness(a, b):
+    a, b = ({x[i : i + 16] for i in range(0, len(x), 16)} for x in (a, b))
+    return len(a & b) / min(len(a), len(b)) if a and b else float(a == b)
+
+
+def _check_fingerprints(got, rows):
+    """got: op2's rows in order; rows: (id, text) in the same order."""
+    shown = {t: r["fingerprint"] for (_, t), r in zip(rows, got, strict=True)}
+    for r, (k, n, digest, changed, follow) in zip(got, _told(rows), strict=True):
+        assert (r["doc_id"], r["n_chars"], r["edited_sha256"]) == (k, n, digest)
+        assert r["near_edited"] == _likeness(r["fingerprint"], r["edited_fingerprint"]) and r["near_next"] == _likeness(r["fingerprint"], shown[follow])
+        assert changed not in shown or shown[changed] == r["edited_fingerprint"]
+    for (_, t), r in zip(rows, got, strict=True):
+        w = words(t)
+        true = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        size = len(r["fingerprint"]) // 16
+        assert abs(size - len(true) / 8) <= 4 * np.sqrt(len(true) / 8 + 1) + 1
+
+
 def test_fingerprints(spark, docs, own):
-    got = {r["doc_id"]: r for r in sketches.compared(docs).collect()}
-    ids = sorted(own)
-    assert sorted(got) == ids
-    for i, a in enumerate(ids):
-        text, nxt = own[a] or "", own[ids[(i + 1) % len(ids)]] or ""
-        r = got[a]
-        assert r["n_chars"] == len(text)
-        assert r["edited_sha256"] == sha(sketches.edited(text, nxt))
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        assert r["near_next"] == sketches.likeness(sketches.parsed(r["fingerprint"]), sketches.parsed(got[ids[(i + 1) % len(ids)]]["fingerprint"]))
+    got = sorted(sketches.compared(docs).collect(), key=lambda r: r["doc_id"])
+    _check_fingerprints(got, [(k, own[k] or "") for k in sorted(own)])
     assert got[0]["fingerprint"] == got[1]["fingerprint"] and got[0]["near_next"] == 1.0 and got[4]["fingerprint"] == ""
     plainly = {r["doc_id"]: r["fingerprint"] for r in sketches.fingerprints(docs).collect()}
-    assert plainly == {k: r["fingerprint"] for k, r in got.items()}
-    assert sketches.compared(documents(spark)).count() == len(ids) + 1
+    assert plainly == {r["doc_id"]: r["fingerprint"] for r in got}
+    assert sketches.compared(documents(spark)).count() == len(own) + 1
     assert sketches.compared(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["large", "strings", "null", "some null", "equal"])
+def test_fingerprints_follow_any_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(sketches, "BLOCK_ROWS", 40)
+    texts = [" ".join(f"{i}w{j % 11}" for j in range(i % 23)) for i in range(300)]
+    made = {"large": lambda i: (1 << 60) + i, "strings": lambda i: f"id{i:04}", "null": lambda i: None, "some null": lambda i: i if i % 3 else None, "equal": lambda i: i // 50}[ids]
+    kind = "string" if ids == "strings" else "long"
+    df = spark.createDataFrame([(made(i), t) for i, t in enumerate(texts)], f"doc_id {kind}, text string")
+    h = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    rows = sorted(((made(i), t) for i, t in enumerate(texts)), key=lambda x: (x[0] is not None, x[0] if x[0] is not None else 0, h[x[1]]))
+    edited = {digest: n for n, (_, _, digest, _, _) in enumerate(_told(rows))}
+    got = sketches.compared(df.repartition(7)).collect()
+    assert len(got) == len(rows)
+    if ids in ("large", "strings"):
+        _check_fingerprints(sorted(got, key=lambda r: r["doc_id"]), rows)
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == collections.Counter(x[:3] for x in _told(rows)) and edited
+
+
 def test_sketches_merge_and_estimate():
     r = np.random.default_rng(1)
     vocabulary = [f"w{i}" for i in range(5000)]
@@ -340,12 +378,14 @@ def test_near_groups_recall_against_all_pairs(spark, n):
 # ------------------------------------------------------------------ 5 language models
 
 
-def test_losses_equal_a_plain_model(spark):
+def test_losses_equal_a_plain_model(spark, monkeypatch):
     rows = [(i, " ".join("abcdefg"[(i * j + j) % 7] for j in range(i % 9)), i % 2 == 0) for i in range(40)] + [(99, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, good boolean")
-    models = lm.train(df, "good", n_words=1 << 12, n_pairs=1 << 14)
     good = df.where("good").select("doc_id")
-    got = {r["doc_id"]: r for r in lm.score(df, models, good).collect()}
+    monkeypatch.setattr(lm, "BATCH_BYTES", 30)  # several batches and slices
+    monkeypatch.setattr(lm, "SLICE_GRAMS", 16)
+    got = {r["doc_id"]: r for r in lm.score(df.repartition(3), good).collect()}
+    size_of_all = len({w for _, t, _ in rows for w in words(t)})
     for i, text, is_good in rows:
         own = words(text)
         assert got[i]["n_words"] == len(own)
@@ -354,23 +394,26 @@ def test_losses_equal_a_plain_model(spark):
             continue
         bits = []
         for target in (True, False):
-            uni, pair = collections.Counter(), collections.Counter()
+            uni, pair, starts = collections.Counter(), collections.Counter(), 0
             for j, t, g in rows:
                 if (g or not target) and not (j == i):
                     w = words(t)
                     uni.update(w)
+                    starts += bool(w)
                     pair.update(zip([None, *w], w))
             size = sum(len(words(t)) for _, t, g in rows if g)
             scale = 1.0 if target else size / sum(len(words(t)) for _, t, _ in rows)
             n = sum(uni.values()) * scale
             loss = 0.0
             for a, b in zip([None, *own], own):
-                alone = (uni[b] * scale + 1) / (n + (1 << 12))
-                loss -= np.log2((pair[a, b] * scale + lm.BACKOFF * alone) / (uni[a] * scale + lm.BACKOFF))
+                alone = (uni[b] * scale + 1) / (n + size_of_all)
+                loss -= np.log2((pair[a, b] * scale + lm.BACKOFF * alone) / ((starts if a is None else uni[a]) * scale + lm.BACKOFF))
             bits.append(loss / len(own))
         assert got[i]["target_bits"] == pytest.approx(bits[0], rel=1e-5)
         assert got[i]["background_bits"] == pytest.approx(bits[1], rel=1e-5)
-    assert lm.score(empty(spark), lm.train(empty(spark).withColumn("good", F.lit(True)), "good"), good).count() == 0
+    assert lm.score(empty(spark), good).count() == 0 and lm.score(df, good.limit(0)).count() == len(rows)
+    odd = lm.score(documents(spark).withColumn("doc_id", F.when(F.col("doc_id") > 3, F.col("doc_id"))), good)
+    assert odd.count() == documents(spark).count() and odd.where("doc_id is null and score is not null").count() > 0
 
 
 def test_scores_tell_held_out_documents_apart(spark):
@@ -378,7 +421,7 @@ def test_scores_tell_held_out_documents_apart(spark):
     a, b = [f"a{i}" for i in range(50)], [f"b{i}" for i in range(50)]
     rows = [(i, " ".join(r.choice(a if i % 2 else b, 40)), i % 2 == 1 and i < 100) for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string, good boolean")
-    got = {x["doc_id"]: x["score"] for x in lm.score(df, lm.train(df, "good", n_words=1 << 12, n_pairs=1 << 14), df.where("good").select("doc_id")).collect()}
+    got = {x["doc_id"]: x["score"] for x in lm.score(df, df.where("good").select("doc_id")).collect()}
     held = [(got[i], i % 2) for i in range(100, 200)]
     assert min(s for s, y in held if y) > max(s for s, y in held if not y)
 
