@@ -2,29 +2,34 @@
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards (Luhn) and
 international phone numbers, each by one leftmost scan.  Generators with high
-recall propose further, overlapping spans: long tokens with digits, other chains
+recall propose further, overlapping spans of any length: long tokens, other chains
 of digits, and spelled-out addresses.  Each candidate gets features of its
 format and of the words around it; a small ensemble of boosted trees, written
 out as one CASE expression, scores it; the threshold is calibrated on held-out
 examples so that at least PRECISION of what passes is personal.  A candidate that
-overlaps a base span or a better candidate is dropped.
+overlaps a base span is dropped; selected ones may overlap each other, and
+redaction replaces their union.
 
 All of it is Catalyst expressions over one row at a time: no Python on the
-executors, no shuffle.  The trees are fitted on the driver on EXAMPLES generated,
-labelled examples (a fixed, bounded sample; same seed, same trees), whose
-features come from the same expressions.
+executors, no shuffle.  A text of n characters and m matches costs about n + m
+steps: places are running sums in blocks, overlaps are binary searches, and pieces
+of the text are cut from its blocks of BLOCK characters.  The trees are fitted on
+the driver on EXAMPLES generated, labelled examples (a fixed, bounded sample; same
+seed, same trees), whose features come from the same expressions.
 
 Positions count characters (code points), ends are exclusive.
 
-Defined cases: a null text counts as empty; texts without digits or '@' cost two
-short tests; equal spans are listed once a kind; rows are judged one by one, so
-repeats agree; an empty table stays empty; columns named as results are replaced.
+Defined cases: a null text counts as empty in all_spans() and stays null in
+redacted(); null ids and other columns stay as they are; equal spans are listed
+once a kind; rows are judged one by one, so repeats agree; an empty table stays
+empty; columns named as results are replaced.
 """
 
 from __future__ import annotations
 
 import functools
 import random
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,20 +45,78 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
 KINDS = ("email", "ip", "card", "phone")
 
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,512}+(?![A-Za-z0-9+/_-])"
-CHAIN = r"(?<![0-9])[0-9](?:[\x20().-]{0,2}[0-9]){6,24}(?![0-9])"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"
+CHAIN = r"(?<![0-9])[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
 SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[({]\x20?(?:at|AT)\x20?[\])}]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[({]\x20?(?:dot|DOT)\x20?[\])}])\x20?[A-Za-z0-9-]++)++"
 GENERATORS = {"secret": TOKEN, "number": CHAIN, "address": SPELLED}
 
 #: Characters before and after a candidate that its features see.
 CONTEXT = 24
-EXAMPLES, HELD_OUT, SEED = 3_000, 1_000, 20
+EXAMPLES, HELD_OUT, SEED = 4_000, 2_000, 20
 TREES, DEPTH, RATE = 24, 3, 0.3
 PRECISION = 0.99
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 
 
+# ------------------------------------------------------- linear steps over arrays
+
+#: Items of a running sum that are extended one by one, and characters of a block of text (a power of two).
+RUN, BLOCK_BITS = 128, 10
+BLOCK = 1 << BLOCK_BITS
+
+
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """array<int> of the combinations of each item with all before it; 0 changes nothing.
+
+    Arrays grow by copies, so they grow within runs of RUN items only; the runs'
+    ends are combined the same way.
+    """
+    none = F.array().cast("array<int>")
+
+    def extend(held: Column, x: Column) -> Column:
+        return F.concat(held, F.array(combine(F.coalesce(F.try_element_at(held, F.lit(-1)), F.lit(0)), x).cast("int")))
+
+    def over_runs(inner: Column) -> Column:
+        before = F.aggregate(F.transform(inner, lambda r: F.element_at(r, -1)), F.array(F.lit(0)), extend)
+        return F.flatten(F.zip_with(inner, F.slice(before, F.lit(1), F.size(inner)), lambda r, b: F.transform(r, lambda x: combine(x, b).cast("int"))))
+
+    def cut_up(v: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int"))
+        return F.transform(starts, lambda c: F.aggregate(F.slice(v, c * RUN + 1, F.lit(RUN)), none, extend))
+
+    def whole(v: Column) -> Column:
+        return F.when(F.size(v) <= RUN, F.aggregate(v, none, extend)).otherwise(_once(cut_up(v), over_runs))
+
+    return _once(values, whole)
+
+
+def below(sorted_: Column, value: Column) -> Column:
+    """How many items of an ascending array (a bound value) are less than value, by binary search."""
+    def step(at: Column, power: Column) -> Column:
+        up = at + power
+        return F.when((up <= F.size(sorted_)) & (F.get(sorted_, F.least(up, F.size(sorted_)) - 1) < value), up).otherwise(at)
+
+    powers = F.transform(F.sequence(F.floor(F.log2(F.size(sorted_).cast("double"))).cast("int"), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+    return F.when(F.size(sorted_) == 0, 0).otherwise(F.aggregate(powers, F.lit(0), step))
+
+
+def in_blocks(value: Column) -> Column:
+    return F.regexp_extract_all(value, F.lit(f"(?s).{{1,{BLOCK}}}+"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, length: Column) -> Column:
+    """Characters of a text kept in blocks; costs what it cuts and a block or two."""
+    first = F.shiftright(start, BLOCK_BITS)
+    some = F.slice(blocks, first + 1, F.shiftright(start + length, BLOCK_BITS) - first + 1)
+    return F.when(length <= 0, "").otherwise(F.substring(F.array_join(some, ""), start - first * BLOCK + 1, length))
+
+
 # ------------------------------------------------------------------ base spans
 
 
@@ -63,15 +126,14 @@ def _places(text: Column, pattern: str, unless: Column) -> Column:
     Lengths of the pieces between matches and of the matches add up to places.
     """
     found = F.when(unless, F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def add(held: Column, x: Column) -> Column:
-        start = F.coalesce(F.try_element_at(held, F.lit(-1))["end"], F.lit(0)) + x["gap"]
-        return F.concat(held, F.array(F.struct(start.cast("int").alias("start"), (start + F.length(x["value"])).cast("int").alias("end"), x["value"].alias("value"))))
+    def placed(f: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(f))
+        ends = running(F.zip_with(f, gaps, lambda v, g: F.length(v) + F.length(g)), lambda a, b: a + b)
+        return F.zip_with(f, ends, lambda v, e: F.struct((e - F.length(v)).alias("start"), e.alias("end"), v.alias("value")))
 
-    paired = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda v, g: F.struct(g.alias("gap"), v.alias("value")))
-    return F.when(F.size(found) > 0, F.aggregate(paired, empty, add)).otherwise(empty)
+    return _once(found, lambda f: F.when(F.size(f) > 0, placed(f)).otherwise(empty))
 
 
 def digits(value: Column) -> Column:
@@ -167,7 +229,7 @@ def examples(n: int, seed: int) -> list[tuple[int, str, str, str, int]]:
     word = lambda: pick("abcdefghijklmnopqrstuvwxyz", r.randint(4, 10))
     out = []
     for i in range(n):
-        kind, lead, tail = i % 8, r.choice(plain) + " ", " " + word()
+        kind, lead, tail = i % 10, r.choice(plain) + " ", " " + word()
         if kind == 0:  # marked secrets
             value = pick(r.choice([hexa, alnum, hexa.upper()]), r.choice([20, 24, 32, 40, 64]))
             quote = r.choice(['"', "'", ""])
@@ -189,6 +251,13 @@ def examples(n: int, seed: int) -> list[tuple[int, str, str, str, int]]:
         elif kind == 6:  # spelled-out addresses
             a, d = r.choice([("[at]", "[dot]"), ("(at)", "(dot)"), ("{at}", ".")])
             out.append((2, f"{word()} {a} {word()} {d} {r.choice(['com', 'org', 'net', 'de'])}", lead, tail, 1))
+        elif kind == 7:  # marked secrets without digits, and very long ones
+            value = pick(r.choice([alnum[:52], alnum[:26], alnum, alnum + "+/"]), r.choice([20, 24, 32, 40, 64, 200, 600]))
+            quote = r.choice(['"', "'", ""])
+            out.append((0, value, f"{word()} {r.choice(['token', 'api_key', 'secret', 'password', 'KEY', 'Bearer', 'auth_token'])}{r.choice([' = ', ': ', '='])}{quote}", quote + tail, 1))
+        elif kind == 8:  # long words, and chains of words
+            value = r.choice(["", "-", "_", "/"]).join(word() for _ in range(r.randint(3, 12)))
+            out.append((0, r.choice([value, value.title(), value.upper()]), r.choice([lead, lead, f"{r.choice(['key', 'name', 'token', 'see'])}: ", f"{word()} "]), tail, 0))
         else:  # marked, but no secret: short or plain values
             out.append((0, f"{word()}-{word()}-{word()}{pick(num, 1)}", f"{r.choice(['key', 'name', 'file'])}: ", tail, 0))
     return out
@@ -288,33 +357,31 @@ def all_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = base_spans(docs, text)
     trees, limit = model(docs.sparkSession)
     value = F.coalesce(F.col(text), F.lit(""))
-    no_digit = ~value.rlike("[0-9]")
-    unless = {"secret": no_digit, "number": no_digit, "address": ~value.rlike(r"[\[({]\x20?(?:at|AT)")}
-    made = []
-    for rank, (kind, pattern) in enumerate(GENERATORS.items()):
-        docs = docs.withColumn(f"_{kind}", _places(value, pattern, unless[kind]))
-
-        def candidate(r: int, k: str, x: Column) -> Column:
-            from_ = F.greatest(x["start"] - CONTEXT, F.lit(0))
-            before = F.substring(value, from_ + 1, x["start"] - from_)
-            after = F.substring(value, x["end"] + 1, F.lit(CONTEXT))
-            return F.struct(x["start"].alias("start"), F.lit(len(KINDS) + r).alias("rank"), x["end"].alias("end"), F.lit(k).alias("kind"), features(r, x["value"], before, after).alias("f"))
+    unless = {"secret": F.lit(False), "number": ~value.rlike("[0-9]"), "address": ~value.rlike(r"[\[({]\x20?(?:at|AT)")}
+    places = [_places(value, pattern, unless[kind]) for kind, pattern in GENERATORS.items()]
+    docs = docs.withColumn("_places", F.array(*places))
 
+    def selected(known: Column, r: int, kind: str, found: Column) -> Column:
+        """Of one generator's places: those free of base spans that the trees select."""
         def free(x: Column) -> Column:
-            return ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+            def clear(p: Column) -> Column:
+                return (p == 0) | (F.get(known["reach"], p - 1) <= x["start"])
+
+            return _once(below(known["starts"], x["end"]), clear)
 
-        made.append(F.transform(F.filter(F.col(f"_{kind}"), free), functools.partial(candidate, rank, kind)))
-    docs = docs.withColumn("_made", F.concat(*made))
-    rated = F.transform("_made", lambda c: F.struct((-scored(trees, c["f"])).alias("order"), c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")))
-    docs = docs.withColumn("_made", F.when(F.size("_made") > 0, F.array_sort(F.filter(rated, lambda c: -c["order"] >= limit))).otherwise(rated))
+        def made(x: Column) -> Column:
+            from_ = F.greatest(x["start"] - CONTEXT, F.lit(0))
+            before, after = cut(known["blocks"], from_, x["start"] - from_), cut(known["blocks"], x["end"], F.lit(CONTEXT))
+            span = F.struct(x["start"].alias("start"), F.lit(len(KINDS) + r).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"))
+            return F.struct(_once(features(r, x["value"], before, after), lambda f: scored(trees, f)).alias("score"), span.alias("span"))
 
-    def take(held: Column, c: Column) -> Column:
-        clash = F.exists(held, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-        return F.when(clash, held).otherwise(F.concat(held, F.array(F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind")))))
+        kept = F.filter(F.transform(F.filter(found, free), made), lambda c: c["score"] >= limit)
+        return F.transform(kept, lambda c: c["span"])
 
-    added = F.aggregate("_made", F.array().cast(f"array<{SPAN}>"), take)
-    docs = docs.withColumn("spans", F.when(F.size("_made") > 0, F.array_sort(F.concat("base", added))).otherwise(F.col("base")))
-    return docs.drop("_made", *[f"_{k}" for k in GENERATORS])
+    known = F.struct(F.transform("base", lambda b: b["start"]).alias("starts"), running(F.transform("base", lambda b: b["end"]), F.greatest).alias("reach"), in_blocks(value).alias("blocks"))
+    added = _once(known, lambda k: F.concat(*[selected(k, r, kind, F.get("_places", r)) for r, kind in enumerate(GENERATORS)]))
+    some = F.exists("_places", lambda p: F.size(p) > 0)
+    return docs.withColumn("spans", F.when(some, F.array_sort(F.concat("base", added))).otherwise(F.col("base"))).drop("_places")
 
 
 def shown(spans: Column) -> Column:
@@ -330,18 +397,20 @@ def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(text).alias("_text"))
     found = all_spans(own, "_text")
     value = F.coalesce(F.col("_text"), F.lit(""))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def add(held: Column, s: Column) -> Column:
-        apart = s["start"] >= held["at"]
-        out = F.concat(held["out"], F.substring(value, held["at"] + 1, s["start"] - held["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.when(apart, out).otherwise(held["out"]).alias("out"), F.greatest(held["at"], s["end"]).alias("at"))
+    def clean(reach: Column) -> Column:
+        """reach: the end of all spans so far, after each span."""
+        def pieces(blocks: Column) -> Column:
+            before = F.slice(F.concat(F.array(F.lit(0)), reach), F.lit(1), F.size("spans"))
+            said = F.zip_with("spans", before, lambda s, at: F.when(s["start"] >= at, F.concat(cut(blocks, at, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+            end = F.element_at(reach, -1)
+            return F.concat(F.array_join(said, ""), cut(blocks, end, F.length(value) - end))
 
-    def finish(held: Column) -> Column:
-        return F.concat(held["out"], F.substring(value, held["at"] + 1, F.length(value)))
+        return _once(in_blocks(value), pieces)
 
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, add, finish)).otherwise(F.col("_text"))
-    return found.withColumn("_text", clean).select(*[F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names])
+    ends = running(F.transform("spans", lambda s: s["end"]), F.greatest)
+    text_of = F.when(F.size("spans") > 0, _once(ends, clean)).otherwise(F.col("_text"))
+    return found.withColumn("_text", text_of).select(*[F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in names])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -606,6 +606,40 @@ def test_personal_data(spark, docs, own, tmp_path):
     assert pii.all_spans(empty(spark)).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    import time
+
+    secret = "0123456789abcdef0123456789abcdef"
+    text = "".join(f'user{i}@example.org said token = "{secret}" é {i} ' for i in range(60_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    row = pii.redacted(df).select("text", F.size(pii.in_blocks(F.col("text"))).alias("n")).first()
+    assert row["text"] == "".join(f'[EMAIL] said token = "[SECRET]" é {i} ' for i in range(60_000)) and time.time() - start < 60
+    spans = pii.all_spans(df).select(F.size("base").alias("b"), F.size("spans").alias("s"), F.element_at("spans", -1)["end"].alias("e")).first()
+    assert (spans["b"], spans["s"]) == (60_000, 120_000) and text[: spans["e"]].endswith(secret)
+
+
+def test_running_sums_and_searches(spark):
+    r = np.random.default_rng(1)
+    values = r.integers(0, 50, 1000).tolist()
+    df = spark.createDataFrame([(values, sorted(values)), ([], []), ([7], [7])], "v array<int>, s array<int>")
+    got = df.select(pii.running(F.col("v"), lambda a, b: a + b).alias("sum"), pii.running(F.col("v"), F.greatest).alias("most"), F.transform(F.array(*map(F.lit, (0, 7, 25, 99))), lambda x: pii.below(F.col("s"), x)).alias("below")).collect()
+    assert got[0]["sum"] == np.cumsum(values).tolist() and got[0]["most"] == np.maximum.accumulate(values).tolist()
+    assert got[0]["below"] == [sum(x < y for x in values) for y in (0, 7, 25, 99)] and got[1]["sum"] == [] and got[1]["below"] == [0] * 4 and got[2]["below"] == [0, 0, 1, 1]
+    text = "aé😀" * 2000
+    cuts = spark.createDataFrame([(text, i, n) for i, n in ((0, 0), (0, 5), (1023, 2), (1024, 1024), (5000, 5000), (5999, 1), (6000, 3), (10, 4000))], "t string, i int, n int")
+    assert all(x["c"] == text[x["i"] : x["i"] + x["n"]] for x in cuts.select("*", pii.cut(pii.in_blocks(F.col("t")), F.col("i"), F.col("n")).alias("c")).collect())
+
+
+def test_long_and_letters_only_secrets_are_candidates(spark):
+    r = np.random.default_rng(5)
+    letters = "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), 40))
+    long = "".join(r.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 700))
+    rows = [(1, f'api_key = "{letters}"'), (2, f"secret: {long} end"), (3, "the internationalization-of-telecommunications matters"), (4, None)]
+    got = {x["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in x["spans"]] for x in pii.all_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [("secret", 11, 51)], 2: [("secret", 8, 708)], 3: [], 4: []}
+
+
 def test_trees_hold_out(spark):
     trees, limit = pii.model(spark)
     said = pii.examples(600, seed=99)
