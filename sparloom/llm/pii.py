@@ -7,8 +7,8 @@ of digits, and spelled-out addresses.  Each candidate gets features of its
 format and of the words around it; a small ensemble of boosted trees, written
 out as one CASE expression, scores it; the threshold is calibrated on held-out
 examples so that at least PRECISION of what passes is personal.  A candidate that
-overlaps a base span is dropped; selected ones may overlap each other, and
-redaction replaces their union.
+overlaps a base span is dropped, as is a selected one inside another; selected
+ones may still overlap in part, and redaction replaces their union.
 
 All of it is Catalyst expressions over one row at a time: no Python on the
 executors, no shuffle.  A text of n characters and m matches costs about n + m
@@ -379,7 +379,14 @@ def all_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.transform(kept, lambda c: c["span"])
 
     known = F.struct(F.transform("base", lambda b: b["start"]).alias("starts"), running(F.transform("base", lambda b: b["end"]), F.greatest).alias("reach"), in_blocks(value).alias("blocks"))
-    added = _once(known, lambda k: F.concat(*[selected(k, r, kind, F.get("_places", r)) for r, kind in enumerate(GENERATORS)]))
+    def outermost(found: Column) -> Column:
+        """Without spans that lie inside one before them."""
+        before = F.slice(F.concat(F.array(F.lit(0)), running(F.transform(found, lambda s: s["end"]), F.greatest)), F.lit(1), F.size(found))
+        told = F.zip_with(found, before, lambda s, b: F.struct(s.alias("span"), (s["end"] > b).alias("out")))
+        return F.transform(F.filter(told, lambda t: t["out"]), lambda t: t["span"])
+
+    added = _once(known, lambda k: F.array_sort(F.concat(*[selected(k, r, kind, F.get("_places", r)) for r, kind in enumerate(GENERATORS)])))
+    added = _once(added, outermost)
     some = F.exists("_places", lambda p: F.size(p) > 0)
     return docs.withColumn("spans", F.when(some, F.array_sort(F.concat("base", added))).otherwise(F.col("base"))).drop("_places")
 
