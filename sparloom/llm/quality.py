@@ -1,15 +1,17 @@
 """Quality rules: counts of a text, and how far it diverges from its language.
 
 A language's reference is taken from all documents of that language: a histogram
-of character classes, and one of its COMMON most frequent short words plus all
-others.  A document's own histograms are held against them by Jensen-Shannon
-distance (base 2, 0 to 1).  A text is rejected if the class distance is above
-CLASS_LIMIT or the word distance above WORD_LIMIT.  Guards: texts under MIN_WORDS
-words fail the base rules anyway; a language with under MIN_REFERENCE words gives
-no verdict, and then the text is kept.
-
-Short words have SHORT characters at most: their number is bounded, so counting
-all of them over the corpus needs only a small shuffle.
+of character classes, and one of its COMMON most frequent words plus all others.
+A document's own histograms are held against them by Jensen-Shannon distance
+(base 2, 0 to 1).  A text is rejected if the class distance is above CLASS_LIMIT
+or the word distance above WORD_LIMIT.  Guards: texts under MIN_WORDS words fail
+the base rules anyway; a language with under MIN_REFERENCE words gives no verdict,
+and then the text is kept.
+
+Classes follow Unicode's categories: small, capital and other letters, numbers,
+line ends, blanks, marks of prose, symbols, and what remains.  Words of every
+length are counted: each task adds up its words and sends each once (after
+FLUSH_WORDS distinct ones anew), and sums meet by word.
 
 Defined cases: a null text has no words; a null language is a language of its
 own; rows are judged one by one, so repeats and ties get equal verdicts; an
@@ -19,10 +21,12 @@ results are not used.
 
 from __future__ import annotations
 
+import collections
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,26 +34,34 @@ from pyspark.sql.window import Window
 
 from .common import mix, read_table, run_hashes, steps, utf8, word_hashes, words
 
-COMMON, SHORT = 40, 4
+COMMON = 40
 CLASS_LIMIT, WORD_LIMIT = 0.30, 0.45
 MIN_WORDS, MIN_REFERENCE = 50, 1_000
-SYMBOLS = b"#*$%&|<>"
-#: Languages whose references the driver holds, about 2 KB each.
-MAX_LANGUAGES = 10_000
-CLASSES = ("lower", "upper", "digit", "newline", "blank", "symbol", "mark", "other")
+SYMBOLS = "#*$%&|<>"
+MARKS = ".,;:!?'\"()-"
+#: Languages whose references the driver holds, about 2 KB each; distinct words of a language that a task holds.
+MAX_LANGUAGES, FLUSH_WORDS = 10_000, 200_000
+CLASSES = ("lower", "upper", "letter", "digit", "newline", "blank", "symbol", "mark", "other")
+#: Class of each Unicode category that has one as a whole.
+OF_CATEGORY = {"Ll": "lower", "Lu": "upper", "Lt": "upper", "Lo": "letter", "Lm": "letter", "Mn": "letter", "Mc": "letter", "Me": "letter", "Nd": "digit", "Nl": "digit", "No": "digit", "Zs": "blank"}
 
 
+@functools.cache
 def _class_table() -> np.ndarray:
-    """Class of each byte; bytes inside a character count with its first (class -1)."""
-    table = np.full(256, CLASSES.index("other"), np.int64)
-    table[0x61:0x7B], table[0x41:0x5B], table[0x30:0x3A] = 0, 1, 2
-    table[0x0A], table[[0x20, 0x09]] = 3, 4
-    table[list(SYMBOLS)], table[list(b".,;:!?'\"()-")] = 5, 6
-    table[0x80:0xC0], table[0xC0:] = -1, 0
+    """Class of each code point."""
+    found = [CLASSES.index(OF_CATEGORY.get(unicodedata.category(chr(c)), "other")) for c in range(0x110000)]
+    table = np.array(found, np.int8)
+    for characters, name in (("\n", "newline"), (" \t", "blank"), (SYMBOLS, "symbol"), (MARKS, "mark")):
+        table[[ord(c) for c in characters]] = CLASSES.index(name)
     return table
 
 
-_CLASS = _class_table()
+def _characters(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each character of a step, its row, and the characters begun before each byte."""
+    lead = (data & 0xC0) != 0x80
+    before = np.concatenate(([0], np.cumsum(lead)))
+    points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    return _class_table()[points], np.repeat(np.arange(len(at) - 1), np.diff(before[at])), before
 
 
 def _lang_ids(column: pa.Array) -> tuple[np.ndarray, list[str]]:
@@ -61,27 +73,43 @@ def _lang_ids(column: pa.Array) -> tuple[np.ndarray, list[str]]:
 
 
 def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one task: counts of classes, words in all and words, by language."""
+    classes: collections.Counter = collections.Counter()
+    found: dict[str, dict[bytes, int]] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for name, counts in found.items():
+            yield _counted([(name, "word", w.decode("utf-8", "replace"), n) for w, n in counts.items()])
+        found.clear()
+
     for batch in batches:
         for step in steps(batch, "text"):
             at, data = utf8(step.column("text"))
             lang, names = _lang_ids(step.column("lang"))
-            row = np.repeat(np.arange(len(lang)), np.diff(at))
-            kind = _CLASS[data]
-            lead = kind >= 0
-            by_class = np.bincount(lang[row[lead]] * len(CLASSES) + kind[lead], minlength=len(names) * len(CLASSES)).reshape(-1, len(CLASSES))
+            kind, row, _ = _characters(at, data)
+            by_class = np.bincount(lang[row] * len(CLASSES) + kind, minlength=len(names) * len(CLASSES)).reshape(-1, len(CLASSES))
             begin, end, first = words(at, data)
             word_lang = np.repeat(lang, np.diff(first))
-            letters = np.concatenate(([0], np.cumsum(lead)))
-            short = letters[end] - letters[begin] <= SHORT
-            h = word_hashes(data, begin, end)
-            out = [(names[i], "class", CLASSES[k], int(n)) for i, line in enumerate(by_class) for k, n in enumerate(line) if n]
-            totals = np.bincount(word_lang, minlength=len(names))
-            out += [(names[i], "total", "", int(n)) for i, n in enumerate(totals) if n]
-            for i in range(len(names)):
-                mine = np.flatnonzero(short & (word_lang == i))
+            h, whole = word_hashes(data, begin, end), data.tobytes()
+            for i, name in enumerate(names):
+                for k, n in enumerate(by_class[i]):
+                    classes[name, "class", CLASSES[k]] += int(n)
+                mine = np.flatnonzero(word_lang == i)
+                classes[name, "total", ""] += len(mine)
                 _, at_word, n = np.unique(h[mine], return_index=True, return_counts=True)
-                out += [(names[i], "word", data[begin[j] : end[j]].tobytes().decode("utf-8", "replace"), int(c)) for j, c in zip(mine[at_word], n, strict=True)]
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["lang", "kind", "item", "n"]).astype({"n": "int64"}), preserve_index=False)
+                held = found.setdefault(name, {})
+                for j, c in zip(mine[at_word].tolist(), n.tolist(), strict=True):
+                    w = whole[begin[j] : end[j]]
+                    held[w] = held.get(w, 0) + c
+            if sum(map(len, found.values())) > FLUSH_WORDS:
+                yield from told()
+    yield from told()
+    yield _counted([(*key, n) for key, n in classes.items() if n])
+
+
+def _counted(rows: list[tuple[str, str, str, int]]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["lang", "kind", "item", "n"])
 
 
 def references(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, tuple[np.ndarray, np.ndarray, list[str], int]]:
@@ -164,12 +192,9 @@ def _judge(held, extra: list[str], lang_at: str, text_at: str):
                 at, data = utf8(step.column(text_at))
                 lang, names = _lang_ids(step.column(lang_at))
                 n = len(lang)
-                kind = _CLASS[data]
-                lead = kind >= 0
-                row = np.repeat(np.arange(n), np.diff(at))
-                classes = np.bincount(row[lead] * len(CLASSES) + kind[lead], minlength=n * len(CLASSES)).reshape(n, -1).astype(float)
+                kind, row, letters = _characters(at, data)
+                classes = np.bincount(row * len(CLASSES) + kind, minlength=n * len(CLASSES)).reshape(n, -1).astype(float)
                 begin, end, first = words(at, data)
-                letters = np.concatenate(([0], np.cumsum(lead)))
                 chars = np.concatenate(([0], np.cumsum(letters[end] - letters[begin])))
                 h = word_hashes(data, begin, end)
                 n_words = np.diff(first)
@@ -231,13 +256,13 @@ def _count(characters: str) -> str:
 
 
 #: The classes of CLASSES as sets of characters; `other` is what remains.
-_SETS = {"lower": r"a-z\x{80}-\x{10FFFF}", "upper": "A-Z", "digit": "0-9", "newline": r"\n", "blank": r" \t", "symbol": "#*$%&|<>", "mark": r".,;:!?''\"()\-"}
+_SETS = {"lower": r"\p{Ll}", "upper": r"\p{Lu}\p{Lt}", "letter": r"\p{Lo}\p{Lm}\p{M}", "digit": r"\p{N}", "newline": r"\n", "blank": r"\p{Zs}\t", "symbol": "#*$%&|<>", "mark": r".,;:!?''\"()\-"}
 _DISTANCE = """sqrt(greatest(0, (sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END)) / 2))"""
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 words AS (SELECT doc_id, lang, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d),
 totals AS (SELECT lang, sum(len(w)) AS n FROM d GROUP BY lang),
-common AS (SELECT lang, x, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS r FROM (SELECT lang, x, count(*) AS n FROM words WHERE length(x) <= {SHORT} GROUP BY lang, x)) WHERE r <= {COMMON}),
+common AS (SELECT lang, x, n FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x) AS r FROM (SELECT lang, x, count(*) AS n FROM words GROUP BY lang, x)) WHERE r <= {COMMON}),
 word_ref AS (SELECT lang, x, common.n / totals.n AS q FROM common JOIN totals USING (lang) UNION ALL SELECT lang, NULL, 1 - coalesce(sum(common.n), 0) / any_value(totals.n) FROM totals LEFT JOIN common USING (lang) GROUP BY lang),
 own AS (SELECT doc_id, c.x, count(*) AS n FROM words JOIN common c ON c.lang = words.lang AND c.x = words.x GROUP BY doc_id, c.x),
 own_all AS (SELECT doc_id, x, n FROM own UNION ALL SELECT d.doc_id, NULL, len(w) - coalesce(s, 0) FROM d LEFT JOIN (SELECT doc_id, sum(n) AS s FROM own GROUP BY doc_id) USING (doc_id)),
