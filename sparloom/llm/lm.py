@@ -12,9 +12,9 @@ P_background, in bits: higher is closer to the target.  The first word of a
 document follows an empty word.  A document is scored without its own counts, so
 that those in the target are not favoured for having been counted.
 
-Counting.  Counts are exact, of every word and word pair (64-bit hashes) of every
-document; they stay distributed and grow with the input, and only two totals and
-the size of the vocabulary reach the driver.  Documents are cut into batches of
+Counting.  Every word and word pair of every document is counted under its own
+56-bit hash (two of 10^9 n-grams share one with a chance of about 1 in 10^8); counts stay distributed and grow with the input, and only two totals and the size
+of the vocabulary reach the driver.  Documents are cut into batches of
 BATCH_BYTES of text, written once as token numbers.  A batch sends its n-grams,
 each once with its counts, to slices of the hash range; a slice adds up what all
 batches sent and answers each batch with the totals of its own n-grams; batches
@@ -43,8 +43,11 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, mix, read_table, steps, utf8, word_hashes, words
 
 BACKOFF = 8.0
-#: Text bytes of a batch, and n-grams that all batches together send to a slice (about), and slices at least.
-BATCH_BYTES, SLICE_GRAMS, LEAST_SLICES = 4 << 20, 1 << 20, 16
+#: Text bytes of a batch, and n-grams that all batches together send to a slice (about), and slices at least (256: see _sent).
+BATCH_BYTES, SLICE_GRAMS, LEAST_SLICES = 4 << 20, 1 << 20, 256
+#: Good documents whose numbers are broadcast to the batches; more meet them in a join.
+MOST_BROADCAST = 4_000_000
+GRAM_BITS = 56
 _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -75,8 +78,8 @@ class Batch:
         before = np.concatenate(([_EMPTY], h[:-1])) if len(h) else h
         starts = (np.cumsum(self.n) - self.n)[self.n > 0]
         before[starts] = _EMPTY
-        word = mix(np.append(names, _EMPTY)) & ~np.uint64(1)
-        pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + h) | np.uint64(1)
+        word = mix(np.append(names, _EMPTY)) >> np.uint64(64 - GRAM_BITS) & ~np.uint64(1)
+        pair = mix(before * np.uint64(0x9E3779B97F4A7C15) + h) >> np.uint64(64 - GRAM_BITS) | np.uint64(1)
         self.grams, at = np.unique(np.concatenate((word, pair)), return_inverse=True)
         #: Of each token: the place of its word, of the word before it, and of the pair.
         self.word, self.pair = at[token], at[len(word) :]
@@ -114,6 +117,17 @@ def _own(row: np.ndarray, have: np.ndarray, ask: np.ndarray) -> np.ndarray:
     return np.where(cell[at] == key, times[at], 0)
 
 
+def _sent(grams: np.ndarray) -> bytes:
+    """Six bytes of each n-gram; the upper eight bits are the slice's, which has them in common."""
+    return np.ascontiguousarray(grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _got(body: bytes) -> np.ndarray:
+    out = np.zeros((len(body) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(body, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _packed(*counts: np.ndarray) -> bytes:
     return zlib.compress(np.concatenate(counts).astype(np.uint64).tobytes(), 1)
 
@@ -136,13 +150,13 @@ def _asks(bits: int):
         for rows in batches:
             for said, held in _decoded(rows):
                 counts = held.counts(np.ones(len(held.row), bool)), held.counts(held.good[held.row])
-                number = (held.grams >> np.uint64(64 - bits)).astype(np.int64)
+                number = (held.grams >> np.uint64(GRAM_BITS - bits)).astype(np.int64)
                 cuts = np.searchsorted(number, np.arange((1 << bits) + 1))
                 spans = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([i for i, _, _ in spans], pa.int32()),
                     pa.array([said["batch"]] * len(spans), pa.int64()),
-                    pa.array([held.grams[a:b].tobytes() for _, a, b in spans], pa.binary()),
+                    pa.array([_sent(held.grams[a:b]) for _, a, b in spans], pa.binary()),
                     pa.array([_packed(counts[0][a:b], counts[1][a:b]) for _, a, b in spans], pa.binary()),
                 ], ["slice", "batch", "grams", "counts"])
 
@@ -168,7 +182,7 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield told(at, ids, grams, counts)
                 at, ids, grams, counts = number.as_py(), [], [], []
             ids.append(batch.as_py())
-            grams.append(np.frombuffer(gram.as_py(), np.uint64))
+            grams.append(_got(gram.as_py()))
             counts.append(_unpacked(count.as_py()))
     if at is not None:
         yield told(at, ids, grams, counts)
@@ -204,14 +218,17 @@ def score(docs: DataFrame, good: DataFrame, key: str = "doc_id", text: str = "te
     each = held.select("batch", F.posexplode(F.arrays_zip("keys", "n")).alias("at", "d")).select("batch", "at", F.col("d.keys").alias("key"), F.col("d.n").alias("n"))
     marked = materialize(each.join(good.select(F.col(key).alias("key")).distinct(), "key", "left_semi"), "lm-good")
     totals = tuple(int(f.agg(F.sum("n")).first()[0] or 0) for f in (each, marked))
-    held = held.join(marked.groupBy("batch").agg(F.collect_list("at").alias("good")), "batch", "left")
+    lists = marked.groupBy("batch").agg(F.collect_list("at").alias("good"))
+    few = marked.count() <= MOST_BROADCAST  # else batches are shuffled once more; the same rows either way
+    told = held.join(F.broadcast(lists) if few else lists, "batch", "left")
     bits = int(np.ceil(np.log2(max(LEAST_SLICES, 2 * totals[0] / SLICE_GRAMS))))
-    asked = held.mapInArrow(_asks(bits), "slice int, batch long, grams binary, counts binary")
+    asked = told.mapInArrow(_asks(bits), "slice int, batch long, grams binary, counts binary")
     answers = asked.repartition("slice").sortWithinPartitions("slice").mapInArrow(_answers, "slice int, batch long, counts binary, words long")
     answers = materialize(answers, "lm-answers")
     size = max(1, int(answers.agg(F.sum("words")).first()[0] or 0) - 1)  # without the empty word
+    discard(answers.limit(0))  # the sent n-grams' shuffle files are no longer needed
     mine = answers.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("slice", "counts"))).alias("answers"))
-    made = held.join(mine, "batch", "left").mapInArrow(_scores(totals, size, to_arrow_type(kind)), f"key {shown}, n_words long, target_bits double, background_bits double")
+    made = told.join(mine, "batch", "left").mapInArrow(_scores(totals, size, to_arrow_type(kind)), f"key {shown}, n_words long, target_bits double, background_bits double")
     out = materialize(made, "lm-scores")
     discard(held, marked, answers)
     return out.select(F.col("key").alias(key), "n_words", "target_bits", "background_bits", (F.col("background_bits") - F.col("target_bits")).alias("score"))
