@@ -30,7 +30,6 @@ an empty table gives an empty result; columns named as results are replaced.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -141,7 +140,7 @@ def balance(cells: DataFrame, targets: dict[str, dict[str, float]], cap: float =
 def _rounded(cap: float):
     """Of one source's cells: copies of each document (base) and how many get one more."""
 
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
+    def run(cells):
         cells = cells.sort_values(["size", *sorted(c for c in cells if c[0] == "m")], ascending=False).reset_index(drop=True)
         carry, base, more = 0.0, [], []
         for size, n, rate in zip(cells["size"], cells["n"], cells["rate"], strict=True):

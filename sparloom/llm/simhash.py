@@ -34,7 +34,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -199,7 +198,9 @@ def links(distinct: DataFrame, radius: int, n: int) -> DataFrame:
             shard, at, home = tree.value.deal(fp.view(np.uint64), radius)
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(fp[at]), pa.array(home)], ["shard", "fp", "home"])
 
-    def find(rows: pd.DataFrame) -> pd.DataFrame:
+    def find(rows):
+        import pandas as pd  # here, for workers that need none
+
         fp = rows["fp"].to_numpy(np.int64)
         root = search(fp.view(np.uint64), rows["home"].to_numpy(bool), radius).root
         tied = np.flatnonzero(root != np.arange(len(fp)))
