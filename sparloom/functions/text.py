@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Tokens that say little about a text; fixed values.
-STOPWORDS = ("about", "after", "again", "against", "because", "before", "being", "between", "could", "every", "first", "from", "have", "into", "other", "should", "since", "their", "there", "these", "they", "this", "those", "through", "under", "until", "were", "what", "when", "where", "which", "while", "with", "would", "your")
+STOPWORDS = (
+    "the", "and", "for", "that", "with", "from", "this", "have", "were", "which",
+    "their", "about", "would", "there", "after", "before", "into", "when", "what",
+    "where", "while", "whose", "them", "they", "been", "also", "than", "then",
+    "because", "could", "should", "such", "these", "those", "your", "over",
+    "under", "between", "during", "through", "being", "it", "is", "a", "an", "of",
+    "to", "in", "on", "as", "by", "or", "at", "be", "are", "was", "if", "but",
+)
 
 
 def clean(text: Column) -> Column:
@@ -85,11 +92,11 @@ def top_tokens(counts: DataFrame, key: list[str], k: int) -> DataFrame:
 
 
 def keywords(df: DataFrame, key: list[str], text: str, k: int = 4) -> DataFrame:
-    """Top tokens of five letters or more that are no stopwords; of four where a row has none."""
-    counts = token_counts(df, key, text).where((F.length("tok") >= 4) & ~F.col("tok").isin(*STOPWORDS))
-    long = F.length("tok") >= 5
-    has = F.max(long.cast("int")).over(Window.partitionBy(*key)) == 1
-    return top_tokens(counts.withColumn("_has", has).where(long | ~F.col("_has")).drop("_has"), key, k)
+    """Top tokens of five letters or more that are no stopwords; where a row has none, of all of four or more."""
+    counts = token_counts(df, key, text).where(F.length("tok") >= 4)
+    good = (F.length("tok") >= 5) & ~F.col("tok").isin(*STOPWORDS)
+    has = F.max(good.cast("int")).over(Window.partitionBy(*key)) == 1
+    return top_tokens(counts.withColumn("_has", has).where(good | ~F.col("_has")).drop("_has"), key, k)
 
 
 def bigrams(df: DataFrame, key: list[str], text: str) -> DataFrame:

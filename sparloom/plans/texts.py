@@ -79,13 +79,13 @@ def top_terms_per_doc(spark, sf_dir):
     return T.top_tokens(counts, ["doc_id"], 5).select("doc_id", "tok", "n", "rank")
 
 
-STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+STOP = "'" + "', '".join("the and for that with from this have were which their about would there after before into when what where while whose them they been also than then because could should such these those your over under between during through being it is a an of to in on as by or at be are was if but".split()) + "'"
 
 
 @query(f"""SELECT doc_id, tok, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank
-FROM (SELECT *, max(CASE WHEN length(tok) >= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS has FROM
- (SELECT doc_id, tok, count(*) AS n, min(pos) AS first FROM ({TOKENS}) WHERE length(tok) >= 4 AND tok NOT IN ({STOP}) GROUP BY doc_id, tok))
-WHERE length(tok) >= 5 OR has = 0) WHERE rank <= 4""")
+FROM (SELECT *, max(CASE WHEN length(tok) >= 5 AND tok NOT IN ({STOP}) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS has FROM
+ (SELECT doc_id, tok, count(*) AS n, min(pos) AS first FROM ({TOKENS}) WHERE length(tok) >= 4 GROUP BY doc_id, tok))
+WHERE length(tok) >= 5 AND tok NOT IN ({STOP}) OR has = 0) WHERE rank <= 4""")
 def keywords(spark, sf_dir):
     return T.keywords(table(spark, sf_dir, "documents"), ["doc_id"], "text").select("doc_id", "tok", "n", "rank")
 
@@ -99,16 +99,28 @@ def focus_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.when(words != "", words).otherwise(F.substring("text", 1, 120)).alias("focus"))
 
 
-#: Scenario, whether it is complex, whether an answer may come from the cache, and the question's frame.
-SCENARIOS = (("direct", False, False, "What does the corpus say about: %s"), ("cached", False, True, "Summarize again: %s"), ("complex", True, False, "Compare and explain in steps: %s"), ("memory", True, True, "Earlier we discussed this, recall: %s"))
+#: Scenario, prefix of its ids, whether it is complex, may be cached, is expected in the cache, tags, and the question's frame; fixed values.
+SCENARIOS = (
+    ("semantic_cache_lookup", "semantic", False, True, True, "semantic-cache", "Summarize this content: %s"),
+    ("retrieval_hybrid", "retrieval", False, False, False, "retrieval", "Find the most relevant context for: %s"),
+    ("llm_generation", "generation", False, False, False, "generation", "Answer a grounded question about: %s"),
+    ("non_cached_complex_query", "complex", True, False, False, "complex,non-cached", "Compare the main claims, supporting evidence, and caveats in these materials: %s. Provide a non-cached grounded answer with tradeoffs."),
+)
 
 
-@query("SELECT doc_id, 'case-' || doc_id || '-' || s.name AS case_id, s.name AS scenario, s.complex, s.cached AS allow_cache, replace(s.frame, '%s', focus) AS question FROM (SELECT doc_id, " + FOCUS + " AS focus FROM documents) d CROSS JOIN (VALUES " + ", ".join(f"('{n}', {c}, {a}, '{f}')" for n, c, a, f in SCENARIOS) + ") AS s(name, complex, cached, frame)")
+@query(f"""WITH d AS (SELECT doc_id, coalesce(nullif({FOCUS}, ''), substr(text, 1, 120)) AS focus FROM documents),
+c AS (SELECT 'semantic_cache_lookup' AS scenario, 'semantic' AS kind, false AS complex, true AS allow_cache, true AS expected_hit, 'semantic-cache' AS tags, 'Summarize this content: ' AS lead, '' AS tail
+UNION ALL SELECT 'retrieval_hybrid', 'retrieval', false, false, false, 'retrieval', 'Find the most relevant context for: ', ''
+UNION ALL SELECT 'llm_generation', 'generation', false, false, false, 'generation', 'Answer a grounded question about: ', ''
+UNION ALL SELECT 'non_cached_complex_query', 'complex', true, false, false, 'complex,non-cached', 'Compare the main claims, supporting evidence, and caveats in these materials: ', '. Provide a non-cached grounded answer with tradeoffs.')
+SELECT doc_id, kind || '_' || doc_id AS case_id, scenario, complex, allow_cache, expected_hit, tags, lead || focus || tail AS question FROM d, c""")
 def query_cases(spark, sf_dir):
-    focus = F.array_join(F.slice(F.split(T.clean(F.col("text")), " "), 1, 18), " ")
-    made = [F.struct(F.lit(n).alias("scenario"), F.lit(c).alias("complex"), F.lit(a).alias("allow_cache"), F.replace(F.lit(f), F.lit("%s"), F.col("focus")).alias("question")) for n, c, a, f in SCENARIOS]
-    rows = table(spark, sf_dir, "documents").select("doc_id", focus.alias("focus")).select("doc_id", F.explode(F.array(*made)).alias("c"))
-    return rows.select("doc_id", F.concat_ws("-", F.lit("case"), "doc_id", "c.scenario").alias("case_id"), "c.*")
+    """Four questions about each document's first 18 words."""
+    words = F.array_join(F.slice(F.split(T.clean(F.col("text")), " "), 1, 18), " ")
+    focus = F.when(words != "", words).otherwise(F.substring("text", 1, 120))
+    made = [F.struct(F.lit(n).alias("scenario"), F.lit(k).alias("kind"), F.lit(c).alias("complex"), F.lit(a).alias("allow_cache"), F.lit(e).alias("expected_hit"), F.lit(t).alias("tags"), F.replace(F.lit(f), F.lit("%s"), F.col("focus")).alias("question")) for n, k, c, a, e, t, f in SCENARIOS]
+    rows = table(spark, sf_dir, "documents").select("doc_id", focus.alias("focus")).where("focus is not null").select("doc_id", F.explode(F.array(*made)).alias("c"))
+    return rows.select("doc_id", F.concat_ws("_", "c.kind", "doc_id").alias("case_id"), "c.scenario", "c.complex", "c.allow_cache", "c.expected_hit", "c.tags", "c.question")
 
 
 PAIRS = f'SELECT tok AS "left", nxt AS "right", count(*) AS n FROM (SELECT tok, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM ({TOKENS})) WHERE nxt IS NOT NULL GROUP BY 1, 2'

@@ -123,19 +123,20 @@ def test_decisions(spark, cost, nbytes, tokens, owner, told):
 
 
 def test_model_bytes(spark):
-    got = costs.models(spark).where("model_id = 'small-12l'").select(costs.model_kv_bytes(F.lit(128)).alias("n")).first()["n"]
+    got = costs.models(spark).where("model_id = 'gpt2'").select(costs.model_kv_bytes(F.lit(128)).alias("n")).first()["n"]
     assert got == 9_437_184
-    assert costs.crossover(spark, [128, 256], (("10 Gbps", 1.25e9), ("100 Gbps", 1.25e10)), (("10 us", 1e-5),)).where("model_id = 'small-12l'").count() == 4
+    assert costs.crossover(spark, [128, 256], (("10 Gbps", 1.25e9), ("100 Gbps", 1.25e10)), (("10 us", 1e-5),)).where("model_id = 'gpt2'").count() == 4
 
 
 def test_templates():
     nodes, edges = graphs.template("linear")
-    assert nodes[0][0] == "materialize_0" and nodes[-1][0] == "evict_0" and sum(t == "state" for *_, t in edges) == 3
+    assert nodes[0][0] == "materialize_0" and nodes[-1][0] == "evict_0" and [sum(e[2] == t for e in edges) for t in ("state", "data")] == [3, 2]
     nodes, edges = graphs.template("branching", 3)
-    assert sum(k == "transfer" for _, k in nodes) == 3 and sum(b == "merge_0" for _, b, _ in edges) == 3
-    assert sum(k == "generate" for _, k in graphs.template("tree", 2, 2)[0]) == 6
+    assert len(nodes) == 10 and sum(k == "kv_transfer" for _, k, _ in nodes) == 3 and [n for i, _, n in nodes if i == "merge_branches"] == [3]
+    tree = [k for _, k, _ in graphs.template("tree", 2, 2)[0]]
+    assert tree.count("generate") == 6 and tree.count("kv_fork") == 3
     nodes, _ = graphs.template("rag", 2)
-    assert sum(k == "transfer" for _, k in nodes) == 2 and sum(k == "retrieve" for _, k in nodes) == 1
+    assert sum(k == "kv_transfer" for _, k, _ in nodes) == 2 and sum(k == "retrieve" for _, k, _ in nodes) == 1
     with pytest.raises(ValueError):
         graphs.template("ring")
 
