@@ -2,43 +2,248 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import token_counts
-from ..functions.vectors import hashed_unit_rows
+from ..functions.text import tokens
 
-#: Query vectors that exact_topk sends to all tasks at once; more go block by block.
+#: Queries whose vectors and terms are held by tasks at once; more are answered block by block.
 QUERY_BLOCK = 4_096
+#: Rows that a matrix product scores at once.
+ROWS = 512
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(qid, id, score) of each chunk (id, text) that shares a token with a query (qid, text).
+# ------------------------------------------------------------ scores of a block of rows
 
-    An inverted-index join: repeated query tokens count as often as they occur.
+
+class Best:
+    """The k best (score, then smaller id) of each query, kept while rows stream by."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size, self.limit = 0, 64 * queries * k + 4096
+
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        """scores: (queries, rows); NaN marks pairs that do not count."""
+        scores = np.round(scores, 6) + 0.0
+        q, at = np.nonzero(scores >= self.least[:, None])
+        self.held.append((q, ids[at], scores[q, at]))
+        self.size += len(q)
+        if self.size > self.limit:
+            self.reduce()
+
+    def reduce(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, ids, scores = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64),) * 3
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = rank < self.k
+        q, ids, scores, rank = q[kept], ids[kept], scores[kept], rank[kept]
+        self.least[q[rank == self.k - 1]] = scores[rank == self.k - 1]
+        self.held, self.size = [(q, ids, scores)], len(q)
+        return q, ids, scores
+
+
+@functools.lru_cache(1 << 18)
+def _slot(tok: str, dim: int) -> tuple[int, int]:
+    sign = 1 if int(hashlib.md5((tok + "#").encode()).hexdigest()[0], 16) % 2 == 0 else -1
+    return int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % dim, sign
+
+
+class Tokens:
+    """Tokens of rows (a list column) by their distinct strings."""
+
+    def __init__(self, column: pa.Array) -> None:
+        flat = column.flatten().dictionary_encode()
+        self.names = flat.dictionary.to_pylist()
+        self.token = np.asarray(flat.indices, np.int64)
+        self.n = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0), np.int64)
+        self.row = np.repeat(np.arange(len(self.n)), self.n)
+
+    def hashed(self, dim: int) -> np.ndarray:
+        """Signed token counts by slot over each row's length; zero rows stay."""
+        slots = np.array([_slot(t, dim) for t in self.names], np.int64).reshape(-1, 2)
+        out = np.bincount(self.row * dim + slots[self.token, 0], weights=slots[self.token, 1], minlength=len(self.n) * dim).reshape(-1, dim)
+        return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
+
+    def counts(self, vocabulary: dict[str, int]) -> np.ndarray:
+        """Counts of the vocabulary's tokens."""
+        known = np.array([vocabulary.get(t, -1) for t in self.names], np.int64)
+        at = known[self.token] if len(self.token) else self.token
+        mine, size = at >= 0, max(1, len(vocabulary))
+        return np.bincount(self.row[mine] * size + at[mine], minlength=len(self.n) * size).reshape(-1, size).astype(float)
+
+
+class Questions:
+    """A block of queries as matrices: term counts over their own vocabulary, and hashed vectors."""
+
+    def __init__(self, ids: list[int], texts: list[list[str]], dim: int) -> None:
+        held = Tokens(pa.array(texts, pa.list_(pa.string())))
+        self.ids, self.dim = np.array(ids, np.int64), dim
+        self.vocabulary = {t: i for i, t in enumerate(held.names)}
+        self.terms, self.vectors = held.counts(self.vocabulary), held.hashed(dim)
+        self.idf, self.average = np.zeros(max(1, len(self.vocabulary))), 1.0
+
+    def lexical(self, held: Tokens, k1: float, b: float) -> np.ndarray:
+        tf = held.counts(self.vocabulary)
+        weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * held.n / self.average)[:, None]) * self.idf
+        return self.terms @ weight.T
+
+    def dense(self, held: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines, and which pairs share a slot."""
+        own = held.hashed(self.dim)
+        return self.vectors @ own.T, (self.vectors != 0).astype(np.float32) @ (own != 0).astype(np.float32).T > 0
+
+
+def _blocks(queries: DataFrame, dim: int) -> Iterator[Questions]:
+    """Queries (qid, text) in blocks of QUERY_BLOCK, by a running read that never holds more."""
+    ids: list[int] = []
+    texts: list[list[str]] = []
+    for qid, toks in queries.select("qid", tokens(F.col("text"))).toLocalIterator():
+        ids.append(qid)
+        texts.append(toks)
+        if len(ids) == QUERY_BLOCK:
+            yield Questions(ids, texts, dim)
+            ids, texts = [], []
+    if ids:
+        yield Questions(ids, texts, dim)
+
+
+def _with_statistics(chunks: DataFrame, asked: Questions) -> Questions:
+    """Document frequencies of the block's tokens, and the mean length, from all chunks by map-side sums."""
+    toks = chunks.select(tokens(F.col("text")).alias("t"))
+    n, total = toks.agg(F.count("*"), F.sum(F.size("t"))).first()
+    known = F.broadcast(chunks.sparkSession.createDataFrame([(t,) for t in asked.vocabulary], "tok string"))  # the terms of one block
+    for tok, df in toks.select(F.explode(F.array_distinct("t")).alias("tok")).join(known, "tok").groupBy("tok").count().collect():
+        asked.idf[asked.vocabulary[tok]] = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    asked.average = (total or 0) / max(n, 1) or 1.0
+    return asked
+
+
+Scores = Callable[[Questions, Tokens, np.ndarray], np.ndarray]
+
+
+def _top(chunks: DataFrame, asked: Questions, scores: Scores, k: int) -> DataFrame:
+    """(qid, id, score): each task's k best of every query; scores() gives (queries, rows), NaN for pairs that do not count."""
+    held = chunks.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(held.value.ids), k)
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                some = batch.slice(i, ROWS)
+                ids = np.asarray(some.column(0), np.int64)
+                best.add(ids, scores(held.value, Tokens(some.column(1)), ids))
+        q, ids, score = best.reduce()
+        yield pa.RecordBatch.from_arrays([pa.array(held.value.ids[q.astype(np.int64)], pa.int64()), pa.array(ids.astype(np.int64)), pa.array(score.astype(float))], ["qid", "id", "score"])
+
+    return chunks.select(F.col("id").cast("long"), tokens(F.col("text")).alias("t")).mapInArrow(run, "qid long, id long, score double")
+
+
+def _all_blocks(chunks: DataFrame, parts: list[DataFrame], k: int) -> DataFrame:
+    if not parts:
+        return chunks.sparkSession.createDataFrame([], "qid long, id long, score double, rank int")
+    return ranked(functools.reduce(DataFrame.union, parts), k)
+
+
+def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(qid, id, score, rank): the k chunks (id, text) of the highest BM25 score of each query (qid, text).
+
+    Repeated query tokens count as often as they occur; chunks without a token of
+    the query have no score.  Blocks of queries are sent to all tasks, rows are
+    scored by matrix products, and only k rows a task and query are shuffled.
+    """
+    def scores(asked: Questions, held: Tokens, ids: np.ndarray) -> np.ndarray:
+        out = asked.lexical(held, k1, b)
+        return np.where(out > 0, out, np.nan)
+
+    return _all_blocks(chunks, [_top(chunks, _with_statistics(chunks, a), scores, k) for a in _blocks(queries, 1)], k)
+
+
+def hashed_topk(chunks: DataFrame, queries: DataFrame, k: int, dim: int = 384, earlier: bool = False) -> DataFrame:
+    """(qid, id, score, rank) by the cosine of hashing embeddings; earlier: only chunks whose id is below the query's."""
+    def scores(asked: Questions, held: Tokens, ids: np.ndarray) -> np.ndarray:
+        out, meet = asked.dense(held)
+        return np.where(meet & (ids[None, :] < asked.ids[:, None]) if earlier else meet, out, np.nan)
+
+    return _all_blocks(chunks, [_top(chunks, a, scores, k) for a in _blocks(queries, dim)], k)
+
+
+def hybrid_topk(chunks: DataFrame, queries: DataFrame, k: int, dim: int = 384, weights: tuple[float, float] = (0.65, 0.35), k1: float = 1.5, b: float = 0.75, dense_base: bool = False) -> DataFrame:
+    """(qid, id, score, rank): cosine and BM25, each over its greatest absolute score of the query, weighted.
+
+    The greatest scores come from a first pass over all chunks.  dense_base: every
+    chunk is a candidate, those without a common slot or token with score 0.
+    """
+    def both(asked: Questions, held: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        dense, meet = asked.dense(held)
+        lexical = asked.lexical(held, k1, b)
+        return dense, lexical, np.ones_like(meet) if dense_base else meet | (lexical > 0)
+
+    parts = []
+    for a in _blocks(queries, dim):
+        held = chunks.sparkSession.sparkContext.broadcast(_with_statistics(chunks, a))
+
+        def greatest(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            top = np.zeros((2, len(held.value.ids)))
+            for batch in batches:
+                for i in range(0, batch.num_rows, ROWS):
+                    dense, lexical, _ = both(held.value, Tokens(batch.column(0).slice(i, ROWS)))
+                    top = np.maximum(top, [np.abs(dense).max(axis=1), np.abs(lexical).max(axis=1)])
+            yield pa.RecordBatch.from_arrays([pa.array(held.value.ids), pa.array(top[0]), pa.array(top[1])], ["qid", "d", "l"])
+
+        most = chunks.select(tokens(F.col("text")).alias("t")).mapInArrow(greatest, "qid long, d double, l double").groupBy("qid").agg(F.max("d"), F.max("l"))
+        found = {q: (d, x) for q, d, x in most.collect()}  # one row a query of the block
+        tops = np.array([found.get(int(q), (0.0, 0.0)) for q in a.ids]).T
+
+        def scores(asked: Questions, held: Tokens, ids: np.ndarray, tops=tops) -> np.ndarray:
+            dense, lexical, counts = both(asked, held)
+            scaled = [np.divide(x, t[:, None], out=np.zeros_like(x), where=t[:, None] > 0) for x, t in ((dense, tops[0]), (lexical, tops[1]))]
+            return np.where(counts, weights[0] * scaled[0] + weights[1] * scaled[1], np.nan)
+
+        parts.append(_top(chunks, a, scores, k))
+    return _all_blocks(chunks, parts, k)
+
+
+def near_earlier(rows: DataFrame, least: float, dim: int = 384, block: int = 2_048) -> DataFrame:
+    """(id) of rows (id, text) that some row with a smaller id is as near to as least, by hashing cosine.
+
+    Equal texts are grouped first; distinct ones are dealt to blocks, and each pair
+    of blocks is one matrix product in a task of its own.
     """
-    tf = token_counts(chunks, ["id"], "text").drop("first").withColumnRenamed("n", "tf")
-    length = tf.groupBy("id").agg(F.sum("tf").alias("len"))
-    stats = chunks.agg(F.count("*").alias("docs")).crossJoin(length.agg(F.sum("len").alias("total")))
-    df = tf.groupBy("tok").agg(F.count("*").alias("df"))
-    terms = token_counts(queries, ["qid"], "text").select("qid", "tok", F.col("n").alias("qtf"))
-    rows = terms.join(df, "tok").join(tf, "tok").join(length, "id").crossJoin(F.broadcast(stats))  # stats: one row
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    average = F.col("total") / F.col("docs")
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / average))
-    return rows.groupBy("qid", "id").agg(F.sum(F.col("qtf") * idf * weight).alias("score"))
+    texts = rows.groupBy("text").agg(F.min("id").alias("id")).select("id", tokens(F.col("text")).alias("t"))
+    n = rows.select("text").distinct().count()
+    blocks = max(1, -(-n // block))
+    mine = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = texts.withColumn("mine", mine.cast("int")).withColumn("other", other)
+    dealt = dealt.select(F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "id", "t")
 
+    def find(table: pa.Table) -> pa.Table:
+        held = Tokens(table.column("t").combine_chunks())
+        ids, side = np.asarray(table.column("id")).astype(np.int64), np.asarray(table.column("mine"))
+        v, flagged = held.hashed(dim), set()
+        one, two = np.flatnonzero(side == table.column("one")[0].as_py()), np.flatnonzero(side == table.column("two")[0].as_py())
+        for i in range(0, len(one), ROWS):
+            left = one[i : i + ROWS]
+            x, y = np.nonzero(np.round(v[left] @ v[two].T, 6) >= least)
+            late = np.maximum(ids[left[x]], ids[two[y]])[ids[left[x]] != ids[two[y]]]
+            flagged.update(late.tolist())
+        return pa.table({"id": pa.array(sorted(flagged), pa.int64())})
 
-def hashed_cosine(chunks: DataFrame, queries: DataFrame, dim: int = 384) -> DataFrame:
-    """(qid, id, score): cosine of hashing embeddings, by a join on shared slots."""
-    own = hashed_unit_rows(chunks, ["id"], "text", dim)
-    asked = hashed_unit_rows(queries, ["qid"], "text", dim).withColumnRenamed("value", "asked")
-    return own.join(asked, "slot").groupBy("qid", "id").agg(F.sum(F.col("value") * F.col("asked")).alias("score"))
+    near = dealt.groupBy("one", "two").applyInArrow(find, "id long").distinct()
+    first = rows.groupBy("text").agg(F.min("id").alias("first"))
+    marked = rows.join(first, "text").join(near.select(F.col("id").alias("first"), F.lit(True).alias("near")), "first", "left")
+    return marked.where("near or id > first").select("id")
 
 
 def ranked(scores: DataFrame, k: int, by: str = "qid", item: str = "id", score: str = "score", digits: int = 6, ascending: bool = False) -> DataFrame:
@@ -48,16 +253,21 @@ def ranked(scores: DataFrame, k: int, by: str = "qid", item: str = "id", score:
     return rounded.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(first, item))).where(F.col("rank") <= k)
 
 
-def hybrid(dense: DataFrame, lexical: DataFrame, dense_weight: float = 0.65, lexical_weight: float = 0.35) -> DataFrame:
-    """Each side over its greatest absolute score of the query, then weighted; a missing side is 0."""
-    both = dense.withColumnRenamed("score", "d").join(lexical.withColumnRenamed("score", "l"), ["qid", "id"], "full_outer").fillna(0.0, ["d", "l"])
-    per = Window.partitionBy("qid")
+def _vector_blocks(queries: DataFrame, id_col: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    ids: list[int] = []
+    found: list[list[float]] = []
+    for i, v in queries.select(id_col, vector).toLocalIterator():
+        ids.append(i)
+        found.append(v)
+        if len(ids) == QUERY_BLOCK:
+            yield np.array(ids, np.int64), np.array(found, np.float64)
+            ids, found = [], []
+    if ids:
+        yield np.array(ids, np.int64), np.array(found, np.float64)
 
-    def scaled(c: str) -> Column:
-        top = F.max(F.abs(c)).over(per)
-        return F.when(top > 0, F.col(c) / top).otherwise(0.0)
 
-    return both.withColumn("score", dense_weight * scaled("d") + lexical_weight * scaled("l")).select("qid", "id", "d", "l", "score")
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -65,32 +275,47 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip
 
     Each task keeps its own k best of every query, so the shuffle has k rows a
     task and query.  metric: 'ip' or 'l2' (score is minus the squared distance).
-    Queries are collected in blocks of QUERY_BLOCK vectors.
+    Queries go to tasks in blocks of QUERY_BLOCK vectors.
     """
-    ids = [r[0] for r in queries.select(id_col).orderBy(id_col).toLocalIterator()]
-    blocks = [ids[i : i + QUERY_BLOCK] for i in range(0, len(ids), QUERY_BLOCK)]
     parts = []
-    for block in blocks:
-        rows = queries.where(F.col(id_col).between(block[0], block[-1])).select(id_col, vector).collect()
-        held = vectors.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)))
+    for block in _vector_blocks(queries, id_col, vector):
+        held = vectors.sparkSession.sparkContext.broadcast(block)
 
-        def best(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             qid, q = held.value
-            for frame in frames:
-                v = np.stack(frame[vector].to_numpy()).astype(np.float64)
-                score = q @ v.T
-                if metric == "l2":
-                    score = 2 * score - (q * q).sum(1)[:, None] - (v * v).sum(1)[None, :]
-                score = np.round(score, 6) + 0.0
-                id_ = frame[id_col].to_numpy()
-                order = np.lexsort((np.broadcast_to(id_, score.shape), -score), axis=1)[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(qid, order.shape[1]), "id": id_[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
-
-        parts.append(vectors.select(id_col, vector).mapInPandas(best, "qid long, id long, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return ranked(out, k)
+            best = Best(len(qid), k)
+            for batch in batches:
+                for i in range(0, batch.num_rows, ROWS):
+                    some = batch.slice(i, ROWS)
+                    v = _vectors(some.column(1))
+                    score = q @ v.T
+                    best.add(np.asarray(some.column(0), np.int64), 2 * score - (q * q).sum(1)[:, None] - (v * v).sum(1)[None, :] if metric == "l2" else score)
+            at, ids, score = best.reduce()
+            yield pa.RecordBatch.from_arrays([pa.array(qid[at.astype(np.int64)], pa.int64()), pa.array(ids.astype(np.int64)), pa.array(score.astype(float))], ["qid", "id", "score"])
+
+        parts.append(vectors.select(F.col(id_col).cast("long"), vector).mapInArrow(run, "qid long, id long, score double"))
+    return _all_blocks(vectors, parts, k)
+
+
+def neighbours(vectors: DataFrame, queries: DataFrame, least: float, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(qid, near): how many other vectors have an inner product of `least` or more with each query."""
+    parts = []
+    for block in _vector_blocks(queries, id_col, vector):
+        held = vectors.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            qid, q = held.value
+            near = np.zeros(len(qid), np.int64)
+            for batch in batches:
+                for i in range(0, batch.num_rows, ROWS):
+                    some = batch.slice(i, ROWS)
+                    near += ((np.round(q @ _vectors(some.column(1)).T, 6) >= least) & (np.asarray(some.column(0))[None, :] != qid[:, None])).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(near)], ["qid", "near"])
+
+        parts.append(vectors.select(F.col(id_col).cast("long"), vector).mapInArrow(run, "qid long, near long"))
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "qid long, near long")
+    return functools.reduce(DataFrame.union, parts).groupBy("qid").agg(F.sum("near").alias("near"))
 
 
 def cache_lookup(entries: DataFrame, asked: DataFrame, near: DataFrame, threshold: float = 0.92) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import hashed_unit_rows
 from ..operators import memory as M
-from ..operators.retrieval import hashed_cosine, ranked
+from ..operators.retrieval import near_earlier, ranked
 from ..registry import query, table
 from .retrieval import cosine_sql, hashed_sql, top_sql
 
@@ -75,17 +75,15 @@ def context_load(spark, sf_dir):
     return out.withColumn("context", F.concat(F.lit("Recent: "), "stm", F.lit(" | Related: "), "ltm"))
 
 
-NEW = "SELECT conv_id * 1000 + turn AS qid, text FROM conversations WHERE role = 'assistant' AND conv_id % 50 = 0"
 OLD = "SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'assistant'"
+DISTINCT = f"SELECT min(id) AS id, text FROM ({OLD}) GROUP BY text"
 
 
-@query(f"SELECT qid AS id FROM ({NEW}) WHERE qid NOT IN (SELECT qid FROM ({cosine_sql(OLD, NEW)}) WHERE id < qid AND round(score, 6) >= 0.99)")
+@query(f"SELECT o.id FROM ({OLD}) o JOIN (SELECT min(id) AS first, text FROM ({OLD}) GROUP BY text) f USING (text) WHERE o.id = f.first AND o.id NOT IN (SELECT b.id FROM ({cosine_sql(DISTINCT, DISTINCT.replace('min(id) AS id', 'min(id) AS qid'))}) p JOIN ({DISTINCT}) b ON b.id = greatest(p.id, p.qid) WHERE p.id <> p.qid AND round(p.score, 6) >= 0.99)")
 def near_dup_anti(spark, sf_dir):
-    """Candidates that no earlier entry resembles: an anti join on similarity."""
-    rows = turns(spark, sf_dir).where("role = 'assistant'").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    new = rows.where("conv_id % 50 = 0").select(F.col("id").alias("qid"), "text")
-    like = hashed_cosine(rows.select("id", "text"), new).where("id < qid").where(F.round("score", 6) >= 0.99)
-    return new.join(like, "qid", "left_anti").select(F.col("qid").alias("id"))
+    """Assistant turns that no earlier one resembles: an anti join on similarity over all turns."""
+    rows = turns(spark, sf_dir).where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return rows.select("id").join(near_earlier(rows, 0.99), "id", "left_anti")
 
 
 @query("""SELECT c.conv_id, c.turn, 'System: answer from the context.' || chr(10) || 'Question: ' || q.text || chr(10) || 'Answer:' AS prompt,

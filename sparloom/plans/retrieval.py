@@ -11,12 +11,12 @@ from ..operators import retrieval as R
 from ..registry import query, table
 from .texts import CLEAN, cleaned
 
-CHUNKS = f"""SELECT doc_id * 100000 + i AS id, substr(cleaned, i * 800 + 1, 1000) AS text FROM (SELECT doc_id, {CLEAN} AS cleaned FROM documents) d,
+CHUNKS = f"""SELECT doc_id * 10000000 + i AS id, substr(cleaned, i * 800 + 1, 1000) AS text FROM (SELECT doc_id, {CLEAN} AS cleaned FROM documents) d,
   LATERAL (SELECT unnest(range(CASE WHEN length(cleaned) <= 1000 THEN 1 ELSE 1 + ceil((length(cleaned) - 1000) / 800.0)::BIGINT END)) AS i) WHERE cleaned <> ''"""
 
 
 def chunks(spark, sf_dir):
-    return T.chunk_chars(cleaned(spark, sf_dir), "cleaned").select((F.col("doc_id") * 100000 + F.col("chunk_idx")).alias("id"), F.col("chunk").alias("text"))
+    return T.chunk_chars(cleaned(spark, sf_dir), "cleaned").select((F.col("doc_id") * 10000000 + F.col("chunk_idx")).alias("id"), F.col("chunk").alias("text"))
 
 
 def items(spark, sf_dir):
@@ -55,12 +55,12 @@ DENSE = cosine_sql(CHUNKS, ITEMS)
 
 @query(top_sql(BM25, 5))
 def bm25_topk(spark, sf_dir):
-    return R.ranked(R.bm25(chunks(spark, sf_dir), items(spark, sf_dir)), 5).select("qid", "id", "rank", "score")
+    return R.bm25_topk(chunks(spark, sf_dir), items(spark, sf_dir), 5).select("qid", "id", "rank", "score")
 
 
 @query(top_sql(DENSE, 5))
 def hashed_topk(spark, sf_dir):
-    return R.ranked(R.hashed_cosine(chunks(spark, sf_dir), items(spark, sf_dir)), 5).select("qid", "id", "rank", "score")
+    return R.hashed_topk(chunks(spark, sf_dir), items(spark, sf_dir), 5).select("qid", "id", "rank", "score")
 
 
 HYBRID = f"""SELECT qid, id, 0.65 * CASE WHEN md > 0 THEN d / md ELSE 0 END + 0.35 * CASE WHEN ml > 0 THEN l / ml ELSE 0 END AS score FROM (
@@ -70,8 +70,7 @@ SELECT qid, id, coalesce(a.score, 0) AS d, coalesce(b.score, 0) AS l FROM ({DENS
 
 @query(top_sql(HYBRID, 5))
 def hybrid_topk(spark, sf_dir):
-    c, q = chunks(spark, sf_dir), items(spark, sf_dir)
-    return R.ranked(R.hybrid(R.hashed_cosine(c, q), R.bm25(c, q)), 5).select("qid", "id", "rank", "score")
+    return R.hybrid_topk(chunks(spark, sf_dir), items(spark, sf_dir), 5).select("qid", "id", "rank", "score")
 
 
 @query(hashed_sql("SELECT doc_id AS id, text FROM documents", "id").replace("value / sqrt(sum(value * value) OVER (PARTITION BY id)) AS value", "value::BIGINT AS value"))
@@ -137,8 +136,7 @@ def near_neighbours(spark, sf_dir):
     """How many vectors lie within a cosine bound of each query vector."""
     rows = table(spark, sf_dir, "embeddings")
     queries = rows.where("vec_id % 50 = 0")
-    pairs = rows.join(F.broadcast(queries.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))), F.col("vec_id") != F.col("qid"))
-    near = pairs.where(F.round(V.dot(F.col("q"), F.col("embedding")), 6) >= 0.35).groupBy("qid").agg(F.count("*").alias("near"))
+    near = R.neighbours(rows, queries, 0.35)
     return queries.join(near, queries["vec_id"] == near["qid"], "left").select("vec_id", F.coalesce("near", F.lit(0)).alias("near"))
 
 
@@ -172,7 +170,7 @@ def retrieval_eval(spark, sf_dir):
     """Each 50th document's first words must find it again."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     asked = _focus(spark, sf_dir)
-    hits = R.ranked(R.bm25(docs, asked), 5)
+    hits = R.bm25_topk(docs, asked, 5)
     found = R.rank_metrics(hits, asked.select("qid", F.col("qid").alias("expected")), 5)
     return found.agg(F.lit("lexical").alias("engine"), F.count("*").alias("cases"), F.round(F.avg("top1"), 6).alias("top1"), F.round(F.avg("hit"), 6).alias("hit_at_5"), F.round(F.avg("rr"), 6).alias("mrr")).select("engine", "cases", "top1", "hit_at_5", "mrr")
 
@@ -190,8 +188,7 @@ def semantic_cache_hits(spark, sf_dir):
     """User turns of each 50th conversation against all earlier user turns."""
     turns = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     asked = turns.where("conv_id % 50 = 0").select(F.col("id").alias("qid"), "text")
-    near = R.hashed_cosine(turns.select("id", "text"), asked).where("id < qid")
     equal = asked.join(turns.select("id", "text"), "text").where("id < qid").groupBy("qid").agg(F.min("id").alias("equal_seq"))
-    best = R.ranked(near, 1).select("qid", F.col("id").alias("near_seq"), "score")
+    best = R.hashed_topk(turns.select("id", "text"), asked, 1, earlier=True).select("qid", F.col("id").alias("near_seq"), "score")
     both = asked.select("qid").join(equal, "qid", "left").join(best, "qid", "left")
     return R.cache_verdict(both)

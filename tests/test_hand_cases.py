@@ -48,16 +48,29 @@ def test_normalized(spark):
 def test_bm25(spark):
     chunks = spark.createDataFrame([(0, "a a b"), (1, "b c")], "id long, text string")
     asked = spark.createDataFrame([(7, "a")], "qid long, text string")
-    got = retrieval.bm25(chunks, asked).collect()
+    got = retrieval.bm25_topk(chunks, asked, 5).collect()
+    assert retrieval.bm25_topk(chunks, asked.limit(0), 5).count() == 0
     assert [(r["qid"], r["id"]) for r in got] == [(7, 0)]
-    assert got[0]["score"] == pytest.approx(math.log(2) * (2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / 2.5))))
-
-
-def test_hybrid(spark):
-    dense = spark.createDataFrame([(1, 0, 0.5), (1, 1, -1.0)], "qid long, id long, score double")
-    lexical = spark.createDataFrame([(1, 1, 2.0)], "qid long, id long, score double")
-    got = {r["id"]: r["score"] for r in retrieval.hybrid(dense, lexical).collect()}
-    assert got == pytest.approx({0: 0.325, 1: -0.30})
+    assert got[0]["score"] == pytest.approx(math.log(2) * (2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / 2.5))), abs=1e-6)
+
+
+def test_hybrid(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(["red apple pie", "green apple", "blue sky", "", "apple apple apple"])], "id long, text string")
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(["apple", "blue pie", "none", ""])], "qid long, text string")
+    dense, lexical = ({(r["qid"], r["id"]): r["score"] for r in f(chunks, asked, 9).collect()} for f in (retrieval.hashed_topk, retrieval.bm25_topk))
+    got = {(r["qid"], r["id"]): r["score"] for r in retrieval.hybrid_topk(chunks, asked, 9).collect()}
+    assert set(got) == set(dense) | set(lexical)
+    for (q, i), score in got.items():
+        most = [max([abs(v) for (p, _), v in side.items() if p == q], default=0) or 1 for side in (dense, lexical)]
+        assert score == pytest.approx(0.65 * dense.get((q, i), 0) / most[0] + 0.35 * lexical.get((q, i), 0) / most[1], abs=1e-5)
+
+
+def test_near_earlier(spark):
+    rows = [(1, "a b c"), (2, "c b a"), (3, "d e"), (4, "a b c"), (5, "f g h")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    for block in (1, 2, 100):
+        assert sorted(r["id"] for r in retrieval.near_earlier(df, 0.99, block=block).collect()) == [2, 4]
 
 
 def test_cache_threshold(spark):
