@@ -14,7 +14,9 @@ Plain .warc files and .gz files of other writers are read too, members one by on
 Files are reached through pyarrow file systems by the path's scheme, not through
 the machine's own folders.
 
-Defined cases: a null payload is empty; records without a header of a column
+Defined cases: a null payload is empty; a null key has the record id <urn:page:>
+and is never another's original; pages of equal keys and payloads are responses
+each; records without a header of a column
 have null there; unknown record types pass through; an empty folder has no rows.
 """
 
@@ -59,11 +61,13 @@ EPOCH = "1970-01-01T00:00:00Z"
 
 
 def member(record: bytes, level: int = 1) -> bytes:
-    """One gzip member whose extra field tells its own length and the record's."""
+    """One gzip member whose extra field tells its own length and the record's; without it from 4 GB on."""
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = deflate.compress(record) + deflate.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, size & 0xFFFFFFFF, len(record) & 0xFFFFFFFF)
+    if max(size, len(record)) >= 1 << 32:
+        return b"\x1f\x8b\x08\0" + b"\0" * 4 + b"\0\xff" + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+    head = b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 12) + b"sl" + struct.pack("<HII", 8, size, len(record))
     return head + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
@@ -108,84 +112,108 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
 
 
 class Source:
-    """Bytes of one file with look-ahead, for reading members or plain records."""
+    """Bytes of one file with look-ahead; what was consumed is dropped a megabyte at a time."""
 
-    def __init__(self, file) -> None:
-        self.file, self.held, self.over = file, b"", False
+    PIECE = 1 << 20
 
-    def need(self, n: int) -> bytes:
-        while len(self.held) < n and not self.over:
-            more = self.file.read(max(1 << 20, n - len(self.held)))
+    def __init__(self, file) -> None:
+        self.file, self.held, self.at, self.over = file, bytearray(), 0, False
+
+    def need(self, n: int) -> memoryview:
+        """The next n bytes, or all that are left; they stay."""
+        while len(self.held) - self.at < n and not self.over:
+            if self.at >= self.PIECE:
+                del self.held[: self.at]
+                self.at = 0
+            more = self.file.read(max(self.PIECE, n - len(self.held) + self.at))
             self.over = not more
             self.held += more
-        return self.held[:n]
+        return memoryview(bytes(self.held[self.at : self.at + n]))
+
+    def take(self, n: int) -> bytes:
+        """The next n bytes or fewer, consumed."""
+        got = self.need(n).tobytes()
+        self.at += len(got)
+        return got
+
+    def back(self, n: int) -> None:
+        """Gives the last n consumed bytes back."""
+        self.at -= n
 
     def drop(self, n: int) -> None:
-        if n <= len(self.held):
-            self.held = self.held[n:]
+        left = len(self.held) - self.at
+        if n <= left:
+            self.at += n
         else:
-            self.file.seek(self.file.tell() + n - len(self.held))
-            self.held = b""
+            self.file.seek(self.file.tell() + n - left)
+            self.held, self.at = bytearray(), 0
 
 
-def _head_end(raw: bytes) -> int:
+def _head_end(raw) -> int:
     i = raw.find(b"\r\n\r\n")
     return -1 if i < 0 else i + 4
 
 
 def _plain(source: Source, wanted) -> Iterator[tuple[dict, bytes | None]]:
     while True:
-        n = 1 << 14
-        while (end := _head_end(source.need(n))) < 0:
-            if len(source.held) < n:
-                if source.held.strip():
+        n = 1 << 12
+        while (end := _head_end(head := source.need(n).tobytes())) < 0:
+            if len(head) < n:
+                if head.strip():
                     raise ValueError("a WARC record is cut off")
                 return
             n *= 2
-        headers = parse_head(source.held[: end - 4])
+        headers = parse_head(head[: end - 4])
         size = int(headers.get("Content-Length", 0))
         take, payload = wanted(headers)
-        block = source.need(end + size)[end : end + size] if take and payload else None
-        source.drop(end + size)
-        if take:
-            yield headers, payload_of(headers, block) if block is not None else None
-        lead = source.need(4)
+        source.drop(end)
+        if take and payload:
+            block = source.take(size)
+            yield headers, payload_of(headers, block)
+        else:
+            source.drop(size)
+            if take:
+                yield headers, None
+        lead = source.need(4).tobytes()
         source.drop(4 if lead == b"\r\n\r\n" else len(lead) - len(lead.lstrip(b"\r\n")))
 
 
 def _members(source: Source, wanted) -> Iterator[tuple[dict, bytes | None]]:
-    while len(lead := source.need(24)) >= 18:
+    """Members are inflated piece by piece; one whose payload is not wanted only until its headers end."""
+    while len(lead := source.need(24).tobytes()) >= 18:
         known = lead[3] == 4 and lead[12:14] == b"sl"
         size = struct.unpack("<I", lead[16:20])[0] if known else 0
-        inflate = zlib.decompressobj(31)
-        out, used, take, payload, headers, end = b"", 0, None, False, None, -1
-        while not inflate.eof:
-            piece = source.need(used + (1 << 16))[used : used + (1 << 16)]
+        inflate, used, take, payload, headers = zlib.decompressobj(31), 0, None, False, {}
+        head, body = bytearray(), []
+        skip = False
+        while not inflate.eof and not skip:
+            first = take is None
+            piece = source.take(1 << 13 if first else 1 << 16)
             if not piece:
                 raise ValueError("a gzip member is cut off")
-            first = take is None
-            got = inflate.decompress(piece, 1 << 14 if first else 0)
-            while True:
-                out += got
-                if first and take is None and (end := _head_end(out)) >= 0:
-                    headers = parse_head(out[: end - 4])
+            used += len(piece)
+            got = inflate.decompress(piece)
+            if first:
+                head += got
+                if (end := _head_end(head)) >= 0:
+                    headers = parse_head(bytes(head[: end - 4]))
                     take, payload = wanted(headers)
-                if inflate.eof or not inflate.unconsumed_tail or known and take is not None and not (take and payload):
-                    break
-                got = inflate.decompress(inflate.unconsumed_tail, 1 << 14 if take is None else 0)
-            used += len(piece) - len(inflate.unused_data)
-            if known and take is not None and not (take and payload):
-                used = size
-                break
-        source.drop(size if known else used)
+                    body.append(bytes(head[end:]))
+            elif take and payload:
+                body.append(got)
+            skip = known and take is not None and not (take and payload)
+        if skip and not inflate.eof:
+            source.drop(size - used) if size >= used else source.back(used - size)
+        else:
+            source.back(len(inflate.unused_data))
         if take:
-            yield headers, payload_of(headers, out[end : end + int(headers.get("Content-Length", 0))]) if payload else None
+            yield headers, payload_of(headers, b"".join(body)[: int(headers.get("Content-Length", 0))]) if payload else None
 
 
 def records(file, wanted) -> Iterator[tuple[dict, bytes | None]]:
     """(headers, payload or None) of the records that wanted(headers) -> (take, payload) takes."""
     source = Source(file)
-    return (_members if source.need(2) == b"\x1f\x8b" else _plain)(source, wanted)
+    return (_members if source.need(2).tobytes() == b"\x1f\x8b" else _plain)(source, wanted)
 
 
 # -------------------------------------------------------------- the data source
@@ -194,6 +222,7 @@ def records(file, wanted) -> Iterator[tuple[dict, bytes | None]]:
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     if "://" not in path and not path.startswith("file:"):
         return fs.LocalFileSystem(), path
+    path = path.replace("s3a://", "s3://", 1).replace("s3n://", "s3://", 1)  # the same store under the scheme that pyarrow knows
     return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
 
 
