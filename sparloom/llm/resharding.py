@@ -18,12 +18,15 @@ is shard 0; rows with equal ids are separate rows; an empty table stays empty.
 
 from __future__ import annotations
 
+import itertools
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, ranked, read_table
+from .common import discard, materialize, ranked, read_table, shared_dir
 
 MAX_SHARDS = 10_000
 
@@ -133,37 +136,78 @@ def sized(docs: DataFrame, old_shard, key: str = "doc_id", text: str = "text") -
     return docs.select(F.col(key).alias("key"), (F.octet_length(value) + 16).cast("long").alias("size"), F.crc32(value).alias("text_crc32"), F.coalesce(old_shard, F.lit(0)).cast("int").alias("old_shard"))
 
 
+#: Bytes (about) of a file that a rewritten shard is cut into.
+FILE_BYTES = 256 << 20
+
+
 def rewrite(spark: SparkSession, old_path: str, new_path: str, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Reshards a dataset kept as old_path/shard=K; returns shard, path: where each shard's rows now are.
 
     Shards that neither gain nor lose rows keep their old folder; the others are
-    written whole to new_path/shard=K.  Old files stay, so a failed run can be
-    repeated.
+    written whole to new_path/shard=K, a large shard by several tasks.  Old files
+    stay, so a failed run can be repeated; new_path must be another folder.
+
+    Rows are told by (key, crc of the text, old shard).  Rows that agree on all of
+    these go together, but for those whose places lie on both sides of a cut
+    between two blocks: of these, as many as each shard gets.
     """
+    if new_path.rstrip("/") == old_path.rstrip("/"):
+        raise ValueError("new_path must not be old_path: old files stay until the new ones are there")
     docs = spark.read.parquet(old_path)
     rows = materialize(sized(docs, F.col("shard"), key, text), "rewrite")
     moved = materialize(reshard(rows, shards, order=("key", "text_crc32")), "rewrite-plan")
     changes = moved.where("old_shard <> shard")
-    changed = [r[0] for r in changes.select("shard").union(changes.select(F.col("old_shard").alias("shard"))).distinct().collect()]
-    plan = moved.where(F.col("shard").isin(changed)).groupBy("key", "text_crc32", "old_shard").agg(F.sort_array(F.collect_list("shard")).alias("_to"))
+    changed = [r[0] for r in changes.select("shard").union(changes.select(F.col("old_shard").alias("shard"))).distinct().collect()]  # shards, MAX_SHARDS at most
+    sizes = {r[0]: int(r[1]) for r in moved.where(F.col("shard").isin(changed)).groupBy("shard").agg(F.sum("size")).collect()}
+    same = ["key", "text_crc32", "old_shard"]
+    plan = materialize(moved.where(F.col("shard").isin(changed)).groupBy(*same).agg(F.min("shard").alias("_lo"), F.max("shard").alias("_hi")), "rewrite-rows")
     crc = F.crc32(F.coalesce(F.col(text), F.lit("")))
-    mine = docs.where(F.col("shard").isin(changed)).withColumn("old_shard", F.col("shard").cast("int")).withColumn("_crc", crc)
-    nth = F.row_number().over(Window.partitionBy(F.col(key), "_crc", "old_shard").orderBy(F.lit(0)))
-    joined = mine.withColumn("_nth", nth).join(plan, mine[key].eqNullSafe(plan["key"]) & (mine["_crc"] == plan["text_crc32"]) & (mine["old_shard"] == plan["old_shard"]))
+    mine = docs.where(F.col("shard").isin(changed)).withColumn("old_shard", F.coalesce(F.col("shard"), F.lit(0)).cast("int")).withColumn("_crc", crc)
+    on = mine[key].eqNullSafe(plan["key"]) & (mine["_crc"] == plan["text_crc32"]) & (mine["old_shard"] == plan["old_shard"])
     names = [c for c in docs.columns if c != "shard"]
-    out = joined.select(*[mine[c] for c in names], F.element_at("_to", F.col("_nth")).alias("shard"))
-    out.repartition("shard").write.partitionBy("shard").mode("overwrite").parquet(new_path)
+    out = mine.join(plan.where("_lo = _hi"), on).select(*[mine[c] for c in names], F.col("_lo").alias("shard"))
+    cut_apart = plan.where("_lo < _hi")
+    if not cut_apart.isEmpty():  # groups of alike rows that a cut divides: fewer than cuts
+        each = moved.join(F.broadcast(cut_apart.select(*same)), [moved[c].eqNullSafe(cut_apart[c]) for c in same], "left_semi").groupBy(*same, "shard").agg(F.count("*").alias("_n"))
+        lists = each.groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("shard", "_n"))).alias("_to"))  # a place a shard
+        nth = F.row_number().over(Window.partitionBy(F.col(key), "_crc", "old_shard").orderBy(F.lit(0)))
+        split = mine.join(F.broadcast(lists), mine[key].eqNullSafe(lists["key"]) & (mine["_crc"] == lists["text_crc32"]) & (mine["old_shard"] == lists["old_shard"])).select(*[mine[c] for c in names], mine["_crc"], mine["old_shard"], "_to").withColumn("_nth", nth)
+        pick = F.aggregate("_to", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("to")), lambda s, t: F.struct((s["seen"] + t["_n"]).alias("seen"), F.coalesce(s["to"], F.when(F.col("_nth") <= s["seen"] + t["_n"], t["shard"])).alias("to")))
+        out = out.union(split.select(*names, pick["to"].alias("shard")))
+    pieces = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for s, n in (sizes or {0: 0}).items() for x in (s, max(1, -(-n // FILE_BYTES)))]), F.col("shard")), F.lit(1))
+    salted = out.withColumn("_piece", F.pmod(F.xxhash64(*[key, F.crc32(F.coalesce(F.col(text), F.lit("")))]), pieces))
+    salted.repartition("shard", "_piece").drop("_piece").write.partitionBy("shard").mode("overwrite").parquet(new_path)
     kept = moved.select("shard").distinct()
     where = F.when(F.col("shard").isin(changed), F.lit(new_path)).otherwise(F.lit(old_path))
-    return kept.select("shard", F.concat(where, F.lit("/shard="), F.col("shard")).alias("path"))
+    told = materialize(kept.select("shard", F.concat(where, F.lit("/shard="), F.col("shard")).alias("path")), "rewrite-paths")
+    discard(rows, moved, plan)
+    return told
+
+
+def shard_rows(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """The rows of the shards that rewrite() names, with their shard."""
+    out = None
+    known = sorted(p for _, p in paths.collect())  # a path a shard
+    for root, mine in itertools.groupby(known, lambda p: p.rsplit("/", 1)[0]):
+        part = spark.read.option("basePath", root).parquet(*mine)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 OLD_SHARDS, NEW_SHARDS = 32, 40
 
 
 def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From 32 shards by source (very uneven) to 40 of near equal bytes."""
-    docs = read_table(spark, sf_dir, "documents")
-    rows = materialize(sized(docs, F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS))), "op3")
-    placed = slots(materialize(reshard(rows, NEW_SHARDS, order=("key", "text_crc32")), "op3-plan"), ["key", "text_crc32"])
-    return placed.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """From a dataset in 32 shards by source (very uneven) to one in 40 of near equal bytes, by rewriting its files.
+
+    The digest is taken from the rewritten files.
+    """
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS)).cast("int").alias("shard"))
+    if docs.isEmpty():
+        return docs.select("doc_id", F.lit(16).cast("long").alias("size"), F.lit(0).cast("long").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    root = f"{shared_dir(spark)}/op3-{uuid.uuid4().hex}"
+    docs.write.partitionBy("shard").parquet(f"{root}/old")
+    new = shard_rows(spark, rewrite(spark, f"{root}/old", f"{root}/new", NEW_SHARDS))
+    rows = materialize(sized(new, F.col("shard")).withColumnRenamed("old_shard", "shard"), "op3")
+    placed = slots(rows, ["key", "text_crc32"])
+    return placed.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

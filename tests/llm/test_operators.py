@@ -230,6 +230,24 @@ def test_resharding_edges(spark):
     assert resharding.reshard(resharding.sized(empty(spark), F.lit(0)), 4).count() == 0
 
 
+def test_resharding_query_against_a_plain_program(spark, tmp_path):
+    import zlib
+
+    rows = [(i, None if i % 7 == 0 else ("é" * (i % 40) + "x"), "hot" if i % 3 else f"s{i % 11}") for i in range(900)] + [(5, "same", "hot")] * 30 + [(None, "same", None)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = resharding.op3_resharding(spark, folder(df, tmp_path)).collect()
+    told = collections.Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == told
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["shard"]].append((r["slot"], r["size"]))
+    assert sorted(by) == list(range(40)) and all(sorted(s for s, _ in v) == list(range(len(v))) for v in by.values())
+    sizes = [sum(n for _, n in v) for v in by.values()]
+    assert max(sizes) - min(sizes) <= 2 * max(n for v in by.values() for _, n in v)
+    with pytest.raises(ValueError):
+        resharding.rewrite(spark, "/x/y", "/x/y/", 3)
+
+
 def test_rewrite_leaves_even_shards_alone(spark, tmp_path):
     rows = [(i, f"{i:0100d}", 0 if i < 300 else 1 if i < 500 else 2) for i in range(700)]
     spark.createDataFrame(rows, "doc_id long, text string, shard int").write.partitionBy("shard").parquet(f"{tmp_path}/old")
