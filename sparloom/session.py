@@ -27,7 +27,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 #: Rows and bytes of an Arrow batch, so that neither side holds many long texts at once.
-ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "1m"}
 
 
 def ship(spark: SparkSession) -> None:
