@@ -52,15 +52,30 @@ _EMPTY = np.uint64(0x5851F42D4C957F2D)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch of texts: keys, words of each, vocabulary (ascending hashes) and packed token numbers."""
+    """Of each BATCH_BYTES of texts: keys, words of each, vocabulary (ascending hashes) and packed token numbers."""
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def told() -> pa.RecordBatch:
+        keys, n, hashes = zip(*held, strict=True)
+        vocabulary, token = np.unique(np.concatenate(hashes), return_inverse=True)
+        n, keys = np.concatenate(n), pa.concat_arrays(keys)
+        cell = lambda x, kind: pa.array([x], kind)
+        lists = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), keys)
+        return pa.RecordBatch.from_arrays([cell(uuid.uuid4().int >> 65, pa.int64()), lists, cell(n, pa.list_(pa.int32())), cell(vocabulary.tobytes(), pa.binary()), cell(_pressed(token.astype(np.int32)), pa.binary())], ["batch", "keys", "n", "vocabulary", "tokens"])
+
     for batch in batches:
         for step in steps(batch, "text", BATCH_BYTES):
-            begin, end, first = words(*(held := utf8(step.column("text"))))
-            vocabulary, token = np.unique(word_hashes(held[1], begin, end), return_inverse=True)
-            n = np.diff(first).astype(np.int32)
-            cell = lambda x, kind: pa.array([x], kind)
-            keys = pa.ListArray.from_arrays(pa.array([0, len(n)], pa.int32()), step.column("key"))
-            yield pa.RecordBatch.from_arrays([cell(uuid.uuid4().int >> 65, pa.int64()), keys, cell(n, pa.list_(pa.int32())), cell(vocabulary.tobytes(), pa.binary()), cell(zlib.compress(token.astype(np.int32).tobytes(), 1), pa.binary())], ["batch", "keys", "n", "vocabulary", "tokens"])
+            at, data = utf8(step.column("text"))
+            begin, end, first = words(at, data)
+            held.append((step.column("key"), np.diff(first).astype(np.int32), word_hashes(data, begin, end)))
+            size += len(data)
+            if size >= BATCH_BYTES:
+                yield told()
+                held.clear()
+                size = 0
+    if held:
+        yield told()
 
 
 class Batch:
@@ -69,7 +84,7 @@ class Batch:
     def __init__(self, n, vocabulary: bytes, tokens: bytes, good) -> None:
         self.n = np.asarray(n, np.int64)
         names = np.frombuffer(vocabulary, np.uint64)
-        token = np.frombuffer(zlib.decompress(tokens), np.int32)
+        token = _loosened(tokens, np.int32)
         self.row = np.repeat(np.arange(len(self.n)), self.n)
         marked = np.zeros(len(self.n), bool)
         marked[np.asarray(good if good is not None else [], np.int64)] = True
@@ -128,13 +143,23 @@ def _got(body: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _pressed(numbers: np.ndarray) -> bytes:
+    """Whole numbers by planes of their bytes, of which the upper ones are nearly empty, compressed."""
+    return zlib.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes(), 1)
+
+
+def _loosened(body: bytes, kind: type) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(body), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _packed(*counts: np.ndarray) -> bytes:
-    return zlib.compress(np.concatenate(counts).astype(np.uint64).tobytes(), 1)
+    return _pressed(np.concatenate(counts).astype(np.int64))
 
 
 def _unpacked(body: bytes) -> np.ndarray:
     """Two rows: counts in all and in good documents."""
-    return np.frombuffer(zlib.decompress(body), np.uint64).astype(np.int64).reshape(2, -1)
+    return _loosened(body, np.int64).reshape(2, -1)
 
 
 def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[dict, Batch]]:
