@@ -30,6 +30,7 @@ an empty table gives an empty result; columns named as results are replaced.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -140,16 +141,17 @@ def balance(cells: DataFrame, targets: dict[str, dict[str, float]], cap: float =
 def _rounded(cap: float):
     """Of one source's cells: copies of each document (base) and how many get one more."""
 
-    def run(cells):
-        cells = cells.sort_values(["size", *sorted(c for c in cells if c[0] == "m")], ascending=False).reset_index(drop=True)
+    def run(table: pa.Table) -> pa.Table:
+        size, n, rate = (np.asarray(table.column(c)) for c in ("size", "n", "rate"))
+        order = np.lexsort((-rate, -size))
         carry, base, more = 0.0, [], []
-        for size, n, rate in zip(cells["size"], cells["n"], cells["rate"], strict=True):
-            limit = int(np.ceil(cap)) * n if size else 0
-            copies = min(limit, max(0, round(rate * n + carry / size))) if size else 0
-            carry += (rate * n - copies) * size
-            base.append(copies // n)
-            more.append(copies % n)
-        return cells.assign(base=np.array(base, np.int64), more=np.array(more, np.int64))
+        for s, count, r in zip(size[order].tolist(), n[order].tolist(), rate[order].tolist(), strict=True):
+            limit = int(np.ceil(cap)) * count if s else 0
+            copies = min(limit, max(0, round(r * count + carry / s))) if s else 0
+            carry += (r * count - copies) * s
+            base.append(copies // count)
+            more.append(copies % count)
+        return table.take(pa.array(order)).append_column("base", pa.array(base, pa.int64())).append_column("more", pa.array(more, pa.int64()))
 
     return run
 
@@ -172,7 +174,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         return tall.select(F.col("_id").alias(key), "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0.0).alias("rate"), F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("taken"), *([F.col("m0").alias("_m")] if _keep else []))
     goals = recipe(sizes, cycle, share, cap)
     rated = balance(cells, {"m0": goals}, cap)
-    rounded = materialize(rated.groupBy("m0").applyInPandas(_rounded(cap), "m0 string, size long, n long, rate double, base long, more long"), "mixing-copies")
+    rounded = materialize(rated.select("m0", "size", "n", "rate").groupBy("m0").applyInArrow(_rounded(cap), "m0 string, size long, n long, rate double, base long, more long"), "mixing-copies")
     told = _small(docs.sparkSession, [(m, sizes[m], goals[m]) for m in sizes], "m0 string, source_size long, target double")
     placed = ranked(tall, ["m0", "size"], ["_id"], "_place")
     copies = F.col("base") + F.when(F.col("_place") < F.col("more"), 1).otherwise(0)

@@ -198,15 +198,13 @@ def links(distinct: DataFrame, radius: int, n: int) -> DataFrame:
             shard, at, home = tree.value.deal(fp.view(np.uint64), radius)
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(fp[at]), pa.array(home)], ["shard", "fp", "home"])
 
-    def find(rows):
-        import pandas as pd  # here, for workers that need none
-
-        fp = rows["fp"].to_numpy(np.int64)
-        root = search(fp.view(np.uint64), rows["home"].to_numpy(bool), radius).root
+    def find(rows: pa.Table) -> pa.Table:
+        fp = np.asarray(rows.column("fp")).astype(np.int64)
+        root = search(fp.view(np.uint64), np.asarray(rows.column("home")).astype(bool), radius).root
         tied = np.flatnonzero(root != np.arange(len(fp)))
-        return pd.DataFrame({"a": fp[tied], "b": fp[root[tied]]})
+        return pa.table({"a": pa.array(fp[tied]), "b": pa.array(fp[root[tied]])})
 
-    return distinct.select("fp").mapInArrow(deal, "shard int, fp long, home boolean").groupBy("shard").applyInPandas(find, "a long, b long")
+    return distinct.select("fp").mapInArrow(deal, "shard int, fp long, home boolean").groupBy("shard").applyInArrow(find, "a long, b long")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, radius: int = 2) -> DataFrame:
