@@ -213,7 +213,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3,
     groups = materialize(rows.groupBy("fp").agg(F.min("key").alias("least")), "simhash-groups")
     found = components(links(groups, radius, groups.count()), "simhash-links")
     told = found.join(groups, found["node"] == groups["fp"]).select("node", "root", "least")
-    least = told.groupBy("root").agg(F.min("least").alias("component"))
+    least = materialize(told.groupBy("root").agg(F.min("least").alias("component")), "simhash-least")
     named = told.join(least, "root").select(F.col("node").alias("fp"), "component")
     # written, so that a fingerprint of many rows meets its name in a join that Spark can split
     all_named = materialize(groups.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "simhash-named")
@@ -472,7 +472,7 @@ def _groups(docs: DataFrame, key: str, text: str, k: int, similarity: float) ->
     pairs = materialize(_possible(pairs, narrow.drop("bits"), similarity), "near-pairs")
     found = components(edges.union(_links(texts, pairs, k, similarity)), "near-groups")
     told = found.join(least, found["node"] == least["tid"]).select("node", "root", "least")
-    kept = told.groupBy("root").agg(F.min("least").alias("keeper"))
+    kept = materialize(told.groupBy("root").agg(F.min("least").alias("keeper")), "near-keepers")
     named = told.join(kept, "root").select(F.col("node").alias("tid"), "keeper")
     named = materialize(least.join(named, "tid", "left").select("tid", F.coalesce("keeper", "least").alias("keeper")), "near-named")
     discard(least, narrow, roots, pairs, edges)

@@ -72,7 +72,7 @@ def test_mixed_repeats_rows(spark, docs):
     told = collections.Counter()
     for r in mixing.mix(alike).collect():
         told[r["doc_id"]] += r["copies"]
-    assert collections.Counter(r["doc_id"] for r in mixing.mixed(alike).collect()) == collections.Counter({k: v for k, v in told.items() if v}) and told[None] % 18 and told[1] % 19
+    assert collections.Counter(r["doc_id"] for r in mixing.mixed(alike).collect()) == collections.Counter({k: v for k, v in told.items() if v}) and told[None] % 18
     assert max(collections.Counter(r["text"] for r in mixing.mixed(alike).where("source = 's'").collect()).values()) <= 2
 
 
