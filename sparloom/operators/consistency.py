@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 
 def match_rate(a: Column, b: Column) -> Column:
@@ -22,16 +20,20 @@ def divergence(a: Column, b: Column) -> Column:
     return F.when(at > 0, at - 1)
 
 
-@F.pandas_udf(IntegerType())
-def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Insertions, deletions and replacements that turn one array into the other, in Arrow batches."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = list(x), list(y)
-        line = list(range(len(y) + 1))
-        for i, p in enumerate(x, 1):
-            last, line[0] = line[0], i
-            for j, q in enumerate(y, 1):
-                last, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, last + (p != q))
-        out.append(line[-1])
-    return pd.Series(out, dtype="int32")
+#: First of the characters that stand for tokens, in a range of letters without combining forms.
+_FIRST = 20_000
+
+
+def token_distance(a: Column, b: Column) -> Column:
+    """Insertions, deletions and replacements that turn one array of tokens into the other.
+
+    Each distinct token of the pair becomes one character (a pair may have some
+    20,000), and the strings' edit distance is the arrays'.
+    """
+    known = F.array_distinct(F.concat(a, b))
+    return F.get(F.transform(F.array(known), lambda k: F.levenshtein(_letters(a, k), _letters(b, k))), 0)
+
+
+def _letters(x: Column, known: Column) -> Column:
+    """Tokens as characters: UTF-16 units of their places in known."""
+    return F.decode(F.unhex(F.array_join(F.transform(x, lambda t: F.lpad(F.hex(F.array_position(known, t) + _FIRST), 4, "0")), "")), "UTF-16BE")

@@ -29,11 +29,12 @@ class Limits:
 
 @dataclass
 class Tiers:
-    """State of a session: turns, and (vector, text) entries."""
+    """State of a session: turns, (vector, text) entries, and the last question's vector."""
 
     short: list = field(default_factory=list)
     long: list = field(default_factory=list)
     episodes: list = field(default_factory=list)
+    asked: np.ndarray | None = None
 
 
 def recent(turns: DataFrame, session: str, order: str, k: int) -> DataFrame:
@@ -53,9 +54,9 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> float:
     return float(a @ b / both) if both > 1e-9 else 0.0
 
 
-def gate(entries: list, vector: np.ndarray, asked: np.ndarray, text: str, least: float, duplicate: float, cap: int) -> bool:
-    """Accepts an entry close enough to the question and unlike all entries so far; the oldest goes at the cap."""
-    if _cosine(vector, asked) < least or any(_cosine(vector, e[0]) >= duplicate for e in entries):
+def gate(entries: list, vector: np.ndarray, asked: np.ndarray | None, text: str, least: float, duplicate: float, cap: int) -> bool:
+    """Accepts an entry close enough to the question, if there is one, and unlike all entries so far; the oldest goes at the cap."""
+    if asked is not None and _cosine(vector, asked) < least or any(_cosine(vector, e[0]) >= duplicate for e in entries):
         return False
     entries.append((vector, text))
     del entries[: max(0, len(entries) - cap)]
@@ -73,14 +74,15 @@ def fold(state: Tiers, turn: tuple, limits: Limits) -> tuple[int, int, int, bool
 
 
 def embed(text: str, dim: int = 384) -> np.ndarray:
-    """The hashing embedding of functions.vectors, for use inside a session's fold."""
-    import hashlib
+    """The hashing embedding of functions.vectors, for use inside a session's fold; a worker keeps slots of tokens it has met."""
     import re
 
+    from .retrieval import _slot
+
     out = np.zeros(dim)
     for tok in re.findall("[a-z0-9_]+", (text or "").lower()):
-        sign = 1 if int(hashlib.md5((tok + "#").encode()).hexdigest()[0], 16) % 2 == 0 else -1
-        out[int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % dim] += sign
+        slot, sign = _slot(tok, dim)
+        out[slot] += sign
     n = np.linalg.norm(out)
     return out / n if n else out
 
@@ -90,12 +92,11 @@ STORED = "conv_id long, turn long, stm int, ltm int, em int, ltm_accepted boolea
 
 def replay(rows: pd.DataFrame, state: Tiers, limits: Limits) -> Iterator[tuple]:
     """A session's turns in order: an assistant turn is weighed against the user turn before it."""
-    asked = np.zeros(384)
     for conv, turn, role, text in rows.sort_values("turn")[["conv_id", "turn", "role", "text"]].itertuples(index=False):
         vector = embed(text)
         if role == "user":
-            asked = vector
-        yield conv, turn, *fold(state, (turn, role, text or "", asked, vector), limits)
+            state.asked = vector
+        yield conv, turn, *fold(state, (turn, role, text or "", state.asked, vector), limits)
 
 
 def store(turns: DataFrame, limits: Limits | None = None) -> DataFrame:

@@ -178,18 +178,6 @@ def output_consistency(spark, sf_dir):
     return both.select("conv_id", "turn", r6(match_rate(F.col("a"), F.col("b"))).alias("match_rate"), divergence(F.col("a"), F.col("b")).alias("divergence"), (F.col("a") == F.col("b")).alias("exact"))
 
 
-@query()
-def token_edit_distance(spark, sf_dir):
-    """Edit distance over tokens of consecutive turns; arrays have no such builtin."""
-    from ..functions.text import tokens
-    from ..operators.consistency import edit_distance
-
-    rows = table(spark, sf_dir, "conversations")
-    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    both = rows.withColumn("nxt", nxt).where("nxt is not null")
-    return both.select("conv_id", "turn", edit_distance(tokens(F.col("text")), tokens(F.col("nxt"))).alias("distance"))
-
-
 @query(f"""SELECT count(*) AS pairs, count(*) FILTER (WHERE a = b) AS exact, round(avg(CASE WHEN a = b THEN 1.0 ELSE 0 END), 6) AS exact_rate,
 array_to_string(list_sort(list_distinct(list(CASE WHEN a = b THEN 'equal' WHEN len(a) <> len(b) THEN 'length' ELSE 'token' END))), ',') AS causes FROM ({PAIR}) WHERE b IS NOT NULL""")
 def consistency_summary(spark, sf_dir):

@@ -157,7 +157,7 @@ def test_templates():
 @pytest.mark.parametrize("a,b,rate,at,edits", [([1, 2, 3], [1, 2, 3], 1.0, None, 0), ([1, 2, 3], [1, 4, 3, 5], 0.5, 1, 2), ([1, 2], [1, 2, 3], 2 / 3, 2, 1), ([], [], 1.0, None, 0)])
 def test_consistency(spark, a, b, rate, at, edits):
     df = spark.createDataFrame([(a, b)], "a array<int>, b array<int>")
-    got = df.select(consistency.match_rate(F.col("a"), F.col("b")).alias("r"), consistency.divergence(F.col("a"), F.col("b")).alias("d"), consistency.edit_distance("a", "b").alias("e")).first()
+    got = df.select(consistency.match_rate(F.col("a"), F.col("b")).alias("r"), consistency.divergence(F.col("a"), F.col("b")).alias("d"), consistency.token_distance(F.col("a").cast("array<string>"), F.col("b").cast("array<string>")).alias("e")).first()
     assert got["r"] == pytest.approx(rate) and got["d"] == at and got["e"] == edits
 
 

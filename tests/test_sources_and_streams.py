@@ -63,8 +63,51 @@ def test_stream_windows_equal_batch(spark, tmp_path):
 def test_stream_memory_equals_batch(spark, tmp_path):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     limits = memory.Limits(short=3, long=2, episodes=1)
-    turns.orderBy("conv_id", "turn").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = stream_memory.store_stream(windows.read_files(spark, str(tmp_path / "in"), turns), limits)
+    most = turns.agg(F.max("turn")).first()[0]
+    for t in range(most + 1):  # one turn a micro-batch, so answers meet questions of earlier ones
+        turns.where(F.col("turn") == t).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = stream_memory.store_stream(windows.read_files(spark, str(tmp_path / "in"), turns, 1), limits)
     got = windows.run_once(stream, str(tmp_path / "ck"), str(tmp_path / "out"))
     told = memory.store(turns, limits)
     assert got.exceptAll(told).count() == 0 and told.exceptAll(got).count() == 0 and told.count() == turns.count()
+
+
+def test_metric_files_and_tables(spark, tmp_path):
+    from sparloom.sources import runs
+
+    (tmp_path / "m" / "rank0").mkdir(parents=True)
+    (tmp_path / "m" / "rank0" / "metrics.json").write_text(json.dumps({"a": {"count": 2, "total_sec": 3.0}, "b": {"n": 1, "samples": [50, 70]}}))
+    got = {r["metric"]: (r["count"], round(r["seconds"], 6)) for r in runs.read_metric_files(spark, str(tmp_path / "m")).collect()}
+    assert got == {"a": (2, 3.0), "b": (1, 0.12)}
+    df = spark.createDataFrame([("x_1", None, 2), ("y", "50%", 3)], "name string, note string, n int")
+    assert runs.latex(df).count(r"\\") == 3 and r"x\_1" in runs.latex(df)
+    assert runs.text_column(df) == "name" and runs.export_texts(df, str(tmp_path / "t"), "note") == 1
+    assert runs.rank_world({"SLURM_PROCID": "5", "SLURM_NTASKS": "4"}) == (1, 4) and runs.rank_world({}) == (0, 1)
+
+
+def test_blake_embedding(spark):
+    import hashlib
+
+    from sparloom.plans import runs
+
+    got = runs.blake_rows(spark.createDataFrame([("é",), (None,)], "text string"), dim=70).collect()
+    for r in got:
+        digest = hashlib.blake2b((r["text"] or "").encode()).digest()
+        assert [round(x, 5) for x in r["blake"]] == [round(digest[j % 64] / 127.5 - 1, 5) for j in range(70)]
+
+
+def test_token_distance_against_a_plain_program(spark):
+    import random
+
+    from sparloom.operators.consistency import token_distance
+
+    r = random.Random(3)
+    rows = [([r.choice("abcdefgh") for _ in range(r.randint(0, 12))], [r.choice("abcdefgh") for _ in range(r.randint(0, 12))]) for _ in range(80)]
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", token_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    for row in got:
+        line = list(range(len(row["b"]) + 1))
+        for i, x in enumerate(row["a"], 1):
+            last, line[0] = line[0], i
+            for j, y in enumerate(row["b"], 1):
+                last, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, last + (x != y))
+        assert row["d"] == line[-1]
