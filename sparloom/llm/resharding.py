@@ -140,47 +140,57 @@ def sized(docs: DataFrame, old_shard, key: str = "doc_id", text: str = "text") -
 FILE_BYTES = 256 << 20
 
 
-def rewrite(spark: SparkSession, old_path: str, new_path: str, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Reshards a dataset kept as old_path/shard=K; returns shard, path: where each shard's rows now are.
-
-    Shards that neither gain nor lose rows keep their old folder; the others are
-    written whole to new_path/shard=K, a large shard by several tasks.  Old files
-    stay, so a failed run can be repeated; new_path must be another folder.
-
-    Rows are told by (key, crc of the text, old shard).  Rows that agree on all of
-    these go together, but for those whose places lie on both sides of a cut
-    between two blocks: of these, as many as each shard gets.
+def rewrite(spark: SparkSession, old: str | DataFrame, new_path: str, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Reshards a dataset kept as old/shard=K, or rows with a column shard; returns shard, path: where each shard's rows now are.
+
+    Shards that neither gain nor lose rows keep their old folder (rows without one
+    are written all the same); the others are written whole to new_path/shard=K, a
+    large shard by several tasks.  Old files stay, so a failed run can be repeated;
+    new_path must be another folder.
+
+    Texts are shuffled once, to their new files.  A row's place follows from its
+    old shard and size, but for the sizes that a cut between two blocks divides:
+    rows of these are told by (key, crc of the text); of those that agree on both
+    and lie on both sides of a cut, as many go as each shard gets.
     """
-    if new_path.rstrip("/") == old_path.rstrip("/"):
-        raise ValueError("new_path must not be old_path: old files stay until the new ones are there")
-    docs = spark.read.parquet(old_path)
+    if isinstance(old, str) and new_path.rstrip("/") == old.rstrip("/"):
+        raise ValueError("new_path must not be the old one: old files stay until the new ones are there")
+    docs = spark.read.parquet(old) if isinstance(old, str) else old
     rows = materialize(sized(docs, F.col("shard"), key, text), "rewrite")
     moved = materialize(reshard(rows, shards, order=("key", "text_crc32")), "rewrite-plan")
-    changes = moved.where("old_shard <> shard")
-    changed = [r[0] for r in changes.select("shard").union(changes.select(F.col("old_shard").alias("shard"))).distinct().collect()]  # shards, MAX_SHARDS at most
-    sizes = {r[0]: int(r[1]) for r in moved.where(F.col("shard").isin(changed)).groupBy("shard").agg(F.sum("size")).collect()}
-    same = ["key", "text_crc32", "old_shard"]
-    plan = materialize(moved.where(F.col("shard").isin(changed)).groupBy(*same).agg(F.min("shard").alias("_lo"), F.max("shard").alias("_hi")), "rewrite-rows")
-    crc = F.crc32(F.coalesce(F.col(text), F.lit("")))
-    mine = docs.where(F.col("shard").isin(changed)).withColumn("old_shard", F.coalesce(F.col("shard"), F.lit(0)).cast("int")).withColumn("_crc", crc)
-    on = mine[key].eqNullSafe(plan["key"]) & (mine["_crc"] == plan["text_crc32"]) & (mine["old_shard"] == plan["old_shard"])
+    new = moved.select("shard").distinct()
+    if isinstance(old, str):
+        changes = moved.where("old_shard <> shard")
+        new = changes.select("shard").union(changes.select(F.col("old_shard").alias("shard"))).distinct()
+    changed = [r[0] for r in new.collect()]  # shards, MAX_SHARDS at most
+    goes = F.col("shard").isin(changed)
+    sizes = {r[0]: int(r[1]) for r in moved.where(goes).groupBy("shard").agg(F.sum("size")).collect()}
+    cells = materialize(moved.where(goes).groupBy("old_shard", "size").agg(F.min("shard").alias("_lo"), F.max("shard").alias("_hi")), "rewrite-cells")
+    ranges = cells.where("_lo = _hi").groupBy(F.col("old_shard").alias("_old"), "_lo").agg(F.min("size").alias("_from"), F.max("size").alias("_to"))  # fewer than blocks
+    divided = cells.where("_lo < _hi").select(F.col("old_shard").alias("_old"), F.col("size").alias("_cell"))  # fewer than cuts
+    value = F.coalesce(F.col(text), F.lit(""))
+    mine = docs.where(goes) if isinstance(old, str) else docs
+    mine = mine.withColumns({"_o": F.coalesce(F.col("shard"), F.lit(0)).cast("int"), "_size": (F.octet_length(value) + 16).cast("long"), "_crc": F.crc32(value)})
     names = [c for c in docs.columns if c != "shard"]
-    out = mine.join(plan.where("_lo = _hi"), on).select(*[mine[c] for c in names], F.col("_lo").alias("shard"))
-    cut_apart = plan.where("_lo < _hi")
-    if not cut_apart.isEmpty():  # groups of alike rows that a cut divides: fewer than cuts
-        each = moved.join(F.broadcast(cut_apart.select(*same)), [moved[c].eqNullSafe(cut_apart[c]) for c in same], "left_semi").groupBy(*same, "shard").agg(F.count("*").alias("_n"))
+    out = mine.join(F.broadcast(ranges), (F.col("_o") == F.col("_old")) & F.col("_size").between(F.col("_from"), F.col("_to"))).select(*[mine[c] for c in names], F.col("_lo").alias("shard"))
+    if not divided.isEmpty():
+        some = mine.join(F.broadcast(divided), (F.col("_o") == F.col("_old")) & (F.col("_size") == F.col("_cell")), "left_semi")
+        plan = moved.join(F.broadcast(divided), (F.col("old_shard") == F.col("_old")) & (F.col("size") == F.col("_cell")), "left_semi")
+        same = ["key", "text_crc32", "old_shard"]
+        each = plan.groupBy(*same, "shard").agg(F.count("*").alias("_n"))
         lists = each.groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("shard", "_n"))).alias("_to"))  # a place a shard
-        nth = F.row_number().over(Window.partitionBy(F.col(key), "_crc", "old_shard").orderBy(F.lit(0)))
-        split = mine.join(F.broadcast(lists), mine[key].eqNullSafe(lists["key"]) & (mine["_crc"] == lists["text_crc32"]) & (mine["old_shard"] == lists["old_shard"])).select(*[mine[c] for c in names], mine["_crc"], mine["old_shard"], "_to").withColumn("_nth", nth)
+        on = some[key].eqNullSafe(lists["key"]) & (some["_crc"] == lists["text_crc32"]) & (some["_o"] == lists["old_shard"])
+        told = some.join(lists, on).select(*[some[c] for c in names], "_crc", "_o", "_to")
+        single = told.where(F.size("_to") == 1).select(*names, F.col("_to")[0]["shard"].alias("shard"))
+        nth = F.row_number().over(Window.partitionBy(F.col(key), "_crc", "_o").orderBy(F.lit(0)))
         pick = F.aggregate("_to", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("to")), lambda s, t: F.struct((s["seen"] + t["_n"]).alias("seen"), F.coalesce(s["to"], F.when(F.col("_nth") <= s["seen"] + t["_n"], t["shard"])).alias("to")))
-        out = out.union(split.select(*names, pick["to"].alias("shard")))
+        out = out.union(single).union(told.where(F.size("_to") > 1).withColumn("_nth", nth).select(*names, pick["to"].alias("shard")))
     pieces = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for s, n in (sizes or {0: 0}).items() for x in (s, max(1, -(-n // FILE_BYTES)))]), F.col("shard")), F.lit(1))
-    salted = out.withColumn("_piece", F.pmod(F.xxhash64(*[key, F.crc32(F.coalesce(F.col(text), F.lit("")))]), pieces))
+    salted = out.withColumn("_piece", F.pmod(F.xxhash64(key, F.crc32(value)), pieces))
     salted.repartition("shard", "_piece").drop("_piece").write.partitionBy("shard").mode("overwrite").parquet(new_path)
-    kept = moved.select("shard").distinct()
-    where = F.when(F.col("shard").isin(changed), F.lit(new_path)).otherwise(F.lit(old_path))
-    told = materialize(kept.select("shard", F.concat(where, F.lit("/shard="), F.col("shard")).alias("path")), "rewrite-paths")
-    discard(rows, moved, plan)
+    where = F.when(goes, F.lit(new_path)).otherwise(F.lit(old if isinstance(old, str) else new_path))
+    told = materialize(moved.select("shard").distinct().select("shard", F.concat(where, F.lit("/shard="), F.col("shard")).alias("path")), "rewrite-paths")
+    discard(rows, moved, cells)
     return told
 
 
@@ -198,16 +208,14 @@ OLD_SHARDS, NEW_SHARDS = 32, 40
 
 
 def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From a dataset in 32 shards by source (very uneven) to one in 40 of near equal bytes, by rewriting its files.
+    """The table as 32 shards by source (very uneven), rewritten into files of 40 shards of near equal bytes.
 
     The digest is taken from the rewritten files.
     """
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS)).cast("int").alias("shard"))
     if docs.isEmpty():
         return docs.select("doc_id", F.lit(16).cast("long").alias("size"), F.lit(0).cast("long").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    root = f"{shared_dir(spark)}/op3-{uuid.uuid4().hex}"
-    docs.write.partitionBy("shard").parquet(f"{root}/old")
-    new = shard_rows(spark, rewrite(spark, f"{root}/old", f"{root}/new", NEW_SHARDS))
+    new = shard_rows(spark, rewrite(spark, docs, f"{shared_dir(spark)}/op3-{uuid.uuid4().hex}", NEW_SHARDS))
     rows = materialize(sized(new, F.col("shard")).withColumnRenamed("old_shard", "shard"), "op3")
     placed = slots(rows, ["key", "text_crc32"])
     return placed.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
