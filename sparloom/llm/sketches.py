@@ -127,20 +127,21 @@ def in_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     block, so each row's follower is beside it.  Texts are shuffled once.  Block
     bounds are at most MAX_BLOCKS places.
     """
-    spark = docs.sparkSession
     value = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), value.alias("text"), F.struct(F.col(key).alias("key"), F.xxhash64(value).alias("h")).alias("place"))
     places = materialize(rows.select("place"), "sketch-places")  # narrow; texts are read here and where they are shuffled
     blocks = max(1, min(MAX_BLOCKS, places.count() // BLOCK_ROWS))
     first = places.repartitionByRange(blocks, "place").groupBy(F.spark_partition_id()).agg(F.min("place").alias("place"))
-    bounds = materialize(first.select("place"), "sketch-bounds")
-    n = bounds.count()
-    told = F.broadcast(bounds.agg(F.array_sort(F.collect_list("place")).alias("bounds")))  # one row of MAX_BLOCKS places
+    found = [r[0] for r in first.select("place").orderBy("place").collect()]  # MAX_BLOCKS places
     discard(places)
-    rows = rows.crossJoin(told).withColumn("block", _block(F.col("bounds"), max(n, 1), F.col("place")))
+    n, kind = len(found), docs.schema[key].dataType
+    bounds = F.array(*[F.struct(F.lit(p["key"]).cast(kind).alias("key"), F.lit(p["h"]).cast("long").alias("h")) for p in found])
+    rows = rows.withColumn("block", _block(bounds, n, F.col("place")) if n > 1 else F.lit(0))
     own = F.struct(F.col("block"), F.lit(0).alias("halo"))
     before = F.struct(F.when(F.col("block") == 0, max(n, 1) - 1).otherwise(F.col("block") - 1).alias("block"), F.lit(1).alias("halo"))
-    where = F.when(F.col("place") == F.get("bounds", F.col("block")), F.array(own, before)).otherwise(F.array(own))
+    if not n:
+        bounds = F.array(F.lit(None).cast(rows.schema["place"].dataType))
+    where = F.when(F.col("place") == F.get(bounds, F.col("block")), F.array(own, before)).otherwise(F.array(own))
     rows = rows.select("key", "text", "place", F.explode(where).alias("p")).select("p.block", "p.halo", "key", "text", "place")
     return rows.repartition(max(n, 1), "block").sortWithinPartitions("block", "halo", "place").drop("place")
 
