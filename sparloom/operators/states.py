@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 #: Fields that two states must share before they may be merged.
@@ -84,3 +85,15 @@ def token_limited(blocks: DataFrame, by: str, order: str, limit: int) -> DataFra
 def evict(states: DataFrame, when: Column, reason: str) -> DataFrame:
     """Adds status and reason; live views filter on the status."""
     return states.withColumn("status", F.when(when, "evicted").otherwise("live")).withColumn("reason", F.when(when, F.lit(reason)))
+
+
+def send(states: DataFrame, path: str) -> None:
+    """Writes states as JSON, a folder for each node that they go to."""
+    states.withColumn("to_node", F.col("owner_node")).write.mode("append").partitionBy("to_node").json(path)
+
+
+def receive(spark: SparkSession, path: str, asked: DataFrame, schema: StructType) -> DataFrame:
+    """The sent states that are asked for by state_id; one that was never sent is an error."""
+    sent = spark.read.schema(schema).json(path).withColumn("_sent", F.lit(True))
+    lost = F.raise_error(F.concat(F.lit("state "), F.col("state_id"), F.lit(" has not been sent")))
+    return asked.join(sent, "state_id", "left").where(F.coalesce(F.col("_sent"), lost.cast("boolean"))).drop("_sent", "to_node")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,9 +99,34 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).option("header", True).option("nullValue", "").csv(path)
 
 
+def ready(spark: SparkSession, path: str) -> bool:
+    """Whether a folder was written to its end: its _SUCCESS file is there."""
+    flag = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return flag.getFileSystem(spark._jsc.hadoopConfiguration()).exists(flag)
+
+
+def wait_ready(spark: SparkSession, paths: list[str], seconds: float, every: float = 0.5) -> None:
+    """Returns when all folders are written; raises TimeoutError, naming those that are not, after `seconds`."""
+    end = time.monotonic() + seconds
+    while left := [p for p in paths if not ready(spark, p)]:
+        if time.monotonic() >= end:
+            raise TimeoutError(f"not ready after {seconds} s: {', '.join(left)}")
+        time.sleep(every)
+
+
+def barrier(spark: SparkSession, folder: str, rank: int, world: int, seconds: float) -> None:
+    """Marks this rank as arrived in a shared folder and waits for all others."""
+    spark.range(1).select(F.lit(rank).alias("rank")).coalesce(1).write.mode("overwrite").json(f"{folder}/rank={rank}")
+    wait_ready(spark, [f"{folder}/rank={r}" for r in range(world)], seconds)
+
+
 def cached_corpus(spark: SparkSession, build, root: str, **parameters) -> DataFrame:
-    """A generated corpus, written once under a folder named by its parameters and read from then on."""
+    """A generated corpus, written once under a folder named by its parameters and read from then on.
+
+    A folder that was not written to its end is built again.
+    """
     key = "-".join(f"{k}={v}" for k, v in sorted(parameters.items()))
     path = f"{root}/{key}"
-    build(spark, **parameters).write.mode("ignore").parquet(path)
+    if not ready(spark, path):
+        build(spark, **parameters).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
