@@ -1,4 +1,4 @@
 """Operators of a training-data pipeline: mixing, sketches, resharding, near
 duplicates, language-model scores, WARC, byte-level BPE, quality rules,
-repeated passages and personal data.  Nothing outside this package imports it.
+repeated passages, personal data, prefix tries, manifests and packing.  Nothing outside this package imports it.
 """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lm, mixing, pii, quality, resharding, simhash, sketches, substrings, warc
+from . import bpe, lm, merkle, mixing, packing, pii, quality, resharding, simhash, sketches, substrings, trie, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +24,11 @@ def queries() -> dict[str, Query]:
         "op8_quality": quality.op8_quality,
         "op9_substrings": substrings.op9_substrings,
         "op10_pii": pii.op10_pii,
+        "op11_prefix_trie": trie.op11_prefix_trie,
+        "op12_merkle": merkle.op12_merkle,
+        "op13_packing": packing.op13_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.SQL, "op8_quality": quality.SQL, "op9_substrings": substrings.SQL}
+    return {"op6_warc": warc.SQL, "op8_quality": quality.SQL, "op9_substrings": substrings.SQL, "op11_prefix_trie": trie.SQL, "op12_merkle": merkle.SQL}
