@@ -110,7 +110,7 @@ def balance(cells: DataFrame, targets: dict[str, dict[str, float]], cap: float =
         rate = F.when(eta > 400, F.lit(cap)).when(eta < -400, F.lit(0.0)).otherwise(tilt)
         return out.withColumn("rate", rate).drop(*[f"_l_{m}" for m in margins])
 
-    gap, least = np.inf, TOLERANCE * max(1.0, goals.max(initial=0.0))
+    gap, measure = np.inf, np.maximum(1.0, goals)  # each value's gap is held against its own target
     for _ in range(STEPS if free.any() else 0):
         words = F.col("n") * F.col("size")
         sums = with_rate().groupBy(*margins).agg(
@@ -125,16 +125,16 @@ def balance(cells: DataFrame, targets: dict[str, dict[str, float]], cap: float =
             diagonal[at] += h
             if curvature is not None:
                 curvature[np.ix_(at, at)] += h
-        gap = float(np.abs(gradient[free]).max())
-        if gap <= least:
+        gap = float((np.abs(gradient) / measure)[free].max())
+        if gap <= TOLERANCE:
             break
         if curvature is None:
             step = gradient[free] / np.maximum(diagonal[free], 1e-9)
         else:
             step = np.linalg.lstsq(curvature[np.ix_(free, free)] + 1e-9 * np.eye(int(free.sum())), gradient[free], rcond=None)[0]
         lam[free] += np.clip(step, -3, 3)
-    if free.any() and gap > max(least, ACCEPTED * goals.max(initial=0.0)):
-        raise ValueError(f"no rates meet the targets: {gap:.6g} words apart after {STEPS} Newton steps")
+    if free.any() and gap > max(TOLERANCE, ACCEPTED):
+        raise ValueError(f"no rates meet the targets: a value is {gap:.3%} of its target apart after {STEPS} Newton steps")
     return with_rate()
 
 

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, unused
 
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -176,12 +176,12 @@ def base_spans(docs: DataFrame, text: str, out: str = "base") -> DataFrame:
     no_digit = ~value.rlike("[0-9]")
     unless = {"email": ~F.contains(value, F.lit("@")), "ip": no_digit, "card": no_digit, "phone": no_digit | ~F.contains(value, F.lit("+"))}
     patterns = dict(zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True))
-    spans = []
-    for rank, kind in enumerate(KINDS):
-        docs = docs.withColumn(f"_{kind}", _places(value, patterns[kind], unless[kind]))
-        good = F.filter(F.col(f"_{kind}"), functools.partial(_kept, kind))
+    spans, own = [], unused(docs, *[f"_{k}" for k in KINDS])
+    for rank, (kind, name) in enumerate(zip(KINDS, own, strict=True)):
+        docs = docs.withColumn(name, _places(value, patterns[kind], unless[kind]))
+        good = F.filter(F.col(name), functools.partial(_kept, kind))
         spans.append(F.transform(good, functools.partial(_span, rank, kind)))
-    return docs.withColumn(out, F.array_sort(F.concat(*spans))).drop(*[f"_{k}" for k in KINDS])
+    return docs.withColumn(out, F.array_sort(F.concat(*spans))).drop(*own)
 
 
 # ----------------------------------------------------- candidates and their features
@@ -359,7 +359,8 @@ def all_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     value = F.coalesce(F.col(text), F.lit(""))
     unless = {"secret": F.lit(False), "number": ~value.rlike("[0-9]"), "address": ~value.rlike(r"[\[({]\x20?(?:at|AT)")}
     places = [_places(value, pattern, unless[kind]) for kind, pattern in GENERATORS.items()]
-    docs = docs.withColumn("_places", F.array(*places))
+    [held] = unused(docs, "_places")
+    docs = docs.withColumn(held, F.array(*places))
 
     def selected(known: Column, r: int, kind: str, found: Column) -> Column:
         """Of one generator's places: those free of base spans that the trees select."""
@@ -385,10 +386,10 @@ def all_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         told = F.zip_with(found, before, lambda s, b: F.struct(s.alias("span"), (s["end"] > b).alias("out")))
         return F.transform(F.filter(told, lambda t: t["out"]), lambda t: t["span"])
 
-    added = _once(known, lambda k: F.array_sort(F.concat(*[selected(k, r, kind, F.get("_places", r)) for r, kind in enumerate(GENERATORS)])))
+    added = _once(known, lambda k: F.array_sort(F.concat(*[selected(k, r, kind, F.get(held, r)) for r, kind in enumerate(GENERATORS)])))
     added = _once(added, outermost)
-    some = F.exists("_places", lambda p: F.size(p) > 0)
-    return docs.withColumn("spans", F.when(some, F.array_sort(F.concat("base", added))).otherwise(F.col("base"))).drop("_places")
+    some = F.exists(held, lambda p: F.size(p) > 0)
+    return docs.withColumn("spans", F.when(some, F.array_sort(F.concat("base", added))).otherwise(F.col("base"))).drop(held)
 
 
 def shown(spans: Column) -> Column:

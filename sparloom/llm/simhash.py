@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, components, discard, lowered, materialize, read_table, steps, utf8
+from .common import WORD, components, discard, lowered, materialize, read_table, steps, unused, utf8
 from .sketches import shingles
 
 #: Fingerprints from which vantage points are chosen, the lowest by hash: so many for each shard, within these bounds.
@@ -495,6 +495,6 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     ids, named = _groups(docs, key, text, k, similarity)
     kept = materialize(named.select(F.col("keeper.key").alias("_key"), F.col("keeper.tid").alias("_keeper")).distinct(), "near-kept")
     discard(ids, named)
-    tid = _text_id(docs[text])
-    mine = docs.withColumn("_tid", tid).join(kept, docs[key].eqNullSafe(kept["_key"]) & (tid == kept["_keeper"]), "left_semi")
-    return mine.dropDuplicates([key, "_tid"]).drop("_tid")
+    tid, [own] = _text_id(docs[text]), unused(docs, "_tid")
+    mine = docs.withColumn(own, tid).join(kept, docs[key].eqNullSafe(kept["_key"]) & (tid == kept["_keeper"]), "left_semi")
+    return mine.dropDuplicates([key, own]).drop(own)

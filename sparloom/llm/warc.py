@@ -379,16 +379,17 @@ def to_records(pages: DataFrame, key: str = "page_id", url: str = "url", payload
     """Records to write: of equal payloads of least_bytes or more, the smallest key is a response, others revisit it.
 
     Payloads are compared by SHA-1 and length, counted with map-side sums; pages
-    meet the verdict by their key, so a payload that a third of all pages share
-    is no hot key for the pages themselves.
+    meet the verdict by key and payload, so a payload that a third of all pages
+    share is no hot key for the pages themselves, and pages of one key but
+    different payloads are judged apart.
     """
     raw = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     own = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), raw.alias("payload"))
-    narrow = own.select("key", F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("n"))
-    narrow = materialize(narrow, "warc-digests")
+    own = own.withColumns({"sha1": F.sha1("payload"), "n": F.octet_length("payload").cast("long")})
+    narrow = materialize(own.select("key", "sha1", "n"), "warc-digests")
     first = narrow.where(F.col("n") >= least_bytes).groupBy("sha1", "n").agg(F.min("key").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    later = narrow.join(first, ["sha1", "n"]).where("key > first").select("key", "first").distinct()
-    joined = own.join(later, "key", "left")
+    later = narrow.join(first, ["sha1", "n"]).where("key > first").select("key", "sha1", "n", "first").distinct()
+    joined = own.join(later, ["key", "sha1", "n"], "left")  # a page without key is no later one
     again = F.col("first").isNotNull()
     urn = lambda c: F.when(c.isNotNull(), F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">")))
     return joined.select(
@@ -396,8 +397,8 @@ def to_records(pages: DataFrame, key: str = "page_id", url: str = "url", payload
         F.coalesce(urn(F.col("key")), F.lit("<urn:page:>")).alias("record_id"),
         F.col("url").alias("target_uri"),
         urn(F.col("first")).alias("refers_to"),
-        F.concat(F.lit("sha1:"), base32_of_hex(F.sha1("payload"))).alias("payload_digest"),
-        F.octet_length("payload").cast("long").alias("payload_length"),
+        F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha1"))).alias("payload_digest"),
+        F.col("n").alias("payload_length"),
         F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
     )
 

@@ -97,6 +97,17 @@ def test_rates_are_the_point_of_least_entropy(spark):
         mixing.balance(both, {"m0": {"=x": 20.0}, "m1": {"=u": 70.0}}).collect()
 
 
+def test_small_targets_are_met_beside_huge_ones(spark):
+    rows = [("=big", 1_000_000, 1_000_000), ("=fixed", 1_000_000, 1_000_000), ("=small", 3, 400), ("=small", 40, 30), ("=mid", 7, 90_000)]
+    cells = spark.createDataFrame(rows, "m0 string, size long, n long")
+    goals = {"=big": 7e11, "=fixed": 2e12, "=small": 1234.0, "=mid": 777_777.0}
+    sums = collections.Counter()
+    for r in mixing.balance(cells, {"m0": goals}).collect():
+        sums[r["m0"]] += r["size"] * r["n"] * r["rate"]
+    for value, goal in goals.items():
+        assert sums[value] == pytest.approx(goal, rel=1e-3)
+
+
 def test_mix_of_empty_and_clashing_tables(spark, docs):
     assert mixing.mixed(documents(spark)).count() >= mixing.mixed(docs).count()
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed(empty(spark)).count() == 0
@@ -161,6 +172,33 @@ def test_fingerprints_follow_any_ids(spark, monkeypatch, ids):
     assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == collections.Counter(x[:3] for x in _told(rows)) and edited
 
 
+@pytest.mark.parametrize("kind", ["whole", "text", "mixed"])
+def test_bounds_are_found_in_arrays_as_in_tuples(kind):
+    import random
+
+    r = random.Random(kind)
+    key = {"whole": lambda: r.randint(-40, 40), "text": lambda: r.choice("abcäß"), "mixed": lambda: r.choice([None, 3, 5])}[kind]
+    order = lambda p: (p[0] is not None, p[0] if p[0] is not None else 0, p[1])
+    places = sorted({(key(), r.randint(-3, 3)) for _ in range(300)}, key=order)
+    bounds = places[:: max(1, len(places) // 40)]
+    find = sketches._numbers(bounds)
+    got = find(pa.array([p[0] for p in places]), pa.array([p[1] for p in places], pa.int64())).to_pylist()
+    for place, number in zip(places, got, strict=True):
+        block = max(i for i, b in enumerate(bounds) if order(b) <= order(place))
+        assert number == 2 * block + (bounds[block] == place)
+
+
+def test_many_bounds_reach_tasks_at_once(spark, monkeypatch):
+    import time
+
+    monkeypatch.setattr(sketches, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(sketches, "MAX_BLOCKS", 2_000)
+    df = spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c d e "), "id").alias("text"))
+    began = time.time()
+    made = sketches.in_blocks(df, "doc_id", "text")
+    assert time.time() - began < 25 and made.count() > 4_000
+
+
 def test_sketches_merge_and_estimate():
     r = np.random.default_rng(1)
     vocabulary = [f"w{i}" for i in range(5000)]
@@ -326,6 +364,14 @@ def chained(rng, n, kept):
     return " ".join(x), " ".join(x[:kept])
 
 
+def test_internal_names_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "mail a@b.org now", "x", "y", "z", "e"), (2, "mail a@b.org now", "x", "y", "z", "e")], "doc_id long, text string, _tid string, _TID_ string, _places string, _email string")
+    got = simhash.deduplicated(df)
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [tuple(df.first())]
+    spans = pii.all_spans(df)
+    assert spans.columns == [*df.columns, "base", "spans"] and {r["_email"] for r in spans.collect()} == {"e"}
+
+
 def test_near_groups_decides_long_texts_by_whole_sets(spark):
     rng, rows = np.random.default_rng(4), []
     for i in range(40):  # 2,000 shingles: likeness 0.8 and 0.7995
@@ -470,6 +516,24 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_warc_keeps_payloads_of_pages_that_share_an_id(spark, tmp_path):
+    rows = [(1, "A"), (2, "C"), (5, "A"), (5, "B"), (5, "C"), (5, "C"), (None, "A"), (None, "B"), (7, None), (8, "")]
+    df = spark.createDataFrame([(i, "u", h, "sha", 1, "key") for i, h in rows], "page_id long, url string, html string, sha1 string, n long, key string")
+    path = f"file://{tmp_path}/warc"
+    warc.write(warc.to_records(df), path)
+    got = warc.read(spark, path).collect()
+    told = collections.Counter((r["record_id"], r["record_type"], r["refers_to"], r["payload_digest"]) for r in got)
+    urn = lambda i: f"<urn:page:{'' if i is None else i}>"
+    first = {"A": 1, "C": 2, "B": 5, "": 7}
+    plain = collections.Counter()
+    for i, h in rows:
+        h = h or ""
+        again = i is not None and i > first[h]
+        plain[urn(i), "revisit" if again else "response", urn(first[h]) if again else None, "sha1:" + warc.digest_of(h.encode())] += 1
+    assert told == plain
+    assert {r["payload"] for r in warc.read(spark, path).where("record_type = 'response'").collect()} >= {b"A", b"B", b"C"}
+
+
 def test_warc_reads_other_writers_files():
     import gzip
     import io
