@@ -31,6 +31,7 @@ columns of the input take no part.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -176,8 +177,8 @@ def _asks(bits: int):
             for said, held in _decoded(rows):
                 counts = held.counts(np.ones(len(held.row), bool)), held.counts(held.good[held.row])
                 number = (held.grams >> np.uint64(GRAM_BITS - bits)).astype(np.int64)
-                cuts = np.searchsorted(number, np.arange((1 << bits) + 1))
-                spans = [(i, a, b) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                cuts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1], [True])))  # slices that are present
+                spans = [(int(number[a]), a, b) for a, b in itertools.pairwise(cuts.tolist())] if len(number) else []
                 yield pa.RecordBatch.from_arrays([
                     pa.array([i for i, _, _ in spans], pa.int32()),
                     pa.array([said["batch"]] * len(spans), pa.int64()),

@@ -22,12 +22,13 @@ table stays empty; other columns of the input take no part.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -109,14 +110,32 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint")
     return kept.mapInArrow(run, StructType([*kept.schema.fields, *StructType.fromDDL(f"`{name}` string").fields]))
 
 
-def _block(bounds: Column, n: int, place: Column) -> Column:
-    """How many of n ascending bounds are at most place, less one: a binary search, in whole places of any type."""
-    def step(at: Column, power: Column) -> Column:
-        up = at + power
-        return F.when((up <= n) & (F.get(bounds, F.least(up, F.lit(n)) - 1) <= place), up).otherwise(at)
+def _numbers(bounds: list[tuple]):
+    """A function of (id, hash): 2 * block, one more for the place that begins it; bounds: ascending places.
 
-    powers = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
-    return F.aggregate(powers, F.lit(0), step) - 1
+    Bounds are searched as an array where ids are whole numbers, else as tuples;
+    so are places whose id is that of a bound, which the hash decides.
+    """
+    shown = [(k is not None, k if k is not None else 0, h) for k, h in bounds]
+    whole = all(isinstance(k, int) for k, _ in bounds[1:])
+    low = [k if isinstance(k, int) else -(1 << 63) for k, _ in bounds] if whole else []
+
+    def number(key, h: int) -> int:
+        place = key is not None, key if key is not None else 0, h
+        at = max(bisect.bisect_right(shown, place) - 1, 0)
+        return 2 * at + (shown[at] == place)
+
+    def find(keys: pa.Array, hashes: pa.Array) -> pa.Array:
+        if not whole or keys.null_count or not pa.types.is_integer(keys.type):
+            return pa.array([number(k, h) for k, h in zip(keys.to_pylist(), hashes.to_pylist(), strict=True)], pa.int64())
+        own, ends = np.asarray(keys, np.int64), np.array(low, np.int64)
+        at = np.searchsorted(ends, own, "right") - 1
+        out = 2 * np.maximum(at, 0)
+        for i in np.flatnonzero((at < 0) | (ends[np.maximum(at, 0)] == own)):
+            out[i] = number(int(own[i]), hashes[int(i)].as_py())
+        return pa.array(out, pa.int64())
+
+    return find
 
 
 def in_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -125,25 +144,31 @@ def in_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
     A place is (id, hash of the text).  Blocks are ranges of places; the first
     rows of each also end the block before it (halo 1), those of all the last
     block, so each row's follower is beside it.  Texts are shuffled once.  Block
-    bounds are at most MAX_BLOCKS places.
+    bounds are at most MAX_BLOCKS places, which go to executors as one broadcast.
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), value.alias("text"), F.struct(F.col(key).alias("key"), F.xxhash64(value).alias("h")).alias("place"))
-    places = materialize(rows.select("place"), "sketch-places")  # narrow; texts are read here and where they are shuffled
+    rows = docs.select(F.col(key).alias("key"), value.alias("text"), F.xxhash64(value).alias("h"))
+    places = materialize(rows.select(F.struct("key", "h").alias("place")), "sketch-places")  # narrow; texts are read here and where they are shuffled
     blocks = max(1, min(MAX_BLOCKS, places.count() // BLOCK_ROWS))
     first = places.repartitionByRange(blocks, "place").groupBy(F.spark_partition_id()).agg(F.min("place").alias("place"))
-    found = [r[0] for r in first.select("place").orderBy("place").collect()]  # MAX_BLOCKS places
+    found = [tuple(r[0]) for r in first.select("place").orderBy("place").collect()]  # MAX_BLOCKS places
     discard(places)
-    n, kind = len(found), docs.schema[key].dataType
-    bounds = F.array(*[F.struct(F.lit(p["key"]).cast(kind).alias("key"), F.lit(p["h"]).cast("long").alias("h")) for p in found])
-    rows = rows.withColumn("block", _block(bounds, n, F.col("place")) if n > 1 else F.lit(0))
-    own = F.struct(F.col("block"), F.lit(0).alias("halo"))
-    before = F.struct(F.when(F.col("block") == 0, max(n, 1) - 1).otherwise(F.col("block") - 1).alias("block"), F.lit(1).alias("halo"))
-    if not n:
-        bounds = F.array(F.lit(None).cast(rows.schema["place"].dataType))
-    where = F.when(F.col("place") == F.get(bounds, F.col("block")), F.array(own, before)).otherwise(F.array(own))
-    rows = rows.select("key", "text", "place", F.explode(where).alias("p")).select("p.block", "p.halo", "key", "text", "place")
-    return rows.repartition(max(n, 1), "block").sortWithinPartitions("block", "halo", "place").drop("place")
+    n = len(found)
+    held = docs.sparkSession.sparkContext.broadcast(found)
+
+    def told(keys: pa.Array, hashes: pa.Array) -> pa.Array:
+        if "find" not in kept:  # once a task
+            kept["find"] = _numbers(held.value)
+        return kept["find"](keys, hashes)
+
+    kept: dict = {}
+    rows = rows.withColumn("number", F.arrow_udf(told, "long")(F.col("key"), F.col("h")))
+    block, begins = F.floor(F.col("number") / 2).cast("int"), F.col("number") % 2 == 1
+    own = F.struct(block.alias("block"), F.lit(0).alias("halo"))
+    before = F.struct(F.when(block == 0, max(n, 1) - 1).otherwise(block - 1).alias("block"), F.lit(1).alias("halo"))
+    where = F.when(begins, F.array(own, before)).otherwise(F.array(own))
+    rows = rows.select("key", "text", "h", F.explode(where).alias("p")).select("p.block", "p.halo", "key", "text", "h")
+    return rows.repartition(max(n, 1), "block").sortWithinPartitions("block", "halo", "key", "h").drop("h")
 
 
 def edited(text: str, following: str) -> str:
