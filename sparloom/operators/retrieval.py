@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import tokens
+from . import lexical
 
 #: Queries whose vectors and terms are held by tasks at once; more are answered block by block.
 QUERY_BLOCK = 4_096
@@ -36,7 +37,11 @@ class Best:
         """scores: (queries, rows); NaN marks pairs that do not count."""
         scores = np.round(scores, 6) + 0.0
         q, at = np.nonzero(scores >= self.least[:, None])
-        self.held.append((q, ids[at], scores[q, at]))
+        self.add_some(q, ids[at], scores[q, at])
+
+    def add_some(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Of query q[i], row ids[i] with a score that is rounded already."""
+        self.held.append((q, ids, scores))
         self.size += len(q)
         if self.size > self.limit:
             self.reduce()
@@ -75,33 +80,25 @@ class Tokens:
         out = np.bincount(self.row * dim + slots[self.token, 0], weights=slots[self.token, 1], minlength=len(self.n) * dim).reshape(-1, dim)
         return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
 
-    def counts(self, vocabulary: dict[str, int]) -> np.ndarray:
-        """Counts of the vocabulary's tokens."""
-        known = np.array([vocabulary.get(t, -1) for t in self.names], np.int64)
-        at = known[self.token] if len(self.token) else self.token
-        mine, size = at >= 0, max(1, len(vocabulary))
-        return np.bincount(self.row[mine] * size + at[mine], minlength=len(self.n) * size).reshape(-1, size).astype(float)
-
 
 class Questions:
-    """A block of queries as matrices: term counts over their own vocabulary, and hashed vectors."""
+    """A block of queries: their terms as (number, times), and hashed vectors."""
 
     def __init__(self, ids: list[int], texts: list[list[str]], dim: int) -> None:
         held = Tokens(pa.array(texts, pa.list_(pa.string())))
-        self.ids, self.dim = np.array(ids, np.int64), dim
+        self.ids, self.dim, self.vectors = np.array(ids, np.int64), dim, held.hashed(dim)
         self.vocabulary = {t: i for i, t in enumerate(held.names)}
-        self.terms, self.vectors = held.counts(self.vocabulary), held.hashed(dim)
-        self.idf, self.average = np.zeros(max(1, len(self.vocabulary))), 1.0
+        self.terms: list[list[tuple[int, int]]] = [[] for _ in ids]
+        pairs, times = np.unique(held.row * max(1, len(held.names)) + held.token, return_counts=True)
+        for pair, n in zip(pairs.tolist(), times.tolist(), strict=True):
+            row, token = divmod(pair, len(held.names))
+            self.terms[row].append((token, n))
+        self.idf, self.average = np.zeros(0), 1.0
 
-    def lexical(self, held: Tokens, k1: float, b: float) -> np.ndarray:
-        tf = held.counts(self.vocabulary)
-        weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * held.n / self.average)[:, None]) * self.idf
-        return self.terms @ weight.T
-
-    def dense(self, held: Tokens) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines, and which pairs share a slot."""
-        own = held.hashed(self.dim)
-        return self.vectors @ own.T, (self.vectors != 0).astype(np.float32) @ (own != 0).astype(np.float32).T > 0
+    def dense(self, own: np.ndarray, some: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines with unit rows, and which pairs share a slot."""
+        mine = self.vectors[some]
+        return mine @ own.T, (mine != 0).astype(np.float32) @ (own != 0).astype(np.float32).T > 0
 
 
 def _blocks(queries: DataFrame, dim: int) -> Iterator[Questions]:
@@ -118,17 +115,6 @@ def _blocks(queries: DataFrame, dim: int) -> Iterator[Questions]:
         yield Questions(ids, texts, dim)
 
 
-def _with_statistics(chunks: DataFrame, asked: Questions) -> Questions:
-    """Document frequencies of the block's tokens, and the mean length, from all chunks by map-side sums."""
-    toks = chunks.select(tokens(F.col("text")).alias("t"))
-    n, total = toks.agg(F.count("*"), F.sum(F.size("t"))).first()
-    known = F.broadcast(chunks.sparkSession.createDataFrame([(t,) for t in asked.vocabulary], "tok string"))  # the terms of one block
-    for tok, df in toks.select(F.explode(F.array_distinct("t")).alias("tok")).join(known, "tok").groupBy("tok").count().collect():
-        asked.idf[asked.vocabulary[tok]] = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    asked.average = (total or 0) / max(n, 1) or 1.0
-    return asked
-
-
 Scores = Callable[[Questions, Tokens, np.ndarray], np.ndarray]
 
 
@@ -143,10 +129,9 @@ def _top(chunks: DataFrame, asked: Questions, scores: Scores, k: int) -> DataFra
                 some = batch.slice(i, ROWS)
                 ids = np.asarray(some.column(0), np.int64)
                 best.add(ids, scores(held.value, Tokens(some.column(1)), ids))
-        q, ids, score = best.reduce()
-        yield pa.RecordBatch.from_arrays([pa.array(held.value.ids[q.astype(np.int64)], pa.int64()), pa.array(ids.astype(np.int64)), pa.array(score.astype(float))], ["qid", "id", "score"])
+        yield _hits(held.value, best)
 
-    return chunks.select(F.col("id").cast("long"), tokens(F.col("text")).alias("t")).mapInArrow(run, "qid long, id long, score double")
+    return chunks.select(F.col("id").cast("long"), tokens(F.col("text")).alias("t")).mapInArrow(run, HITS)
 
 
 def _all_blocks(chunks: DataFrame, parts: list[DataFrame], k: int) -> DataFrame:
@@ -155,97 +140,115 @@ def _all_blocks(chunks: DataFrame, parts: list[DataFrame], k: int) -> DataFrame:
     return ranked(functools.reduce(DataFrame.union, parts), k)
 
 
+HITS = "qid long, id long, score double"
+
+
+def _hits(asked: Questions, best: Best) -> pa.RecordBatch:
+    q, ids, score = best.reduce()
+    return pa.RecordBatch.from_arrays([pa.array(asked.ids[q.astype(np.int64)], pa.int64()), pa.array(ids.astype(np.int64)), pa.array(score.astype(float))], ["qid", "id", "score"])
+
+
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(qid, id, score, rank): the k chunks (id, text) of the highest BM25 score of each query (qid, text).
 
     Repeated query tokens count as often as they occur; chunks without a token of
-    the query have no score.  Blocks of queries are sent to all tasks, rows are
-    scored by matrix products, and only k rows a task and query are shuffled.
+    the query have no score.  The chunks are indexed once for their content
+    (operators.lexical); each segment is searched in the task that reads it.
     """
-    def scores(asked: Questions, held: Tokens, ids: np.ndarray) -> np.ndarray:
-        out = asked.lexical(held, k1, b)
-        return np.where(out > 0, out, np.nan)
+    return _all_blocks(chunks, [_searched(index, a, k, k1, b) for index, a in _asked(chunks, queries, 1, k1, b)], k)
 
-    return _all_blocks(chunks, [_top(chunks, _with_statistics(chunks, a), scores, k) for a in _blocks(queries, 1)], k)
+
+def _asked(chunks: DataFrame, queries: DataFrame, dim: int, k1: float, b: float) -> Iterator[tuple[DataFrame, Questions]]:
+    """Blocks of queries beside the chunks' index, with statistics of their terms."""
+    index = None
+    for a in _blocks(queries, dim):
+        index = index or lexical.load(chunks.sparkSession, lexical.stored(chunks))
+        a.idf, a.average = lexical.statistics(index, a.vocabulary)
+        yield index, a
+
+
+def _searched(index: DataFrame, asked: Questions, k: int, k1: float, b: float) -> DataFrame:
+    held = index.sparkSession.sparkContext.broadcast(asked)  # QUERY_BLOCK queries
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = held.value
+        best = Best(len(a.ids), k)
+        for segment in lexical.segments(batches, a.vocabulary, a.idf, a.average, k1, b):
+            for q, terms in enumerate(a.terms):
+                at, score, _ = segment.best(terms, k, best.least[q])
+                if len(at):
+                    score = np.round(score, 6) + 0.0
+                    high = score >= (np.partition(score, -k)[-k] if len(score) > k else -np.inf)
+                    best.add_some(np.full(high.sum(), q), segment.ids[at[high]], score[high])
+            best.reduce()
+        yield _hits(a, best)
+
+    columns = [c for c in index.columns if c not in ("total", "n", "vectors")]
+    return lexical.asked_rows(index, asked.vocabulary, *columns).mapInArrow(run, HITS)
 
 
 def hashed_topk(chunks: DataFrame, queries: DataFrame, k: int, dim: int = 384, earlier: bool = False) -> DataFrame:
     """(qid, id, score, rank) by the cosine of hashing embeddings; earlier: only chunks whose id is below the query's."""
     def scores(asked: Questions, held: Tokens, ids: np.ndarray) -> np.ndarray:
-        out, meet = asked.dense(held)
+        out, meet = asked.dense(held.hashed(dim))
         return np.where(meet & (ids[None, :] < asked.ids[:, None]) if earlier else meet, out, np.nan)
 
     return _all_blocks(chunks, [_top(chunks, a, scores, k) for a in _blocks(queries, dim)], k)
 
 
+#: Queries whose scores of a segment's rows are held at once.
+QUERY_ROWS = 64
+
+
 def hybrid_topk(chunks: DataFrame, queries: DataFrame, k: int, dim: int = 384, weights: tuple[float, float] = (0.65, 0.35), k1: float = 1.5, b: float = 0.75, dense_base: bool = False) -> DataFrame:
     """(qid, id, score, rank): cosine and BM25, each over its greatest absolute score of the query, weighted.
 
-    The greatest scores come from a first pass over all chunks.  dense_base: every
-    chunk is a candidate, those without a common slot or token with score 0.
+    Both come from the chunks' index, which holds the hashed vectors; the greatest
+    scores from a first pass over it.  dense_base: every chunk is a candidate,
+    those without a common slot or token with score 0.
     """
-    def both(asked: Questions, held: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        dense, meet = asked.dense(held)
-        lexical = asked.lexical(held, k1, b)
-        return dense, lexical, np.ones_like(meet) if dense_base else meet | (lexical > 0)
+    def both(asked: Questions, segment: lexical.Segment) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        own = segment.vectors(dim)
+        for i in range(0, len(asked.ids), QUERY_ROWS):
+            some = slice(i, i + QUERY_ROWS)
+            dense, meet = asked.dense(own, some)
+            lexic = np.stack([segment.scores(t) for t in asked.terms[some]])
+            yield some, dense, lexic, np.ones_like(meet) if dense_base else meet | (lexic > 0)
 
     parts = []
-    for a in _blocks(queries, dim):
-        held = chunks.sparkSession.sparkContext.broadcast(_with_statistics(chunks, a))
+    columns = ("term", "places", "counts", "blocks", "begins", "most", "least", "vectors", "segment")
+    for index, a in _asked(chunks, queries, dim, k1, b):
+        held = chunks.sparkSession.sparkContext.broadcast(a)  # QUERY_BLOCK queries
+        rows = lexical.asked_rows(index, a.vocabulary, *columns)
 
         def greatest(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            top = np.zeros((2, len(held.value.ids)))
-            for batch in batches:
-                for i in range(0, batch.num_rows, ROWS):
-                    dense, lexical, _ = both(held.value, Tokens(batch.column(0).slice(i, ROWS)))
-                    top = np.maximum(top, [np.abs(dense).max(axis=1), np.abs(lexical).max(axis=1)])
-            yield pa.RecordBatch.from_arrays([pa.array(held.value.ids), pa.array(top[0]), pa.array(top[1])], ["qid", "d", "l"])
-
-        most = chunks.select(tokens(F.col("text")).alias("t")).mapInArrow(greatest, "qid long, d double, l double").groupBy("qid").agg(F.max("d"), F.max("l"))
+            a = held.value
+            top = np.zeros((2, len(a.ids)))
+            for segment in lexical.segments(batches, a.vocabulary, a.idf, a.average, k1, b):
+                for some, dense, lexic, _ in both(a, segment):
+                    top[:, some] = np.maximum(top[:, some], [np.abs(dense).max(axis=1), np.abs(lexic).max(axis=1)])
+            yield pa.RecordBatch.from_arrays([pa.array(a.ids), pa.array(top[0]), pa.array(top[1])], ["qid", "d", "l"])
+
+        most = rows.mapInArrow(greatest, "qid long, d double, l double").groupBy("qid").agg(F.max("d"), F.max("l"))
         found = {q: (d, x) for q, d, x in most.collect()}  # one row a query of the block
         tops = np.array([found.get(int(q), (0.0, 0.0)) for q in a.ids]).T
 
-        def scores(asked: Questions, held: Tokens, ids: np.ndarray, tops=tops) -> np.ndarray:
-            dense, lexical, counts = both(asked, held)
-            scaled = [np.divide(x, t[:, None], out=np.zeros_like(x), where=t[:, None] > 0) for x, t in ((dense, tops[0]), (lexical, tops[1]))]
-            return np.where(counts, weights[0] * scaled[0] + weights[1] * scaled[1], np.nan)
-
-        parts.append(_top(chunks, a, scores, k))
+        def run(batches: Iterator[pa.RecordBatch], held=held, tops=tops) -> Iterator[pa.RecordBatch]:
+            a = held.value
+            best = Best(len(a.ids), k)
+            for segment in lexical.segments(batches, a.vocabulary, a.idf, a.average, k1, b):
+                for some, dense, lexic, counts in both(a, segment):
+                    scaled = [np.divide(x, t[some, None], out=np.zeros_like(x), where=t[some, None] > 0) for x, t in ((dense, tops[0]), (lexic, tops[1]))]
+                    score = np.round(np.where(counts, weights[0] * scaled[0] + weights[1] * scaled[1], np.nan), 6) + 0.0
+                    q, at = np.nonzero(score >= best.least[some, None])
+                    best.add_some(q + some.start, segment.ids[at], score[q, at])
+                best.reduce()
+            yield _hits(a, best)
+
+        parts.append(rows.mapInArrow(run, HITS))
     return _all_blocks(chunks, parts, k)
 
 
-def near_earlier(rows: DataFrame, least: float, dim: int = 384, block: int = 2_048) -> DataFrame:
-    """(id) of rows (id, text) that some row with a smaller id is as near to as least, by hashing cosine.
-
-    Equal texts are grouped first; distinct ones are dealt to blocks, and each pair
-    of blocks is one matrix product in a task of its own.
-    """
-    texts = rows.groupBy("text").agg(F.min("id").alias("id")).select("id", tokens(F.col("text")).alias("t"))
-    n = rows.select("text").distinct().count()
-    blocks = max(1, -(-n // block))
-    mine = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = texts.withColumn("mine", mine.cast("int")).withColumn("other", other)
-    dealt = dealt.select(F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "mine", "id", "t")
-
-    def find(table: pa.Table) -> pa.Table:
-        held = Tokens(table.column("t").combine_chunks())
-        ids, side = np.asarray(table.column("id")).astype(np.int64), np.asarray(table.column("mine"))
-        v, flagged = held.hashed(dim), set()
-        one, two = np.flatnonzero(side == table.column("one")[0].as_py()), np.flatnonzero(side == table.column("two")[0].as_py())
-        for i in range(0, len(one), ROWS):
-            left = one[i : i + ROWS]
-            x, y = np.nonzero(np.round(v[left] @ v[two].T, 6) >= least)
-            late = np.maximum(ids[left[x]], ids[two[y]])[ids[left[x]] != ids[two[y]]]
-            flagged.update(late.tolist())
-        return pa.table({"id": pa.array(sorted(flagged), pa.int64())})
-
-    near = dealt.groupBy("one", "two").applyInArrow(find, "id long").distinct()
-    first = rows.groupBy("text").agg(F.min("id").alias("first"))
-    marked = rows.join(first, "text").join(near.select(F.col("id").alias("first"), F.lit(True).alias("near")), "first", "left")
-    return marked.where("near or id > first").select("id")
-
-
 def ranked(scores: DataFrame, k: int, by: str = "qid", item: str = "id", score: str = "score", digits: int = 6, ascending: bool = False) -> DataFrame:
     """The k best of each query; rounded scores, then the smaller item, decide."""
     rounded = scores.withColumn(score, F.round(score, digits))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import hashed_unit_rows
 from ..operators import memory as M
-from ..operators.retrieval import near_earlier, ranked
+from ..operators.nearness import near_earlier
+from ..operators.retrieval import ranked
 from ..registry import query, table
 from .retrieval import cosine_sql, hashed_sql, top_sql
 

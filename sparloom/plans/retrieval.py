@@ -9,14 +9,17 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import retrieval as R
 from ..registry import query, table
-from .texts import CLEAN, cleaned
+from ..sources.sharding import spread
+from .texts import CLEAN
 
 CHUNKS = f"""SELECT doc_id * 10000000 + i AS id, substr(cleaned, i * 800 + 1, 1000) AS text FROM (SELECT doc_id, {CLEAN} AS cleaned FROM documents) d,
   LATERAL (SELECT unnest(range(CASE WHEN length(cleaned) <= 1000 THEN 1 ELSE 1 + ceil((length(cleaned) - 1000) / 800.0)::BIGINT END)) AS i) WHERE cleaned <> ''"""
 
 
 def chunks(spark, sf_dir):
-    return T.chunk_chars(cleaned(spark, sf_dir), "cleaned").select((F.col("doc_id") * 10000000 + F.col("chunk_idx")).alias("id"), F.col("chunk").alias("text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = docs.select("doc_id", T.clean(F.col("text")).alias("cleaned")).where("cleaned <> ''")
+    return T.chunk_chars(kept, "cleaned").select((F.col("doc_id") * 10000000 + F.col("chunk_idx")).alias("id"), F.col("chunk").alias("text"))
 
 
 def items(spark, sf_dir):
@@ -168,7 +171,7 @@ def _focus(spark, sf_dir):
 FROM ({FOCUS_Q}) q LEFT JOIN ({top_sql(bm25_sql(DOCS, FOCUS_Q), 5)}) h ON q.qid = h.qid AND h.id = q.qid""")
 def retrieval_eval(spark, sf_dir):
     """Each 50th document's first words must find it again."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
     asked = _focus(spark, sf_dir)
     hits = R.bm25_topk(docs, asked, 5)
     found = R.rank_metrics(hits, asked.select("qid", F.col("qid").alias("expected")), 5)

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import shutil
+import sys
 import tempfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
 
+def by_value(module: str) -> None:
+    """Sends a module's classes by value: a stream's state is prepared in a worker beside the driver, which has no shipped files."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session on this machine, with the settings that the queries expect."""
     return (
@@ -26,8 +33,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
-#: Rows and bytes of an Arrow batch, so that neither side holds many long texts at once.
-ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "1m"}
+#: Rows and bytes of an Arrow batch, so that neither side holds many long texts at once; lists of values that reach a scan.
+ARROW_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "1m", "spark.sql.parquet.pushdown.inFilterThreshold": "80"}
 
 
 def ship(spark: SparkSession) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -130,3 +131,26 @@ def cached_corpus(spark: SparkSession, build, root: str, **parameters) -> DataFr
     if not ready(spark, path):
         build(spark, **parameters).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def built_once(rows: DataFrame, columns: list[str], name: str, build) -> str:
+    """The folder of what build(rows, folder) makes of rows, built once for their content and loaded from then on.
+
+    The folder is named by the rows' number and the sum of their columns' hashes, and
+    takes its name when it is written to its end (build writes a _SUCCESS flag last).
+    """
+    from ..session import shared_folder
+
+    spark = rows.sparkSession
+    n, total = rows.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()
+    path = f"{shared_folder(spark)}/{name}-{n}-{total or 0}"
+    if not ready(spark, path):
+        made = f"{path}-{uuid.uuid4().hex}"
+        build(rows, made)
+        here, there = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (made, path))
+        system = here.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not ready(spark, path):
+            system.delete(there, True)  # one that was not written to its end
+            if not system.rename(here, there) and not ready(spark, path):
+                raise OSError(f"cannot name {path}")
+    return path

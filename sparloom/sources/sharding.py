@@ -20,3 +20,9 @@ def with_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     own = Window.partitionBy("_p").orderBy(*order)
     placed = ranged.withColumn("_r", F.row_number().over(own) - 1)
     return placed.join(F.broadcast(starts), "_p").withColumn(name, F.col("_from") + F.col("_r")).drop("_p", "_r", "_from")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its scan has fewer tasks than half of them, as with one small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() < cores else df

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparloom.functions import text as T
 from sparloom.functions import vectors as V
-from sparloom.operators import consistency, graphs, memory, retrieval, states
+from sparloom.operators import consistency, graphs, memory, nearness, retrieval, states
 from sparloom.plans import costs, workloads
 
 
@@ -69,8 +69,7 @@ def test_hybrid(spark, monkeypatch):
 def test_near_earlier(spark):
     rows = [(1, "a b c"), (2, "c b a"), (3, "d e"), (4, "a b c"), (5, "f g h")]
     df = spark.createDataFrame(rows, "id long, text string")
-    for block in (1, 2, 100):
-        assert sorted(r["id"] for r in retrieval.near_earlier(df, 0.99, block=block).collect()) == [2, 4]
+    assert sorted(r["id"] for r in nearness.near_earlier(df, 0.99).collect()) == [2, 4]
 
 
 def test_cache_threshold(spark):
