@@ -17,9 +17,20 @@ STOPWORDS = (
 )
 
 
+#: Unicode white space but the blank; fixed values.
+_WHITE = r"\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space that are not one blank already, so that single blanks are left in place.
+_RUNS = f"[{_WHITE}][ {_WHITE}]*| [ {_WHITE}]+"
+
+
 def clean(text: Column) -> Column:
     """Runs of Unicode white space become one blank; ends are stripped; null is empty."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), _RUNS, " "))
+
+
+def solid(text: Column) -> Column:
+    """Whether clean(text) is not empty, without cleaning it."""
+    return F.coalesce(text.rlike(f"[^ {_WHITE}]"), F.lit(False))
 
 
 def tokens(text: Column) -> Column:
@@ -47,8 +58,8 @@ def _begin(overlap: int, size: int) -> int:
 def chunk_chars(df: DataFrame, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
     """Explodes text into chunk_idx and chunk: windows of characters; empty texts have none."""
     step = _begin(overlap, size)
-    at = F.explode(F.sequence(F.lit(0), steps(F.length(text), size, overlap) - 1))
-    cut = df.where(F.length(text) > 0).withColumn("chunk_idx", at)
+    at = F.sequence(F.lit(0), steps(F.length(text), size, overlap) - 1)  # a filter on the text would compute it twice
+    cut = df.withColumn("chunk_idx", F.explode(F.when(F.length(text) > 0, at)))
     return cut.withColumn("chunk", F.substring(F.col(text), F.col("chunk_idx") * step + 1, F.lit(size))).drop(text)
 
 

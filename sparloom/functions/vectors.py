@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .text import token_rows
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 def doubles(v: Column) -> Column:
@@ -42,17 +45,33 @@ def byte_embedding(text: Column, dim: int = 16) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.conv(F.substring(digest, 2 * (j % 32) + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
 
 
-def hashed_rows(df: DataFrame, key: list[str], text: str, dim: int = 384) -> DataFrame:
-    """key..., slot, value: signed token counts by md5 slot, zero sums left out."""
-    rows = token_rows(df, key, text)
-    slot = F.conv(F.substring(F.md5("tok"), 1, 8), 16, 10).cast("long") % dim
-    sign = F.when(F.conv(F.substring(F.md5(F.concat("tok", F.lit("#"))), 1, 1), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    return rows.groupBy(*key, slot.alias("slot")).agg(F.sum(sign).alias("value")).where("value <> 0")
+def hashed_rows(df: DataFrame, key: list[str], text: str, dim: int = 384, unit: bool = False) -> DataFrame:
+    """key..., slot, value: signed token counts by md5 slot, zero sums left out; unit: over the row's length, as doubles.
+
+    A row's counts are made where it is read, from each batch's distinct tokens, so nothing is shuffled.
+    """
+    from ..operators.lexical import hashed_counts
+
+    names = [f"_{i}" for i in range(len(key))]
+    kinds = [StructField(n, df.schema[k].dataType) for n, k in zip(names, key, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                some = batch.slice(i, 512)
+                counts = hashed_counts(some.column(len(names)), dim)
+                row, slot = np.nonzero(counts)
+                value = counts[row, slot]
+                if unit:
+                    value = value / np.sqrt((counts.astype(float) ** 2).sum(axis=1))[row]
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(some.column(n).take(at) for n in names), pa.array(slot), pa.array(value)], [*names, "slot", "value"])
+
+    kept = df.select(*[F.col(k).alias(n) for n, k in zip(names, key, strict=True)], F.col(text).alias("_text"))
+    out = kept.mapInArrow(run, StructType([*kinds, StructField("slot", LongType()), StructField("value", DoubleType() if unit else LongType())]))
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, key, strict=True)], "slot", "value")
 
 
 def hashed_unit_rows(df: DataFrame, key: list[str], text: str, dim: int = 384) -> DataFrame:
     """hashed_rows with value as a double over the row's length."""
-    from pyspark.sql.window import Window
-
-    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*key)))
-    return hashed_rows(df, key, text, dim).withColumn("value", F.col("value") / length)
+    return hashed_rows(df, key, text, dim, unit=True)

@@ -38,7 +38,8 @@ _WORD[[*range(0x30, 0x3A), 0x5F, *range(0x61, 0x7B)]] = True
 
 def text_tokens(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """Lower-cased runs of ASCII letters, digits and underscores of all rows, and each row's number of them."""
-    low = pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), "")).cast(pa.large_binary())
+    given = pc.replace_substring(pc.fill_null(column.cast(pa.large_string()), ""), "\u0130", "i\u0307")  # its lower case has two characters
+    low = pc.utf8_lower(given).cast(pa.large_binary())
     at = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
     data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
     at = at - at[0]
@@ -52,6 +53,16 @@ def text_tokens(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return found.dictionary_encode(), np.diff(np.searchsorted(begin, at))
 
 
+def hashed_counts(column: pa.Array, dim: int) -> np.ndarray:
+    """(rows, dim): signed counts of each row's tokens by their md5 slots."""
+    from .retrieval import _slot
+
+    found, n = text_tokens(column)
+    slots = np.array([_slot(t, dim) for t in found.dictionary.to_pylist()], np.int64).reshape(-1, 2)[np.asarray(found.indices, np.int64)]
+    at = np.repeat(np.arange(len(n)), n) * dim + slots[:, 0]
+    return np.bincount(at, slots[:, 1], len(n) * dim).astype(np.int64).reshape(-1, dim)
+
+
 # --------------------------------------------------------------------- building
 
 
@@ -126,9 +137,15 @@ def append(rows: DataFrame, path: str, dim: int = 384) -> None:
     built.write.mode("append").option("parquet.block.size", 1 << 30).option("parquet.page.row.count.limit", 1_000).partitionBy("segment").parquet(path)
 
 
-def stored(rows: DataFrame, dim: int = 384) -> str:
-    """The index folder of rows (id long, text), built once for their content."""
-    return built_once(rows, ["id", "text"], f"lexical-{dim}", lambda given, path: append(given, path, dim))
+def stored(rows: DataFrame, dim: int = 384, like: DataFrame | None = None, name: str = "rows") -> DataFrame:
+    """The index of rows (id long, text), built once for their content.
+
+    like: the table that the rows are made from, by steps that `name` tells; its
+    content then stands for theirs, so that they need not be made to find the index.
+    """
+    source = rows.select("id", "text") if like is None else like
+    path = built_once(source, source.columns, f"lexical-{name}-{dim}", lambda _, made: append(rows, made, dim))
+    return load(rows.sparkSession, path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -213,7 +230,7 @@ def asked_rows(index: DataFrame, vocabulary: dict[str, int], *columns: str) -> D
     wanted = ["", *vocabulary]
     if len(wanted) <= MOST_LISTED:
         return index.where(F.col("term").isin(wanted)).select(*columns)
-    listed = index.sparkSession.createDataFrame([(t,) for t in wanted], "term string")  # the terms of one block of queries
+    listed = index.sparkSession.createDataFrame(pa.table({"term": pa.array(wanted, pa.string())}))  # the terms of one block of queries
     return index.join(F.broadcast(listed), "term", "left_semi").select(*columns)
 
 

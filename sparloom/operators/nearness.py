@@ -11,8 +11,10 @@ that its own m asks for, and is a guest of the levels above it; pairs are sought
 between a level's owners and all its vectors.  As many non-zero components differ at
 most, keys hold the vector's number of them in overlapping ranges as well.
 
-Vectors of more than MOST_GROUPS groups (texts of thousands of tokens) meet all others
-by blocks of matrix products.
+Above MOST_GROUPS groups (long texts) a group is too small for its pattern to tell
+texts apart.  Such vectors meet all others by blocks: the product of HEAD components
+plus that of the norms of all others bounds a pair, which leaves few to be multiplied
+out.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from ..session import cut
 from .retrieval import ROWS, Tokens
 
 #: Groups of the highest level, and rows of a block of vectors that have no level.
-MOST_GROUPS, BLOCK = 128, 2_048
+MOST_GROUPS, BLOCK = 16, 4_096
+#: Components whose products, with the norms of the others, bound a pair of such a block.
+HEAD = 32
 #: Scores are compared when rounded to six digits.
 SLACK = 1e-6
 
@@ -37,7 +41,7 @@ _random = np.random.default_rng(20240229)  # weights of (component, sign); a cla
 _WEIGHTS = _random.integers(1, 1 << 63, (2, 1 << 12), np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
-KEYED = "id long, own int, slots binary, counts binary, keys array<struct<level:int,key:long>>"
+VECTORS = "id long, own int, slots binary, counts binary"
 
 
 def counted(held: Tokens, dim: int) -> np.ndarray:
@@ -57,23 +61,19 @@ def level(counts: np.ndarray, least: float) -> np.ndarray:
     return np.where(total == 0, 0, 2 ** np.ceil(np.log2(m + 1)).astype(np.int64))
 
 
-def keys(counts: np.ndarray, own: int) -> list[tuple[int, int]]:
-    """(level, key) of one row at its own level and those above it."""
-    dim = -(-len(counts) // MOST_GROUPS) * MOST_GROUPS
-    signs = np.zeros(dim, np.uint64)
-    signs[: len(counts)] = np.where(counts > 0, _WEIGHTS[0, : len(counts)], np.where(counts < 0, _WEIGHTS[1, : len(counts)], 0))
-    solid, out, groups = int(np.count_nonzero(counts)), [], own
-    while groups <= MOST_GROUPS:
-        pattern = signs.reshape(groups, -1).sum(axis=1) + np.arange(groups, dtype=np.uint64) * _ODD
-        for span in (solid // groups, solid // groups + 1):  # numbers less than `groups` apart share one
-            mixed = (pattern ^ np.uint64(groups * 1_000_003 + span)) * _ODD
-            out += [(groups, k) for k in (mixed ^ (mixed >> np.uint64(29))).astype(np.int64).tolist()]
-        groups *= 2
-    return out
+def keys(counts: np.ndarray, groups: int) -> np.ndarray:
+    """(rows, 2 * groups): each row's keys at a level."""
+    signs = np.zeros((len(counts), -(-counts.shape[1] // MOST_GROUPS) * MOST_GROUPS), np.uint64)
+    few = counts.shape[1]
+    signs[:, :few] = np.where(counts > 0, _WEIGHTS[0, :few], np.where(counts < 0, _WEIGHTS[1, :few], np.uint64(0)))
+    pattern = signs.reshape(len(counts), groups, -1).sum(axis=2) + np.arange(groups, dtype=np.uint64) * _ODD
+    span = np.count_nonzero(counts, axis=1)[:, None].astype(np.uint64) // np.uint64(groups)
+    out = [(pattern ^ (span + np.uint64(i) + np.uint64(groups * 1_000_003))) * _ODD for i in (0, 1)]  # numbers less than `groups` apart share a span
+    return np.concatenate([x ^ (x >> np.uint64(29)) for x in out], axis=1).astype(np.int64)
 
 
-def keyed(texts: DataFrame, least: float, dim: int) -> DataFrame:
-    """KEYED rows of texts (id, t: tokens) without zero vectors; no keys above MOST_GROUPS."""
+def vectors(texts: DataFrame, least: float, dim: int) -> DataFrame:
+    """VECTORS of texts (id, t: tokens) without zero ones: their non-zero counts by slot, and the level they own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,26 +83,45 @@ def keyed(texts: DataFrame, least: float, dim: int) -> DataFrame:
                 own = level(counts, least)
                 kept = np.flatnonzero(own)
                 at = [np.flatnonzero(counts[r]) for r in kept]
-                cells = [[{"level": n, "key": k} for n, k in keys(counts[r], int(own[r]))] for r in kept]
                 yield pa.RecordBatch.from_arrays([
                     some.column(0).take(pa.array(kept)), pa.array(own[kept].clip(max=1 << 30), pa.int32()),
                     pa.array([a.astype(np.int16).tobytes() for a in at], pa.binary()), pa.array([counts[r][a].astype(np.int32).tobytes() for r, a in zip(kept, at, strict=True)], pa.binary()),
-                    pa.array(cells, pa.list_(pa.struct([("level", pa.int32()), ("key", pa.int64())]))),
-                ], ["id", "own", "slots", "counts", "keys"])
+                ], ["id", "own", "slots", "counts"])
 
-    return texts.select(F.col("id").cast("long"), "t").mapInArrow(run, KEYED)
+    return texts.select(F.col("id").cast("long"), "t").mapInArrow(run, VECTORS)
 
 
-def _dense(slots: list[bytes], counts: list[bytes], dim: int) -> np.ndarray:
+def keyed(rows: DataFrame, dim: int) -> DataFrame:
+    """(id, key, owner) of VECTORS rows that have a level: their keys at each level that some row owns and that is not below their own."""
+    levels = sorted(r[0] for r in rows.where(F.col("own") <= MOST_GROUPS).select("own").distinct().collect())  # powers of two
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = _counts(batch.column(2).to_pylist(), batch.column(3).to_pylist(), dim)
+            ids, own = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for groups in levels:
+                mine = np.flatnonzero(own <= groups)
+                found = keys(counts[mine], groups)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[mine], 2 * groups)), pa.array(found.ravel()), pa.array(np.repeat(own[mine] == groups, 2 * groups))], ["id", "key", "owner"])
+
+    return rows.where(F.col("own") <= MOST_GROUPS).mapInArrow(run, "id long, key long, owner boolean")
+
+
+def _counts(slots: list[bytes], counts: list[bytes], dim: int) -> np.ndarray:
     out = np.zeros((len(slots), dim))
     for row, (s, c) in enumerate(zip(slots, counts, strict=True)):
         out[row, np.frombuffer(s, np.int16)] = np.frombuffer(c, np.int32)
+    return out
+
+
+def _dense(slots: list[bytes], counts: list[bytes], dim: int) -> np.ndarray:
+    out = _counts(slots, counts, dim)
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
-def confirmed(pairs: DataFrame, vectors: DataFrame, least: float, dim: int) -> DataFrame:
+def confirmed(pairs: DataFrame, rows: DataFrame, least: float, dim: int) -> DataFrame:
     """(a, b) of pairs whose rounded product is least or more."""
-    first, second = (vectors.select(F.col("id").alias(n), F.struct("slots", "counts").alias(f"v{n}")) for n in ("a", "b"))
+    first, second = (rows.select(F.col("id").alias(n), F.struct("slots", "counts").alias(f"v{n}")) for n in ("a", "b"))
     met = pairs.join(first, "a").join(second, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,12 +133,11 @@ def confirmed(pairs: DataFrame, vectors: DataFrame, least: float, dim: int) -> D
     return met.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
 
 
-def candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of each vector and the least owner or guest it shares a key with, and the keyed rows (level, key, id, owner)."""
-    each = rows.select("id", "own", F.explode("keys").alias("k")).select("id", F.col("k.level").alias("level"), F.col("k.key").alias("key"), (F.col("own") == F.col("k.level")).alias("owner"))
-    told = each.groupBy("level", "key").agg(F.min("id").alias("first"), F.count_if("owner").alias("owners"), F.count("*").alias("n")).where("owners > 0 AND n > 1")
-    shared = each.join(told, ["level", "key"]).select("level", "key", "id", "owner", "first")
-    return shared, shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+def shared_keys(rows: DataFrame, dim: int) -> DataFrame:
+    """(key, id, owner, first): rows of keys that an owner shares with another, beside the key's least id."""
+    each = keyed(rows, dim)
+    told = each.groupBy("key").agg(F.min("id").alias("first"), F.count_if("owner").alias("owners"), F.count("*").alias("n")).where("owners > 0 AND n > 1").select("key", "first")
+    return each.join(told, "key")
 
 
 def later(texts: DataFrame, least: float, dim: int = 384) -> DataFrame:
@@ -131,13 +149,13 @@ def later(texts: DataFrame, least: float, dim: int = 384) -> DataFrame:
     """
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
-    rows = cut(keyed(texts, least, dim))
-    shared, firsts = candidates(rows.where(F.col("own") <= MOST_GROUPS))
-    shared = cut(shared)
+    rows = cut(vectors(texts, least, dim))
+    shared = cut(shared_keys(rows, dim))
+    firsts = shared.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     told = cut(confirmed(firsts, rows, least, dim).select(F.col("b").alias("id")).distinct())
     open_ = shared.join(told, "id", "left_anti")
-    low = shared.select("level", "key", F.col("id").alias("a"), F.col("owner").alias("own_a"))
-    met = open_.join(low, ["level", "key"]).where("a < id AND a > first AND (owner OR own_a)")
+    low = shared.select("key", F.col("id").alias("a"), F.col("owner").alias("own_a"))
+    met = open_.join(low, "key").where("a < id AND a > first AND (owner OR own_a)")
     rest = confirmed(met.select("a", F.col("id").alias("b")).distinct(), rows, least, dim).select(F.col("b").alias("id"))
     found = told.union(rest)
     if not rows.where(F.col("own") > MOST_GROUPS).isEmpty():
@@ -159,11 +177,18 @@ def _by_blocks(rows: DataFrame, least: float, dim: int) -> DataFrame:
         side, ids = np.asarray(table.column("left")), np.asarray(table.column("id"))
         vectors = _dense(table.column("slots").to_pylist(), table.column("counts").to_pylist(), dim)
         one, two, late = np.flatnonzero(side), np.flatnonzero(~side), set()
+        head = vectors[:, :HEAD].astype(np.float32)
+        rest = np.sqrt(np.maximum(1 - (head * head).sum(axis=1), 0))
         for i in range(0, len(one), ROWS):
             some = one[i : i + ROWS]
-            x, y = np.nonzero(np.round(vectors[some] @ vectors[two].T, 6) >= least)
-            a, b = ids[some[x]], ids[two[y]]
-            late.update(np.maximum(a, b)[a != b].tolist())
+            x, y = np.nonzero(head[some] @ head[two].T + np.outer(rest[some], rest[two]) >= least - 1e-4)
+            x, y = some[x], two[y]
+            open_ = ids[x] != ids[y]
+            x, y = x[open_], y[open_]
+            for j in range(0, len(x), 8 * ROWS):
+                u, v = x[j : j + 8 * ROWS], y[j : j + 8 * ROWS]
+                near = np.round((vectors[u] * vectors[v]).sum(axis=1), 6) >= least
+                late.update(np.maximum(ids[u], ids[v])[near].tolist())
         return pa.table({"id": pa.array(sorted(late), pa.int64())})
 
     return left.union(right).groupBy("one", "two").applyInArrow(find, "id long")

@@ -149,7 +149,7 @@ def _hits(asked: Questions, best: Best) -> pa.RecordBatch:
 
 
 def bm25_topk(chunks: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(qid, id, score, rank): the k chunks (id, text) of the highest BM25 score of each query (qid, text).
+    """(qid, id, score, rank): the k chunks (id, text) of the highest BM25 score of each query (qid, text); chunks may be their index.
 
     Repeated query tokens count as often as they occur; chunks without a token of
     the query have no score.  The chunks are indexed once for their content
@@ -162,7 +162,7 @@ def _asked(chunks: DataFrame, queries: DataFrame, dim: int, k1: float, b: float)
     """Blocks of queries beside the chunks' index, with statistics of their terms."""
     index = None
     for a in _blocks(queries, dim):
-        index = index or lexical.load(chunks.sparkSession, lexical.stored(chunks))
+        index = index or (chunks if "term" in chunks.columns else lexical.stored(chunks))
         a.idf, a.average = lexical.statistics(index, a.vocabulary)
         yield index, a
 
@@ -201,7 +201,7 @@ QUERY_ROWS = 64
 
 
 def hybrid_topk(chunks: DataFrame, queries: DataFrame, k: int, dim: int = 384, weights: tuple[float, float] = (0.65, 0.35), k1: float = 1.5, b: float = 0.75, dense_base: bool = False) -> DataFrame:
-    """(qid, id, score, rank): cosine and BM25, each over its greatest absolute score of the query, weighted.
+    """(qid, id, score, rank): cosine and BM25, each over its greatest absolute score of the query, weighted; chunks may be their index.
 
     Both come from the chunks' index, which holds the hashed vectors; the greatest
     scores from a first pass over it.  dense_base: every chunk is a candidate,

@@ -7,19 +7,24 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..operators import lexical as X
 from ..operators import retrieval as R
 from ..registry import query, table
 from ..sources.sharding import spread
-from .texts import CLEAN
+from .texts import CLEAN, cleaned
 
 CHUNKS = f"""SELECT doc_id * 10000000 + i AS id, substr(cleaned, i * 800 + 1, 1000) AS text FROM (SELECT doc_id, {CLEAN} AS cleaned FROM documents) d,
   LATERAL (SELECT unnest(range(CASE WHEN length(cleaned) <= 1000 THEN 1 ELSE 1 + ceil((length(cleaned) - 1000) / 800.0)::BIGINT END)) AS i) WHERE cleaned <> ''"""
 
 
 def chunks(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    kept = docs.select("doc_id", T.clean(F.col("text")).alias("cleaned")).where("cleaned <> ''")
-    return T.chunk_chars(kept, "cleaned").select((F.col("doc_id") * 10000000 + F.col("chunk_idx")).alias("id"), F.col("chunk").alias("text"))
+    return T.chunk_chars(cleaned(spark, sf_dir), "cleaned").select((F.col("doc_id") * 10000000 + F.col("chunk_idx")).alias("id"), F.col("chunk").alias("text"))
+
+
+def chunk_index(spark, sf_dir):
+    """The chunks' lexical index, which is kept for the content of the documents that they are cut from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return X.stored(chunks(spark, sf_dir), like=docs, name="chunks-1000-200")
 
 
 def items(spark, sf_dir):
@@ -58,7 +63,7 @@ DENSE = cosine_sql(CHUNKS, ITEMS)
 
 @query(top_sql(BM25, 5))
 def bm25_topk(spark, sf_dir):
-    return R.bm25_topk(chunks(spark, sf_dir), items(spark, sf_dir), 5).select("qid", "id", "rank", "score")
+    return R.bm25_topk(chunk_index(spark, sf_dir), items(spark, sf_dir), 5).select("qid", "id", "rank", "score")
 
 
 @query(top_sql(DENSE, 5))
@@ -73,7 +78,7 @@ SELECT qid, id, coalesce(a.score, 0) AS d, coalesce(b.score, 0) AS l FROM ({DENS
 
 @query(top_sql(HYBRID, 5))
 def hybrid_topk(spark, sf_dir):
-    return R.hybrid_topk(chunks(spark, sf_dir), items(spark, sf_dir), 5).select("qid", "id", "rank", "score")
+    return R.hybrid_topk(chunk_index(spark, sf_dir), items(spark, sf_dir), 5).select("qid", "id", "rank", "score")
 
 
 @query(hashed_sql("SELECT doc_id AS id, text FROM documents", "id").replace("value / sqrt(sum(value * value) OVER (PARTITION BY id)) AS value", "value::BIGINT AS value"))
@@ -83,7 +88,7 @@ def hash_embed_sparse(spark, sf_dir):
 
 @query(f"SELECT id, slot, round(value, 6) AS value FROM ({hashed_sql('SELECT doc_id AS id, text FROM documents', 'id')})")
 def hash_embed_norm(spark, sf_dir):
-    rows = V.hashed_unit_rows(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), ["id"], "text")
+    rows = V.hashed_unit_rows(spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")), ["id"], "text")
     return rows.select("id", "slot", F.round("value", 6).alias("value"))
 
 

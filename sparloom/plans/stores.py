@@ -13,7 +13,7 @@ from ..session import shared_folder
 from ..sources.store import KeyedStore
 from ..streaming import coalesce
 from ..streaming.cache import Cache
-from .retrieval import ITEMS, _vector_sql, chunks, cosine_sql, hashed_sql, items
+from .retrieval import ITEMS, _vector_sql, chunk_index, chunks, hashed_sql, items
 from .runs import RUNS_OF
 
 
@@ -122,10 +122,10 @@ def engine_stream(spark, sf_dir):
     """Questions answered through the cache: what misses is answered from its three best chunks and put; all are asked twice, every second one in other words' order."""
     asked = items(spark, sf_dir)
     again = F.when(F.col("qid") % 2 == 0, F.col("text")).otherwise(F.array_join(F.reverse(F.split("text", " ")), " "))
-    held = chunks(spark, sf_dir)
+    held, index = chunks(spark, sf_dir), chunk_index(spark, sf_dir)
 
     def answer(missed):
-        hits = R.hybrid_topk(held, missed.select("qid", "text"), 3)
+        hits = R.hybrid_topk(index, missed.select("qid", "text"), 3)
         found = hits.join(held, "id").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("h"))
         context = F.array_join(F.transform("h", lambda x: F.concat(F.lit("[Doc "), x["rank"].cast("string"), F.lit("] "), x["text"])), "\n\n")
         told = missed.select("qid").join(found.select("qid", context.alias("context")), "qid", "left")

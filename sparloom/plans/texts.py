@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..registry import query, table
+from ..sources.sharding import spread
 
 CLEAN = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
 TOKENS = "SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM documents)"
 
 
 def cleaned(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned")).where("cleaned <> ''")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.where(T.solid(F.col("text"))).select("doc_id", T.clean(F.col("text")).alias("cleaned"))
 
 
 @query(f"SELECT doc_id, {CLEAN} AS cleaned FROM documents WHERE {CLEAN} <> ''")
@@ -56,12 +58,12 @@ def html_text(spark, sf_dir):
 
 @query(f"SELECT doc_id, tok, count(*) AS n FROM ({TOKENS}) GROUP BY doc_id, tok")
 def token_counts(spark, sf_dir):
-    return T.token_counts(table(spark, sf_dir, "documents"), ["doc_id"], "text").drop("first")
+    return T.token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"], "text").drop("first")
 
 
 @query(f"SELECT tok, count(DISTINCT doc_id) AS df, count(*) AS cf FROM ({TOKENS}) GROUP BY tok")
 def df_table(spark, sf_dir):
-    counts = T.token_counts(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    counts = T.token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"], "text")
     return counts.groupBy("tok").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
 
 
@@ -75,7 +77,7 @@ def doc_len_stats(spark, sf_dir):
 @query(f"""SELECT doc_id, tok, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank
 FROM (SELECT doc_id, tok, count(*) AS n, min(pos) AS first FROM ({TOKENS}) GROUP BY doc_id, tok)) WHERE rank <= 5""")
 def top_terms_per_doc(spark, sf_dir):
-    counts = T.token_counts(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    counts = T.token_counts(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"], "text")
     return T.top_tokens(counts, ["doc_id"], 5).select("doc_id", "tok", "n", "rank")
 
 

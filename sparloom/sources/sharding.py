@@ -23,6 +23,6 @@ def with_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its scan has fewer tasks than half of them, as with one small file."""
+    """df over all cores where its scan has no more tasks than these: a small file's splits may all lie in one row group."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df._jdf.rdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() <= cores else df
