@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from .plans import costs, experiments, graphs, measures, memories, retrieval, runs, star, states, stores, streams, texts, workloads  # noqa: F401  they register queries
+from .plans import costs, experiments, files, graphs, measures, memories, retrieval, runs, star, states, stores, streams, texts, workloads  # noqa: F401  they register queries
 from .registry import Query
 
 

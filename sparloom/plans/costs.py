@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import blank_words
 from ..operators.states import total_bytes
-from ..registry import query
-from .states import PER_TOKEN, STATES, states
+from ..registry import query, table
+from .states import PER_TOKEN, STATES, WORDS, states
 
 #: Default costs: seconds a token, an operation, bytes a second; fixed values.
 COST = {"bandwidth": 25e9, "latency": 5e-5, "prefill": 2e-4, "decode": 5e-5, "resume": 1e-4, "omega_text": 5e-5, "omega_state": 5e-5, "memory_weight": 0.0}
@@ -32,20 +33,14 @@ def schedule_decision(spark, sf_dir):
     return states(spark, sf_dir).select("state_id", d.alias("d")).select("state_id", "d.decision", F.round("d.time_sec", 9).alias("time_sec"), "d.bytes")
 
 
-def grid(spark, **axes: list) -> DataFrame:
-    """The product of a few short axes, as columns."""
-    out = None
-    for name, values in axes.items():
-        axis = spark.range(1).select(F.explode(F.array(*map(F.lit, values))).alias(name))
-        out = axis if out is None else out.crossJoin(axis)
-    return out
+#: A conversation as a workload: words that agents read and write, roles as agents, answers as branches.
+GRID = f"SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN 0 ELSE {WORDS} END)::BIGINT AS context_tokens, greatest(1, sum(CASE WHEN role = 'assistant' THEN {WORDS} ELSE 0 END))::BIGINT AS output_tokens, count(DISTINCT role) AS num_agents, greatest(1, count(*) FILTER (WHERE role = 'assistant')) AS branch_factor FROM conversations GROUP BY conv_id"
 
 
-GRID = "SELECT * FROM (SELECT unnest([128, 512, 2048, 8192]) AS context_tokens), (SELECT unnest([16, 128]) AS output_tokens), (SELECT unnest([1, 2, 8]) AS num_agents), (SELECT unnest([1, 3]) AS branch_factor)"
-
-
-def workload_grid(spark):
-    return grid(spark, context_tokens=[128, 512, 2048, 8192], output_tokens=[16, 128], num_agents=[1, 2, 8], branch_factor=[1, 3])
+def workload_grid(spark, sf_dir):
+    n, answer = F.size(blank_words(F.col("text"))), F.col("role") == "assistant"
+    written, read = F.sum(F.when(answer, n).otherwise(0)), F.sum(F.when(answer, 0).otherwise(n))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(read.alias("context_tokens"), F.greatest(F.lit(1), written).alias("output_tokens"), F.count_distinct("role").alias("num_agents"), F.greatest(F.lit(1), F.count_if(answer)).alias("branch_factor"))
 
 
 def baselines(rows: DataFrame, bytes_per_token: int = 512, reuse: float = 0.7, overhead: float = 0.04, cost: dict[str, float] | None = None) -> DataFrame:
@@ -83,13 +78,13 @@ def _baseline_sql() -> str:
         "kvcomm_prefix": (f"{p} + ({n} - 1) * {p} * 0.3", f"{n} * {d}", "0", "0", f"{n} * 0.00005 + ({n} - 1) * {p} * 0.04", f"floor({s} * (1 + ({n} - 1) * 0.3) + 1e-6)", f"({n} - 1) * 0.7 / {n}"),
         "distserve_style": (p, f"num_agents * {d}", f"{s} / 25e9 + 5e-5", "num_agents * 0.0001", "num_agents * 0.00005", s, share),
     }
-    one = "SELECT context_tokens, output_tokens, num_agents, branch_factor, '{0}' AS baseline, round({1}, 9) AS prefill_sec, round({2}, 9) AS decode_sec, round({3}, 9) AS transfer_sec, round({4}, 9) AS resume_sec, round({5}, 9) AS omega_sec, ({6})::BIGINT AS kv_bytes, round({7}, 9) AS reuse_ratio, round({1} + {2} + {3} + {4} + {5}, 9) AS total_sec FROM g"
+    one = "SELECT conv_id, context_tokens, output_tokens, num_agents, branch_factor, '{0}' AS baseline, round({1}, 9) AS prefill_sec, round({2}, 9) AS decode_sec, round({3}, 9) AS transfer_sec, round({4}, 9) AS resume_sec, round({5}, 9) AS omega_sec, ({6})::BIGINT AS kv_bytes, round({7}, 9) AS reuse_ratio, round({1} + {2} + {3} + {4} + {5}, 9) AS total_sec FROM g"
     return f"WITH g AS ({GRID}) " + " UNION ALL ".join(one.format(name, *way) for name, way in ways.items())
 
 
 @query(_baseline_sql())
 def baseline_rows(spark, sf_dir):
-    out = baselines(workload_grid(spark))
+    out = baselines(workload_grid(spark, sf_dir))
     seconds = [c for c in out.columns if c.endswith("_sec") or c == "reuse_ratio"]
     return out.withColumns({c: F.round(c, 9) for c in seconds})
 
@@ -121,9 +116,10 @@ LINKS = (("1 Gbps", 1e9 / 8), ("10 Gbps", 1e10 / 8), ("100 Gbps", 1e11 / 8))
 DELAYS = (("10 us", 1e-5), ("1 ms", 1e-3))
 
 
-def crossover(spark, contexts: list[int], links=LINKS, delays=DELAYS) -> DataFrame:
-    """Moving a state against computing it again, for each model, context, bandwidth and latency."""
-    rows = models(spark).crossJoin(grid(spark, context_tokens=contexts))
+def crossover(spark, contexts: list[int] | DataFrame, links=LINKS, delays=DELAYS) -> DataFrame:
+    """Moving a state against computing it again, for each model, context (numbers, or rows with context_tokens), bandwidth and latency."""
+    rows = contexts if isinstance(contexts, DataFrame) else spark.createDataFrame([(c,) for c in contexts], "context_tokens long")
+    rows = rows.crossJoin(F.broadcast(models(spark)))  # fixed values, like links and delays
     rows = rows.crossJoin(spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{n}', {v}D)" for n, v in links) + " AS t(bandwidth_name, bandwidth)"))
     rows = rows.crossJoin(spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{n}', {v}D)" for n, v in delays) + " AS t(latency_name, latency)"))
     scale = F.col("layers") * F.col("hidden") / (12 * 768)
@@ -133,36 +129,39 @@ def crossover(spark, contexts: list[int], links=LINKS, delays=DELAYS) -> DataFra
     return rows.withColumn("benefit", F.col("transfer_sec") < F.col("recompute_sec")).withColumn("speedup", F.when(F.col("transfer_sec") > 0, F.col("recompute_sec") / F.col("transfer_sec")).otherwise(0.0))
 
 
-@query("SELECT model_id, context_tokens, bandwidth_name, latency_name, kv_bytes, round(re, 9) AS recompute_sec, round(mv, 9) AS transfer_sec, mv < re AS benefit, round(re / mv, 6) AS speedup FROM (SELECT *, greatest(1e-6, context_tokens * 0.0002 * (layers * hidden / (12 * 768))) AS re, kv_bytes / bandwidth + latency AS mv FROM (SELECT *, context_tokens::BIGINT * layers * 2 * kv_heads * (hidden // heads) * dtype_bytes AS kv_bytes FROM " + MODEL_SQL + ", (SELECT unnest([128, 256, 1024, 4096]) AS context_tokens), (VALUES " + ", ".join(f"('{n}', {v}::DOUBLE)" for n, v in LINKS) + ") AS b(bandwidth_name, bandwidth), (VALUES " + ", ".join(f"('{n}', {v}::DOUBLE)" for n, v in DELAYS) + ") AS l(latency_name, latency)))")
+@query("SELECT conv_id, model_id, context_tokens, bandwidth_name, latency_name, kv_bytes, round(re, 9) AS recompute_sec, round(mv, 9) AS transfer_sec, mv < re AS benefit, round(re / mv, 6) AS speedup FROM (SELECT *, greatest(1e-6, context_tokens * 0.0002 * (layers * hidden / (12 * 768))) AS re, kv_bytes / bandwidth + latency AS mv FROM (SELECT *, context_tokens::BIGINT * layers * 2 * kv_heads * (hidden // heads) * dtype_bytes AS kv_bytes FROM " + MODEL_SQL + f", (SELECT conv_id, context_tokens FROM ({GRID})), (VALUES " + ", ".join(f"('{n}', {v}::DOUBLE)" for n, v in LINKS) + ") AS b(bandwidth_name, bandwidth), (VALUES " + ", ".join(f"('{n}', {v}::DOUBLE)" for n, v in DELAYS) + ") AS l(latency_name, latency)))")
 def crossover_table(spark, sf_dir):
-    out = crossover(spark, [128, 256, 1024, 4096])
-    return out.select("model_id", "context_tokens", "bandwidth_name", "latency_name", "kv_bytes", F.round("recompute_sec", 9).alias("recompute_sec"), F.round("transfer_sec", 9).alias("transfer_sec"), "benefit", F.round("speedup", 6).alias("speedup"))
+    out = crossover(spark, workload_grid(spark, sf_dir).select("conv_id", "context_tokens"))
+    return out.select("conv_id", "model_id", "context_tokens", "bandwidth_name", "latency_name", "kv_bytes", F.round("recompute_sec", 9).alias("recompute_sec"), F.round("transfer_sec", 9).alias("transfer_sec"), "benefit", F.round("speedup", 6).alias("speedup"))
 
 
-@query("SELECT model_id, context_tokens, output_tokens, num_agents, branch_factor, context_tokens + output_tokens > max_context AS skipped, CASE WHEN context_tokens + output_tokens > max_context THEN 'context ' || (context_tokens + output_tokens) || ' exceeds ' || max_context END AS reason FROM " + MODEL_SQL + f", ({GRID})")
+@query("SELECT conv_id, model_id, context_tokens, output_tokens, num_agents, branch_factor, context_tokens + output_tokens > max_context AS skipped, CASE WHEN context_tokens + output_tokens > max_context THEN 'context ' || (context_tokens + output_tokens) || ' exceeds ' || max_context END AS reason FROM " + MODEL_SQL + f", ({GRID})")
 def matrix_grid(spark, sf_dir):
     """Every model with every workload; combinations beyond a model's context are marked as skipped."""
-    rows = models(spark).crossJoin(workload_grid(spark))
+    rows = workload_grid(spark, sf_dir).crossJoin(F.broadcast(models(spark)))  # a few fixed models
     asked = F.col("context_tokens") + F.col("output_tokens")
     over = asked > F.col("max_context")
-    return rows.select("model_id", "context_tokens", "output_tokens", "num_agents", "branch_factor", over.alias("skipped"), F.when(over, F.concat(F.lit("context "), asked.cast("string"), F.lit(" exceeds "), F.col("max_context").cast("string"))).alias("reason"))
+    return rows.select("conv_id", "model_id", "context_tokens", "output_tokens", "num_agents", "branch_factor", over.alias("skipped"), F.when(over, F.concat(F.lit("context "), asked.cast("string"), F.lit(" exceeds "), F.col("max_context").cast("string"))).alias("reason"))
 
 
-@query("SELECT baseline, num_agents, branch_factor, round(CASE WHEN baseline = 'stateful' THEN kv * (1 + (greatest(1, num_agents * branch_factor) - 1) * 0.15) WHEN baseline IN ('dense_prefill', 'text_passing', 'distserve_style') THEN kv * greatest(1, num_agents * branch_factor) ELSE kv * num_agents * (1 + (branch_factor - 1) * 0.15) END, 6) AS effective_bytes FROM (SELECT unnest(['stateful', 'dense_prefill', 'text_passing', 'distserve_style', 'vllm_local_prefix', 'sglang_prefix', 'kvcomm_prefix']) AS baseline), (SELECT unnest([1, 2, 8]) AS num_agents), (SELECT unnest([1, 3]) AS branch_factor), (SELECT 65536 AS kv)")
+@query("SELECT conv_id, baseline, round(CASE WHEN baseline = 'stateful' THEN kv * (1 + (greatest(1, num_agents * branch_factor) - 1) * 0.15) WHEN baseline IN ('dense_prefill', 'text_passing', 'distserve_style') THEN kv * greatest(1, num_agents * branch_factor) ELSE kv * num_agents * (1 + (branch_factor - 1) * 0.15) END, 6) AS effective_bytes FROM (SELECT unnest(['stateful', 'dense_prefill', 'text_passing', 'distserve_style', 'vllm_local_prefix', 'sglang_prefix', 'kvcomm_prefix']) AS baseline), (SELECT *, context_tokens * 512 AS kv FROM (" + GRID + "))")
 def effective_memory(spark, sf_dir):
     """Peak bytes under each baseline's way of sharing."""
-    rows = grid(spark, baseline=["stateful", "dense_prefill", "text_passing", "distserve_style", "vllm_local_prefix", "sglang_prefix", "kvcomm_prefix"], num_agents=[1, 2, 8], branch_factor=[1, 3])
-    kv, n, b = F.lit(65536), F.greatest(F.lit(1), F.col("num_agents") * F.col("branch_factor")), F.col("baseline")
+    ways = ("stateful", "dense_prefill", "text_passing", "distserve_style", "vllm_local_prefix", "sglang_prefix", "kvcomm_prefix")
+    rows = workload_grid(spark, sf_dir).withColumn("baseline", F.explode(F.array(*map(F.lit, ways))))
+    kv, n, b = F.col("context_tokens") * 512, F.greatest(F.lit(1), F.col("num_agents") * F.col("branch_factor")), F.col("baseline")
     size = F.when(b == "stateful", kv * (1 + (n - 1) * 0.15)).when(b.isin("dense_prefill", "text_passing", "distserve_style"), kv * n).otherwise(kv * F.col("num_agents") * (1 + (F.col("branch_factor") - 1) * 0.15))
-    return rows.select("baseline", "num_agents", "branch_factor", F.round(size, 6).alias("effective_bytes"))
+    return rows.select("conv_id", "baseline", F.round(size, 6).alias("effective_bytes"))
 
 
-@query("SELECT workers, coalesce(max_by(batch, least_workers) FILTER (WHERE workers >= least_workers), 32) AS batch FROM (SELECT unnest([1, 4, 16, 64, 256, 1024]) AS workers), (VALUES (8, 64), (64, 128), (512, 256)) AS t(least_workers, batch) GROUP BY workers")
+@query(f"SELECT conv_id, workers, coalesce(max_by(batch, least_workers) FILTER (WHERE workers >= least_workers), 32) AS batch FROM (SELECT conv_id, output_tokens AS workers FROM ({GRID})), (VALUES (8, 64), (64, 128), (512, 256)) AS t(least_workers, batch) GROUP BY conv_id, workers")
 def tier_choice(spark, sf_dir):
-    """The batch size of the highest tier that a worker count reaches."""
-    rows = grid(spark, workers=[1, 4, 16, 64, 256, 1024]).crossJoin(spark.sql("SELECT * FROM VALUES (8, 64), (64, 128), (512, 256) AS t(least_workers, batch)"))
-    ok = F.col("workers") >= F.col("least_workers")
-    return rows.groupBy("workers").agg(F.coalesce(F.max_by(F.when(ok, F.col("batch")), F.when(ok, F.col("least_workers"))), F.lit(32)).alias("batch"))
+    """The batch size of the highest tier that a count of workers reaches; a conversation asks for one a written word."""
+    rows = workload_grid(spark, sf_dir).select("conv_id", F.col("output_tokens").alias("workers"))
+    tier = F.lit(32)
+    for least, batch in ((8, 64), (64, 128), (512, 256)):
+        tier = F.when(F.col("workers") >= least, batch).otherwise(tier)
+    return rows.withColumn("batch", tier)
 
 
 def stateful_path(rows: DataFrame, requests: int, shared: float = 0.85, bytes_per_token: int = 512, cost: dict[str, float] | None = None) -> DataFrame:
@@ -180,27 +179,28 @@ def stateful_path(rows: DataFrame, requests: int, shared: float = 0.85, bytes_pe
     return r.groupBy(*rows.columns).agg(*[F.round(F.sum(p), 9).alias(p) for p in parts], F.sum("moved_bytes").alias("moved_bytes"))
 
 
-@query(f"SELECT context_tokens, output_tokens, num_agents, branch_factor, round(sum(t * 2e-4), 9) AS prefill_sec, round(sum(CASE WHEN b > 1 THEN m / 25e9 + 5e-5 ELSE 0 END), 9) AS transfer_sec, round(sum(CASE WHEN r = 0 THEN 0.0001 ELSE 0.00005 END), 9) AS resume_sec, round(sum(output_tokens * 5e-5), 9) AS decode_sec, round(sum(0.00005 * (2 + least(b, 4))), 9) AS omega_sec, sum(m * (b - 1))::BIGINT AS moved_bytes FROM (SELECT *, CASE WHEN r = 0 THEN context_tokens ELSE greatest(1, floor(context_tokens * (1 - 0.85::DOUBLE) + 1e-9)) END AS t, CASE WHEN r = 0 THEN context_tokens * 512 ELSE floor(context_tokens * 512 * (1 - 0.85::DOUBLE) + 1e-9) END AS m, greatest(1, num_agents * branch_factor) AS b FROM ({GRID}), (SELECT unnest(range(4)) AS r)) GROUP BY 1, 2, 3, 4")
+@query(f"SELECT conv_id, context_tokens, output_tokens, num_agents, branch_factor, round(sum(t * 2e-4), 9) AS prefill_sec, round(sum(CASE WHEN b > 1 THEN m / 25e9 + 5e-5 ELSE 0 END), 9) AS transfer_sec, round(sum(CASE WHEN r = 0 THEN 0.0001 ELSE 0.00005 END), 9) AS resume_sec, round(sum(output_tokens * 5e-5), 9) AS decode_sec, round(sum(0.00005 * (2 + least(b, 4))), 9) AS omega_sec, sum(m * (b - 1))::BIGINT AS moved_bytes FROM (SELECT *, CASE WHEN r = 0 THEN context_tokens ELSE greatest(1, floor(context_tokens * (1 - 0.85::DOUBLE) + 1e-9)) END AS t, CASE WHEN r = 0 THEN context_tokens * 512 ELSE floor(context_tokens * 512 * (1 - 0.85::DOUBLE) + 1e-9) END AS m, greatest(1, num_agents * branch_factor) AS b FROM ({GRID}), (SELECT unnest(range(4)) AS r)) GROUP BY 1, 2, 3, 4, 5")
 def stateful_critical_path(spark, sf_dir):
-    return stateful_path(workload_grid(spark), 4)
+    return stateful_path(workload_grid(spark, sf_dir), 4)
 
 
 ASKED_MODELS = ("gpt2", "org/gpt2", "DistilGPT2-finetuned", "Mistral-7B-v0.1", "Qwen2-7B", "Qwen2.5-32B-AWQ", "Llama-3-8B", "huggyllama/llama-7b", "Llama-3.1-70B", "unknown")
 
 
-@query("SELECT model_id, 1000 * layers * 2 * kv_heads * (hidden // heads) * dtype_bytes AS kv_bytes, layers FROM (SELECT a.model_id, p.*, row_number() OVER (PARTITION BY a.model_id ORDER BY pos) AS r FROM (VALUES " + ", ".join(f"('{m}')" for m in ASKED_MODELS) + ") AS a(model_id) JOIN (VALUES (0, 'distilgpt2', 6, 768, 12, 12, 4), (1, '=gpt2', 12, 768, 12, 12, 4), (2, 'mistral-7b', 32, 4096, 8, 32, 2), (3, 'qwen2.5-7b', 28, 3584, 4, 28, 2), (4, 'qwen2-7b', 28, 3584, 4, 28, 2), (5, 'qwen2.5-32b', 64, 5120, 8, 40, 2), (6, 'qwen2-32b', 64, 5120, 8, 40, 2), (7, 'llama-3-8b', 32, 4096, 8, 32, 2), (8, 'llama-2-7b', 32, 4096, 32, 32, 2), (9, 'llama-7b', 32, 4096, 32, 32, 2), (10, '70b', 80, 8192, 8, 64, 2), (11, '', 32, 4096, 8, 32, 2)) AS p(pos, pattern, layers, hidden, kv_heads, heads, dtype_bytes) ON CASE WHEN pattern = '=gpt2' THEN lower(a.model_id) = 'gpt2' OR lower(a.model_id) LIKE '%/gpt2' ELSE contains(lower(a.model_id), pattern) END) WHERE r = 1")
+@query("SELECT conv_id, model_id, context_tokens * layers * 2 * kv_heads * (hidden // heads) * dtype_bytes AS kv_bytes, layers FROM (SELECT a.*, p.*, row_number() OVER (PARTITION BY a.conv_id ORDER BY pos) AS r FROM (SELECT conv_id, context_tokens, " + str(list(ASKED_MODELS)) + "[conv_id % 10 + 1] AS model_id FROM (" + GRID + ")) AS a JOIN (VALUES (0, 'distilgpt2', 6, 768, 12, 12, 4), (1, '=gpt2', 12, 768, 12, 12, 4), (2, 'mistral-7b', 32, 4096, 8, 32, 2), (3, 'qwen2.5-7b', 28, 3584, 4, 28, 2), (4, 'qwen2-7b', 28, 3584, 4, 28, 2), (5, 'qwen2.5-32b', 64, 5120, 8, 40, 2), (6, 'qwen2-32b', 64, 5120, 8, 40, 2), (7, 'llama-3-8b', 32, 4096, 8, 32, 2), (8, 'llama-2-7b', 32, 4096, 32, 32, 2), (9, 'llama-7b', 32, 4096, 32, 32, 2), (10, '70b', 80, 8192, 8, 64, 2), (11, '', 32, 4096, 8, 32, 2)) AS p(pos, pattern, layers, hidden, kv_heads, heads, dtype_bytes) ON CASE WHEN pattern = '=gpt2' THEN lower(a.model_id) = 'gpt2' OR lower(a.model_id) LIKE '%/gpt2' ELSE contains(lower(a.model_id), pattern) END) WHERE r = 1")
 def model_lookup(spark, sf_dir):
-    """Model dimensions by id, or by the first pattern that fits, as bytes of 1,000 tokens' state."""
+    """Dimensions of the model that a conversation names, by id or by the first pattern that fits, as bytes of its state."""
     low = F.lower("model_id")
     fits = F.when(low.contains("distilgpt2"), 0).when((low == "gpt2") | low.endswith("/gpt2"), -1)
     for i, (pattern, *_) in enumerate(PATTERNS):
         fits = fits.when(low.contains(pattern), i)
-    rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{m}')" for m in ASKED_MODELS) + " AS t(model_id)").withColumn("at", fits)
+    named = F.element_at(F.array(*map(F.lit, ASKED_MODELS)), (F.col("conv_id") % 10 + 1).cast("int"))
+    rows = workload_grid(spark, sf_dir).select("conv_id", "context_tokens", named.alias("model_id")).withColumn("at", fits)
     known = spark.createDataFrame([(-1, 12, 768, 12, 12, 4), *[(i, *p[1:]) for i, p in enumerate(PATTERNS)]], "at int, layers int, hidden int, kv_heads int, heads int, dtype_bytes int")
-    return rows.join(F.broadcast(known), "at").select("model_id", model_kv_bytes(F.lit(1000)).alias("kv_bytes"), "layers")
+    return rows.join(F.broadcast(known), "at").select("conv_id", "model_id", model_kv_bytes(F.col("context_tokens")).alias("kv_bytes"), "layers")
 
 
-@query("""SELECT context_tokens, num_agents, branch_factor, label, round(prefill + decode + moved + resume + omega, 9) AS total_sec, round(prefill + decode / output_tokens, 9) AS ttft_sec, available, reason FROM (SELECT *, unnest([
+@query("""SELECT conv_id, context_tokens, num_agents, branch_factor, label, round(prefill + decode + moved + resume + omega, 9) AS total_sec, round(prefill + decode / output_tokens, 9) AS ttft_sec, available, reason FROM (SELECT *, unnest([
 {label: 'dense_prefill', prefill: n * m, decode: n * d, moved: 0.0, resume: 0.0, omega: n * 0.00005, available: true, reason: ''},
 {label: 'vllm_local_prefix', prefill: m, decode: n * d, moved: 0.0, resume: n * 0.0001, omega: n * 0.00005, available: false, reason: 'simulated'},
 {label: 'distserve_style', prefill: m, decode: n * d, moved: context_tokens * 36864.0 / 25e9 + 0.00005, resume: n * 0.0001, omega: n * 0.00005, available: true, reason: ''}], recursive := true) FROM
@@ -216,5 +216,5 @@ def measured_rows(spark, sf_dir):
         "distserve_style": (m, n * d, bytes_ / c["bandwidth"] + c["latency"], n * c["resume"], n * c["omega_state"], True, ""),
     }
     made = [F.struct(F.lit(k).alias("label"), (p + x + t + r + o).alias("total_sec"), (p + x / F.col("output_tokens")).alias("ttft_sec"), F.lit(a).alias("available"), F.lit(w).alias("reason")) for k, (p, x, t, r, o, a, w) in ways.items()]
-    out = workload_grid(spark).select("context_tokens", "num_agents", "branch_factor", F.explode(F.array(*made)).alias("b"))
-    return out.select("context_tokens", "num_agents", "branch_factor", "b.label", F.round("b.total_sec", 9).alias("total_sec"), F.round("b.ttft_sec", 9).alias("ttft_sec"), "b.available", "b.reason")
+    out = workload_grid(spark, sf_dir).select("conv_id", "context_tokens", "num_agents", "branch_factor", F.explode(F.array(*made)).alias("b"))
+    return out.select("conv_id", "context_tokens", "num_agents", "branch_factor", "b.label", F.round("b.total_sec", 9).alias("total_sec"), F.round("b.ttft_sec", 9).alias("ttft_sec"), "b.available", "b.reason")

@@ -161,21 +161,21 @@ def spec_order(spark, sf_dir):
 SERVING = ["stateful", "agentic", "algebra", "benchmark", "prefix", "cache", "serving", "latency"]
 
 
-@query(f"SELECT n::INT AS input_len, array_to_string(list_transform(range(greatest(1, greatest(1, n) // 2)), lambda i: {SERVING}[i % 8 + 1]), ' ') AS prompt FROM (SELECT unnest([0, 1, 2, 16, 513]) AS n)")
+@query(f"SELECT conv_id, n AS input_len, array_to_string(list_transform(range(greatest(1, greatest(1, n) // 2)), lambda i: {SERVING}[i % 8 + 1]), ' ') AS prompt FROM (SELECT conv_id, context_tokens AS n FROM ({GRID}))")
 def serving_prompts(spark, sf_dir):
-    """Prompts that stay below a number of tokens: half as many words, at least one."""
-    lengths = spark.createDataFrame([(n,) for n in (0, 1, 2, 16, 513)], "input_len int")
+    """Prompts that stay below a conversation's number of tokens: half as many words, at least one."""
+    lengths = workload_grid(spark, sf_dir).select("conv_id", F.col("context_tokens").alias("input_len"))
     words = F.greatest(F.lit(1), F.expr("greatest(1, input_len) div 2"))
     vocabulary = F.array(*map(F.lit, SERVING))
-    return lengths.select("input_len", F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), words), lambda i: F.element_at(vocabulary, (F.pmod(i - 1, F.lit(8)) + 1).cast("int"))), " ").alias("prompt"))
+    return lengths.select("conv_id", "input_len", F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), words), lambda i: F.element_at(vocabulary, (F.pmod(i - 1, F.lit(8)) + 1).cast("int"))), " ").alias("prompt"))
 
 
-@query(f"SELECT context_tokens, output_tokens, num_agents, branch_factor, round(context_tokens * 2e-4, 9) AS ttft_sec, round(context_tokens * 2e-4, 9) AS prefill_sec, round(output_tokens * 5e-5, 9) AS decode_sec, round(context_tokens * 2e-4 + output_tokens * 5e-5, 9) AS total_latency_sec, (context_tokens * {PER_TOKEN})::BIGINT AS kv_total_bytes, 'estimate: no model measured' AS reason FROM ({GRID})")
+@query(f"SELECT conv_id, context_tokens, output_tokens, num_agents, branch_factor, round(context_tokens * 2e-4, 9) AS ttft_sec, round(context_tokens * 2e-4, 9) AS prefill_sec, round(output_tokens * 5e-5, 9) AS decode_sec, round(context_tokens * 2e-4 + output_tokens * 5e-5, 9) AS total_latency_sec, (context_tokens * {PER_TOKEN})::BIGINT AS kv_total_bytes, 'estimate: no model measured' AS reason FROM ({GRID})")
 def estimated_measurements(spark, sf_dir):
     """What a measurement would say, from token counts alone, where no model can be run; marked with its reason."""
     prefill, decode = F.col("context_tokens") * 2e-4, F.col("output_tokens") * 5e-5
     nine = lambda c, name: F.round(c, 9).alias(name)
-    return workload_grid(spark).select("*", nine(prefill, "ttft_sec"), nine(prefill, "prefill_sec"), nine(decode, "decode_sec"), nine(prefill + decode, "total_latency_sec"), (F.col("context_tokens") * PER_TOKEN).cast("long").alias("kv_total_bytes"), F.lit("estimate: no model measured").alias("reason"))
+    return workload_grid(spark, sf_dir).select("*", nine(prefill, "ttft_sec"), nine(prefill, "prefill_sec"), nine(decode, "decode_sec"), nine(prefill + decode, "total_latency_sec"), (F.col("context_tokens") * PER_TOKEN).cast("long").alias("kv_total_bytes"), F.lit("estimate: no model measured").alias("reason"))
 
 
 @query("SELECT doc_id, 'chars=' || length(coalesce(text, '')) || ',file=' || coalesce(source, '') || ',kind=text' AS metadata FROM documents")

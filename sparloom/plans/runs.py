@@ -6,6 +6,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,23 +68,25 @@ def combine_requests(spark, sf_dir):
     return _events(spark, sf_dir).groupBy((F.col("run") % 16).alias("workload")).agg(F.round(seconds, 4).alias("total_latency_sec"), F.sum("bytes").alias("kv_transferred_bytes"), r6(F.avg(F.when(F.col("name") == "ttft", F.col("sec")))).alias("ttft_sec"), F.max("bytes").alias("kv_peak_bytes"), tokens.alias("output_tokens"), rate.alias("throughput_tokens_per_sec"), F.round(seconds * 4, 4).alias("scaled_latency_sec"), (F.sum("bytes") * 4).alias("scaled_bytes"))
 
 
-LINES = ("Successful requests: 32", "Benchmark duration (s): 12.5", "Mean TTFT (ms): 123.4", "Median TTFT (ms): 101", "P50 ITL (ms): 7.5", "Mean E2E end-to-end latency (ms): 900", "Output token throughput (tok/s): 512", "Request throughput (req/s): 2.56", "P99 time per output token (ms): 40", "noise", "broken: x1")
-
-
-@query("SELECT * FROM (VALUES ('successful_requests', 32.0::DOUBLE), ('benchmark_duration_sec', 12.5), ('mean_ttft_ms', 123.4), ('mean_ttft_sec', 0.1234), ('median_ttft_ms', 101), ('median_ttft_sec', 0.101), ('p50_itl_ms', 7.5), ('p50_itl_sec', 0.0075), ('mean_e2e_e2el_ms', 900), ('mean_e2e_e2el_sec', 0.9), ('output_token_throughput_tok_s', 512), ('request_throughput_req_s', 2.56), ('p99_tpot_ms', 40), ('p99_tpot_sec', 0.04), ('ttft_sec', 0.1234), ('itl_sec', 0.0075), ('throughput_tokens_per_sec', 512), ('request_throughput_req_per_sec', 2.56)) AS t(metric, value)")
+@query("""WITH r AS (SELECT user_id AS run, count(*)::DOUBLE AS n, round(avg(value), 3) AS ttft, round(max(value), 3) AS itl, round(sum(value), 3) AS rate FROM events GROUP BY 1)
+SELECT run, metric, round(value, 9) AS value FROM (SELECT run, unnest([{m: 'successful_requests', v: n}, {m: 'mean_ttft_ms', v: ttft}, {m: 'mean_ttft_sec', v: ttft / 1000}, {m: 'ttft_sec', v: ttft / 1000}, {m: 'p50_itl_ms', v: itl}, {m: 'p50_itl_sec', v: itl / 1000}, {m: 'itl_sec', v: itl / 1000}, {m: 'output_token_throughput_tok_s', v: rate}, {m: 'throughput_tokens_per_sec', v: rate}]) AS x FROM r), LATERAL (SELECT x.m AS metric, x.v AS value)""")
 def serving_log(spark, sf_dir):
-    """Every label of a serving log, with milliseconds as seconds and aliases."""
-    lines = spark.createDataFrame([(i, x) for i, x in enumerate(LINES)], "at int, value string")
-    return S.log_metrics(lines).withColumn("value", F.round("value", 9))
-
-
-ENTRIES = ('{"count": 3, "total_sec": 1.5}', '{"n": 2, "sum_s": 4}', '{"count": 3, "samples": [20, 30, 40]}', '{"samples": [0.5, -1, 1.5]}', "{}")
+    """Every run's events told as a serving log, with noise, and read again: every label, milliseconds as seconds, aliases."""
+    r3 = lambda c: F.round(c, 3).cast("string")
+    runs = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("n"), r3(F.avg("value")).alias("ttft"), r3(F.max("value")).alias("itl"), r3(F.sum("value")).alias("rate"))
+    said = F.array(F.concat(F.lit("Successful requests: "), "n"), F.concat(F.lit("Mean time to first token (ms):   "), "ttft"), F.concat(F.lit("P50 ITL (ms): "), "itl"), F.lit("noise"), F.lit("broken: x1"), F.concat(F.lit("Output token throughput (tok/s): "), "rate"))
+    lines = runs.select("run", F.posexplode(said).alias("at", "value"))
+    return S.log_metrics(lines, ["run"]).withColumn("value", F.round("value", 9))
 
 
-@query("SELECT * FROM (VALUES (0, 3::BIGINT, 1.5::DOUBLE), (1, 2, 4), (2, 3, 0.09), (3, 0, 2), (4, 0, 0)) AS t(entry, count, seconds)")
+@query("""SELECT run, CASE run % 3 WHEN 2 THEN 0 ELSE n END AS count, round(CASE run % 3 WHEN 2 THEN CASE WHEN coalesce(list_sort(xs)[len(xs) // 2 + 1], 0) > 10 THEN list_sum(xs) / 1000 ELSE coalesce(list_sum(xs), 0) END ELSE total END, 6) AS seconds
+FROM (SELECT user_id AS run, count(*) AS n, round(sum(value), 3) AS total, coalesce(list(value) FILTER (WHERE value >= 0), []) AS xs FROM events GROUP BY 1)""")
 def metric_entries(spark, sf_dir):
-    rows = spark.createDataFrame([(i, e) for i, e in enumerate(ENTRIES)], "entry int, body string")
-    return rows.select("entry", S.metric_entry(F.col("body")).alias("e")).select("entry", "e.count", F.round("e.seconds", 9).alias("seconds"))
+    """Runs' metrics as JSON under various names, or as bare samples, each as one count and its seconds."""
+    runs = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("t"), F.collect_list("value").alias("xs"))
+    entry = lambda **cells: F.to_json(F.struct(*[F.col(c).alias(k) for k, c in cells.items()]))
+    body = F.when(F.col("run") % 3 == 0, entry(count="n", total_sec="t")).when(F.col("run") % 3 == 1, entry(n="n", sum_s="t")).otherwise(entry(samples="xs"))
+    return runs.select("run", S.metric_entry(body).alias("e")).select("run", "e.count", F.round("e.seconds", 6).alias("seconds"))
 
 
 RUN_COUNTS = "SELECT user_id AS run, ['preprocess.clean', 'preprocess.chunk_per_chunk', 'preprocess.load', 'vectorstore.add'][event_id % 4 + 1] AS metric, count(*) AS n, sum(value) AS sec FROM events GROUP BY 1, 2"
@@ -225,9 +228,11 @@ def stream_ingest(spark, sf_dir):
     """The same job as a stream of files: each micro-batch is chunked, embedded and appended to its shards."""
     from ..streaming.ingest import ingest
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/documents.parquet*")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    docs.write.parquet(f"{root}/files")
+    files = max(1, len(spark.read.schema(docs.schema).parquet(f"{root}/files").inputFiles()) // 3)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files).parquet(f"{root}/files")
     clean = stream.select("doc_id", T.clean(F.col("text")).alias("cleaned")).where("cleaned <> ''")
     stored = ingest(ingested(clean), f"{root}/store", f"{root}/state")
     return stored.groupBy("shard").agg(F.count("*").alias("vectors"), F.round(F.sum(F.round(F.col("embedding")[0], 6)), 4).alias("checksum"))
@@ -245,12 +250,12 @@ def stored_search(spark, sf_dir):
     return hits.join(store.select(F.col("vec_id").alias("id"), "label"), "id").select("qid", "id", "rank", "label", "score")
 
 
-@query("SELECT label, round(sum(embedding[1]::DOUBLE) FILTER (WHERE vec_id % 3 > 0) / greatest(count(*) FILTER (WHERE vec_id % 3 > 0), 1e-9), 5) AS first, count(*) FILTER (WHERE vec_id % 3 > 0) AS used FROM embeddings GROUP BY label")
+@query("SELECT label, j, round(sum(x) FILTER (WHERE used) / greatest(count(*) FILTER (WHERE used), 1e-9), 5) AS value, count(*) FILTER (WHERE used) AS used FROM (SELECT label, vec_id % 3 > 0 AS used, unnest(range(64)) AS j, unnest(embedding::DOUBLE[]) AS x FROM embeddings) GROUP BY label, j")
 def masked_mean(spark, sf_dir):
-    """Mean pooling of a group's vectors under a mask."""
-    mask = F.col("vec_id") % 3 > 0
-    used = F.count_if(mask)
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(F.coalesce(F.sum(F.when(mask, F.col("embedding")[0].cast("double"))), F.lit(None)) / F.greatest(used, F.lit(1e-9)), 5).alias("first"), used.alias("used"))
+    """Mean pooling of a group's vectors under a mask, component by component."""
+    rows = table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 3 > 0).alias("mask"), F.posexplode("embedding").alias("j", "x"))
+    used = F.count_if("mask")
+    return rows.groupBy("label", "j").agg(F.round(F.sum(F.when(F.col("mask"), F.col("x").cast("double"))) / F.greatest(used, F.lit(1e-9)), 5).alias("value"), used.alias("used"))
 
 
 def blake_rows(rows, text: str = "text", dim: int = 64):
@@ -259,11 +264,10 @@ def blake_rows(rows, text: str = "text", dim: int = 64):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for t in batch.column(text).to_pylist():
-                digest = hashlib.blake2b((t or "").encode()).digest()
-                made.append([digest[j % len(digest)] / 127.5 - 1 for j in range(dim)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.float32()))], [*batch.schema.names, "blake"])
+            digests = b"".join(hashlib.blake2b((t or "").encode()).digest() for t in batch.column(text).to_pylist())
+            tiled = np.resize(np.frombuffer(digests, np.uint8).reshape(-1, 64).T, (dim, batch.num_rows)).T if batch.num_rows else np.zeros((0, dim))
+            flat = pa.array((tiled / 127.5 - 1).astype(np.float32).ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * dim), flat)], [*batch.schema.names, "blake"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("blake", ArrayType(FloatType()))]))
 

@@ -38,11 +38,13 @@ def kv_transfer(spark, sf_dir):
     return out.select("state_id", "source_node", "owner_node", "moved_bytes", F.round("transfer_sec", 9).alias("transfer_sec"), F.array_join("lineage", ",").alias("lineage"))
 
 
-MERGES = f"SELECT conv_id % 20 AS merge_id, * FROM ({STATES})"
+#: Conversations of one workflow, whose states are merged: a bounded group.
+FLOW = 8
+MERGES = f"SELECT conv_id // {FLOW} AS merge_id, * FROM ({STATES})"
 
 
 def merges(spark, sf_dir):
-    return states(spark, sf_dir).withColumn("merge_id", F.col("conv_id") % 20)
+    return states(spark, sf_dir).withColumn("merge_id", F.floor(F.col("conv_id") / FLOW))
 
 
 @query(f"SELECT merge_id, string_agg(state_id, ',' ORDER BY conv_id) AS state_ids, count(*) * {LAYERS} AS blocks, sum(tokens)::BIGINT * {PER_TOKEN} AS nbytes FROM ({MERGES}) GROUP BY merge_id")

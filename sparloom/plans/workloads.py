@@ -1,11 +1,11 @@
-"""Queries that generate workloads and synthetic corpora from ranges, without input rows."""
+"""Queries that generate workloads and synthetic corpora: requests by conversations, nodes by documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..registry import query
+from ..registry import query, table
 
 WORDS = ("agent", "state", "cache", "token", "branch", "merge", "route", "vector", "window", "plan", "stage", "query")
 VOCABULARY = "[" + ", ".join(f"'{w}'" for w in WORDS) + "]"
@@ -28,14 +28,22 @@ def requests(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).withColumnRenamed("id", "request")
 
 
-@query(f"SELECT request, 32 AS tokens, {_prompt_sql(chr(39) + 'hand over' + chr(39), '32')} AS prompt FROM (SELECT unnest(range(20)) AS request)")
+#: Requests: one a conversation.
+ASKED = "(SELECT DISTINCT conv_id AS request FROM conversations)"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("request")).distinct()
+
+
+@query(f"SELECT request, 32 AS tokens, {_prompt_sql(chr(39) + 'hand over' + chr(39), '32')} AS prompt FROM {ASKED}")
 def workload_linear(spark, sf_dir):
-    return requests(spark, 20).select("request", F.lit(32).alias("tokens"), prompt(F.col("request"), F.lit("hand over"), F.lit(32), 7).alias("prompt"))
+    return asked(spark, sf_dir).select("request", F.lit(32).alias("tokens"), prompt(F.col("request"), F.lit("hand over"), F.lit(32), 7).alias("prompt"))
 
 
-@query(f"SELECT request, agent, 24 AS tokens, {_prompt_sql(chr(39) + 'debate agent ' + chr(39) + ' || agent', '24')} AS prompt FROM (SELECT unnest(range(10)) AS request), (SELECT unnest(range(3)) AS agent)")
+@query(f"SELECT request, agent, 24 AS tokens, {_prompt_sql(chr(39) + 'debate agent ' + chr(39) + ' || agent', '24')} AS prompt FROM {ASKED}, (SELECT unnest(range(3)) AS agent)")
 def workload_debate(spark, sf_dir):
-    rows = requests(spark, 10).withColumn("agent", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    rows = asked(spark, sf_dir).withColumn("agent", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
     return rows.select("request", "agent", F.lit(24).alias("tokens"), prompt(F.col("request"), F.concat(F.lit("debate agent "), F.col("agent").cast("string")), F.lit(24), 7).alias("prompt"))
 
 
@@ -51,15 +59,14 @@ def workload_crossover(spark, sf_dir):
     return spark.range(1).select(F.posexplode(F.array(*[F.lit(m) for m in (0.25, 0.5, 1.0, 2.0, 4.0)])).alias("request", "m")).select(F.col("request").cast("long").alias("request"), F.greatest(F.lit(1), (24 * F.col("m")).cast("long")).alias("tokens"))
 
 
-@query("SELECT request, item_id, 'answer from shared context: ' || text AS prompt FROM (SELECT unnest(range(100)) AS request) JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS idx, count(*) OVER () AS n FROM benchmark) ON idx = request % n")
+@query("SELECT request, item_id, 'answer from shared context: ' || text AS prompt FROM " + ASKED + " JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS idx, count(*) OVER () AS n FROM benchmark) ON idx = request % n")
 def workload_shared_context(spark, sf_dir):
     """Requests take contexts in turn from a corpus."""
-    from ..registry import table
     from ..sources.sharding import with_index
 
     corpus = with_index(table(spark, sf_dir, "benchmark"), ["item_id"], "idx")
     size = corpus.count()
-    rows = requests(spark, 100).withColumn("idx", F.col("request") % size)
+    rows = asked(spark, sf_dir).withColumn("idx", F.col("request") % size)
     return rows.join(corpus, "idx").select("request", "item_id", F.concat(F.lit("answer from shared context: "), "text").alias("prompt"))
 
 
@@ -70,16 +77,17 @@ def corpus_files(spark: SparkSession, nodes: int, files: int) -> DataFrame:
     return spark.range(files).select(F.col("id").alias("file")).select("file", (base + (f < rest).cast("long")).alias("nodes"), (f * base + F.least(f, F.lit(rest))).alias("offset"))
 
 
-@query("SELECT file, nodes, coalesce(sum(nodes) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM (SELECT i AS file, 1003 // 40 + CASE WHEN i < 1003 % 40 THEN 1 ELSE 0 END AS nodes FROM (SELECT unnest(range(40)) AS i))".replace("AS offset", 'AS "offset"'))
+@query("SELECT file, nodes, coalesce(sum(nodes) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS offset FROM (SELECT i AS file, n // 40 + CASE WHEN i < n % 40 THEN 1 ELSE 0 END AS nodes FROM (SELECT unnest(range(40)) AS i), (SELECT count(*) AS n FROM documents))".replace("AS offset", 'AS "offset"'))
 def corpus_split(spark, sf_dir):
-    return corpus_files(spark, 1003, 40)
+    """The documents dealt evenly to forty files."""
+    return corpus_files(spark, table(spark, sf_dir, "documents").count(), 40)
 
 
-@query("SELECT id AS node_id, array_to_string(list_transform(range(4), lambda i: md5('11/' || id || '/' || i)), '') AS text FROM (SELECT unnest(range(1003)) AS id)")
+@query("SELECT id AS node_id, array_to_string(list_transform(range(4), lambda i: md5('11/' || id || '/' || i)), '') AS text FROM (SELECT doc_id AS id FROM documents)")
 def synthetic_nodes(spark, sf_dir):
-    """Deterministic texts of 128 characters."""
+    """Deterministic texts of 128 characters, one a document."""
     parts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.md5(F.concat_ws("/", F.lit("11"), F.col("id").cast("string"), i.cast("string"))))
-    return spark.range(1003).select(F.col("id").alias("node_id"), F.array_join(parts, "").alias("text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).select(F.col("id").alias("node_id"), F.array_join(parts, "").alias("text"))
 
 
 @query("SELECT x::INT AS x FROM (SELECT unnest([greatest(1, try_cast(v AS INT)) for v in string_split('1,0,16,4', ',')]) AS x) UNION ALL SELECT unnest(range(2, 11, 4))::INT")

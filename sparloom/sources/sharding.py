@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 
 def with_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds each row's place, from 0, in the order of unique columns.
 
-    Range partitions are numbered by their row counts; each sorts its own rows.
+    Rows are sorted by ranges and written once with their place in their range;
+    ranges are numbered by their row counts.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number is not coalesced
-    ranged = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    ranged = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)  # how these ids are made: the partition's number, then the row's
+    counts = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     starts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    own = Window.partitionBy("_p").orderBy(*order)
-    placed = ranged.withColumn("_r", F.row_number().over(own) - 1)
-    return placed.join(F.broadcast(starts), "_p").withColumn(name, F.col("_from") + F.col("_r")).drop("_p", "_r", "_from")
+    placed = ranged.withColumn("_p", part).join(F.broadcast(starts), "_p")
+    return placed.withColumn(name, F.col("_from") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_p", "_at", "_from")
 
 
 def spread(df: DataFrame) -> DataFrame:
