@@ -8,8 +8,10 @@ small, so that what stays is the large rows and the cuts fall between small
 ones.  Rows are placed by running sums that are exact and never sort a shard in
 one task: per (shard, size) cell sums, then ranks inside a cell by hash bucket.
 
-The solver works on shards, not rows: its input is one number a shard (a few
-thousand at most, checked).  Rewriting touches only the shards that gain or lose
+The solver works on shards, not rows: its input is one number a shard (MAX_SHARDS at
+most, checked).  Where a move costs the same wherever it goes, the flow is found in
+linear time; other costs take successive shortest paths, a second at 400 shards, and
+grow by the cube.  Rewriting touches only the shards that gain or lose
 rows; the others keep their files.
 
 Defined cases: a null text has 0 bytes (16 with the overhead); a null old shard
@@ -85,6 +87,35 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: np.ndarray) -> n
     return flow
 
 
+def stay_flow(supply: dict[int, int], capacity: list[int]) -> list[tuple[int, int, int]]:
+    """(old, new, bytes) of least cost where staying is free and every move costs the same.
+
+    The free arcs are filled as far as they can be; what is left then costs the
+    same whichever way it goes, so it fills the room in order.  No more than
+    old + new arcs beside the free ones, in linear time.
+    """
+    if sum(supply.values()) > sum(capacity):
+        raise ValueError("new shards can't hold all bytes")
+    room, arcs = list(capacity), []
+    left = dict(sorted(supply.items()))
+    for o in left:
+        stays = min(left[o], room[o]) if 0 <= o < len(room) else 0
+        if stays:
+            arcs.append((o, o, stays))
+            left[o] -= stays
+            room[o] -= stays
+    j = 0
+    for o, more in left.items():
+        while more:
+            while not room[j]:
+                j += 1
+            goes = min(more, room[j])
+            arcs.append((o, j, goes))
+            more -= goes
+            room[j] -= goes
+    return arcs
+
+
 def even_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (i < total % shards) for i in range(shards)]
 
@@ -95,14 +126,14 @@ def transfers(old_sizes: dict[int, int], capacities: list[int], cost: np.ndarray
     if max(len(olds), n) > MAX_SHARDS:
         raise ValueError(f"{MAX_SHARDS} shards at most")
     if cost is None:
-        cost = (np.array(olds)[:, None] != np.arange(n)[None, :]).astype(float)
-    flow = min_cost_flow([old_sizes[o] for o in olds], capacities, cost)
-    out = []
-    for i, o in enumerate(olds):
-        at = 0
-        for j in sorted(np.flatnonzero(flow[i]), key=lambda j: (j != o, j)):
-            out.append((o, int(j), at, at + int(flow[i, j])))
-            at += int(flow[i, j])
+        arcs = stay_flow(old_sizes, capacities)
+    else:
+        flow = min_cost_flow([old_sizes[o] for o in olds], capacities, cost)
+        arcs = [(olds[i], int(j), int(flow[i, j])) for i, j in zip(*np.nonzero(flow), strict=True)]
+    out, at = [], dict.fromkeys(olds, 0)
+    for o, j, n_bytes in sorted(arcs, key=lambda a: (a[0], a[1] != a[0], a[1])):
+        out.append((o, j, at[o], at[o] + n_bytes))
+        at[o] += n_bytes
     return out
 
 

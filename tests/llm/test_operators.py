@@ -241,6 +241,28 @@ def test_min_cost_flow():
         assert (flow * cost).sum() == _cheapest(supply, capacity, cost.tolist())
 
 
+def test_flows_of_equal_moves_are_of_least_cost():
+    import random
+    import time
+
+    r = random.Random(3)
+    for _ in range(40):
+        old = {o: r.randint(0, 30) for o in r.sample(range(12), r.randint(1, 8))}
+        n = r.randint(1, 9)
+        room = [c + r.randint(0, 3) for c in resharding.even_capacities(sum(old.values()), n)]
+        cost = (np.array(sorted(old))[:, None] != np.arange(n)[None, :]).astype(float)
+        best = resharding.min_cost_flow([old[o] for o in sorted(old)], room, cost)
+        arcs = resharding.stay_flow(old, room)
+        assert sum(b for o, j, b in arcs if o != j) == (best * cost).sum()
+        for o, size in old.items():
+            assert sum(b for x, _, b in arcs if x == o) == size
+        assert all(sum(b for _, y, b in arcs if y == j) <= room[j] for j in range(n))
+    big = {o: r.randint(0, 10**12) for o in range(8_000)}
+    began = time.time()
+    blocks = resharding.transfers(big, resharding.even_capacities(sum(big.values()), 10_000))
+    assert time.time() - began < 5 and sum(b - a for _, _, a, b in blocks) == sum(big.values()) and len(blocks) < 28_000
+
+
 def test_resharding_is_even_gapless_and_moves_little(spark):
     rows = [(i, "t" * (i * 37 % 501), 0 if i % 3 else i % 5) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, old int")
